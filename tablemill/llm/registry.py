@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import simhash
+from tablemill.llm import decontam, media, mixing, simhash, tokens, toxicity
 from tablemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
+    def documents(spark: SparkSession, root: str) -> DataFrame:
+        return table(spark, root, "documents")
+
     return {
-        "op2_simhash_near_dedup": lambda spark, root: simhash.op2(table(spark, root, "documents")),
+        "op1_media_columns": lambda spark, root: media.op1(documents(spark, root)),
+        "op2_simhash_near_dedup": lambda spark, root: simhash.op2(documents(spark, root)),
+        "op4_mix_to_weights": lambda spark, root: mixing.op4(documents(spark, root)),
+        "op5_decontaminate": lambda spark, root: decontam.op5(documents(spark, root), table(spark, root, "benchmark")),
+        "op8_toxicity": lambda spark, root: toxicity.op8(documents(spark, root), table(spark, root, "labels")),
+        "op10_token_ids": lambda spark, root: tokens.op10(documents(spark, root)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_to_weights": mixing.SQL, "op5_decontaminate": decontam.SQL}
