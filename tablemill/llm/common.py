@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -48,6 +50,11 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as a Python worker; what it holds must be bounded and may be missing."""
+    return sys.modules.setdefault("_tablemill_worker", types.ModuleType("_tablemill_worker")).__dict__
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

@@ -85,7 +85,7 @@ class TarShard:
     def __init__(self, uri: str):
         fs, path = open_fs(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.at, self.members = fs.open_output_stream(path), 0, {}
+        self.out, self.at, self.members = fs.open_output_stream(path, compression=None), 0, {}
 
     def add(self, digest: str, data: Callable[[], bytes]) -> tuple[int, int]:
         """(offset, length) of the member with this digest, which is stored unless it is there."""

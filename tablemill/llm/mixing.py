@@ -78,27 +78,46 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("rank", "prefix", (2 * F.col("need") >= F.col("words")).alias("with_it"))
 
 
+def _digits():
+    return F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS)
+
+
+def decisions(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(sizes of all documents; one row a source with target, rounds and the hash threshold)."""
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _digits().alias("hash")), "sizes")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(sources, weights, share, most).withColumn("rounds", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
+    plan = written(plan.withColumn("need", F.col("target") - F.col("rounds") * F.col("source_size")), "mix-plan")
+    named = written(sized.join(plan, sized.source.eqNullSafe(plan.source)).select("rank", "hash", "size"), "mix-sizes")
+    plan = plan.join(thresholds(named, plan), "rank", "left")
+    return sized, written(plan.select(F.col("source").alias("of"), "source_size", "target", "rounds", "prefix", "with_it"), "mix-thresholds")
+
+
+def _repeats(hashed):
+    more = (hashed < F.col("prefix")) | ((hashed == F.col("prefix")) & F.col("with_it"))
+    return (F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken and repeats for every row of ``docs``.
 
     ``docs`` has doc_id, text and source.
     """
-    hashed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS)
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("hash")), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sources, weights, share, most).withColumn("rounds", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
-    plan = written(plan.withColumn("need", F.col("target") - F.col("rounds") * F.col("source_size")), "mix-plan")
-    named = written(
-        sized.join(plan, sized.source.eqNullSafe(plan.source))
-        .select("doc_id", "size", "hash", "rank", "source_size", "target", "rounds"), "mix-sizes",
-    )
-    edge = written(thresholds(named.select("rank", "hash", "size"), plan), "mix-thresholds")
-    more = (F.col("hash") < F.col("prefix")) | ((F.col("hash") == F.col("prefix")) & F.col("with_it"))
-    repeats = (F.col("rounds") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
-    out = named.join(edge, "rank", "left").withColumn("repeats", repeats)
+    sized, plan = decisions(docs, weights, share, most)
+    out = sized.join(plan, sized.source.eqNullSafe(plan.of)).withColumn("repeats", _repeats(F.col("hash")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns."""
+    _, plan = decisions(docs, weights, share, most)
+    plan = plan.select(*(F.col(c).alias(f"__{c}") for c in ("of", "rounds", "prefix", "with_it")))
+    more = (_digits() < F.col("__prefix")) | ((_digits() == F.col("__prefix")) & F.col("__with_it"))
+    times = (F.col("__rounds") + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
+    out = docs.join(plan, docs.source.eqNullSafe(plan["__of"])).withColumn("__time", F.explode(F.sequence(F.lit(0), times)))
+    return out.filter("__time > 0").select(*docs.columns)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     return mix(docs).drop("repeats")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.llm.common import written
 
@@ -59,16 +60,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
+#: The column that ``with_fingerprints`` adds.
+FP = "__simhash"
+
+
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the 64 bits of each row's fingerprint as a signed long."""
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
+            bits = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))], names=[f.name for f in schema])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, schema)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
+
+    return with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.col(FP).alias("fp"))
 
 
 def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -193,16 +204,38 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.selectExpr("a AS node", "b AS root").unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def classes(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of ``fps`` (doc_id, fp); root is a fingerprint of the class."""
     reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     members = written(components(links(reps, distance, block)).withColumnRenamed("node", "fp"), "components")
     named = written(members.join(reps, "fp"), "members")
     names = written(named.groupBy("root").agg(F.min("least_id").alias("name")), "component-names")
-    of = named.join(names, "root").select("fp", "name")
-    classes = written(reps.join(of, "fp", "left").select("fp", F.coalesce("name", "least_id").alias("component_id")), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(names, "root").select("fp", "root", "name", F.lit(True).alias("linked"))
+    name = F.when(F.col("linked"), F.col("name")).otherwise(F.col("least_id"))
+    return written(reps.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), name.alias("component_id")), "classes")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    fps = written(fingerprints(docs, shingle), "fingerprints")
+    return fps.join(classes(fps, distance, block), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs`` for each group, the one with the smallest doc_id (null is largest), with its own columns.
+
+    Of rows that share that doc_id, the one with the smallest fingerprint and then columns stays.
+    """
+    keyed = written(with_fingerprints(docs, shingle), "fingerprinted")
+    fps = keyed.select("doc_id", F.col(FP).alias("fp"))
+    each = fps.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")
+    kept = each.join(classes(fps, distance), "fp").groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    kept = written(kept.select(F.col("fp").alias("__f"), F.col("doc_id").alias("__d"), F.col("n").alias("__n")), "kept-documents")
+    rows = keyed.join(kept, (keyed[FP] == F.col("__f")) & keyed["doc_id"].eqNullSafe(F.col("__d")))
+    once = rows.filter("__n = 1").select(*docs.columns)
+    again = rows.filter("__n > 1").groupBy("__f", "__d").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ File format, all little-endian: ``*.bin`` is 16 bytes of header (b"TMIDS1\\0\\0"
 uint32, 0 as uint32) and then the ids; ``*.idx`` is a numpy archive: ``sizes`` (bits of each
 level), ``bits``, ``ranks`` (ones before each 64-byte block), ``starts``, ``counts``, ``prints``.
 
-The encoder splits a text by the tokenizer's own pattern and keeps the ids of pieces it has
-met, since pieces are encoded one by one anyway; texts with characters beyond Latin or with
-special tokens in them go to the library whole.
+The encoder splits a text by the tokenizer's own pattern and keeps the ids that the library
+gave for the pieces it has met, since the library encodes pieces one by one anyway; texts with
+characters beyond Latin or with special tokens in them go to the library whole.
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come first; rows with
 equal doc_id are ordered by text and keyed by their number among them; an empty table writes
@@ -25,56 +25,81 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import open_fs, shared_dir, written
+from tablemill.llm.common import open_fs, shared_dir, worker_cache, written
 
 MAGIC, HEADER = b"TMIDS1\0\0", 16
 END_ID = 2
-#: Pieces whose ids an encoder keeps at most.
-CACHE = 400_000
-PLAIN = re.compile("[^\x00-ɏ]")
+#: Pieces whose ids a worker keeps at most; further ones are encoded anew.
+CACHE = 500_000
+#: The tokenizer's pattern for texts whose characters are all below U+0250 and not U+001C to U+001F, letters first as they are most.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PIECE = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
+#: Pieces that can be encoded side by side, since each starts with its space.
+SPACED = re.compile(rf" [{LETTERS}]+")
+ROW = 1000
 
 
 class Encoder:
     """Ids of whole texts as bytes of ``width`` bytes an id."""
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.split = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; those that start with a space are encoded in rows and told apart by the library's word numbers."""
+        spaced = [p for p in pieces if SPACED.fullmatch(p)]
+        rest = [p for p in pieces if not SPACED.fullmatch(p)]
+        out = dict(zip(rest, self._whole(rest), strict=True))
+        rows = [spaced[i : i + ROW] for i in range(0, len(spaced), ROW)]
+        for row, got in zip(rows, self.tokenizer.encode_batch(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(row)), "right") * self.width
+            data, at = np.array(got.ids, self.kind).tobytes(), 0
+            for piece, end in zip(row, ends.tolist(), strict=True):
+                out[piece] = data[at:end]
+                at = end
+        return out
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 128):
-            part = [t or "" for t in texts[at : at + 128]]
-            whole = [bool(PLAIN.search(t)) or any(s in t for s in self.special) for t in part]
-            pieces = [None if w else self.split(t) for t, w in zip(part, whole, strict=True)]
-            new = set().union(*(p for p in pieces if p)) - self.known.keys()
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = set().union(*(p for p in pieces if p))
-            new = list(new)
-            self.known.update(zip(new, self._encoded(new), strict=True))
-            get = self.known.__getitem__
-            out += [self._encoded([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(part, pieces, strict=True)]
+        pieces = [None if OTHER.search(t) or any(s in t for s in self.special) else PIECE.findall(t) for t in (x or "" for x in texts)]
+        found = [p and list(map(self.known.get, p)) for p in pieces]
+        new = list({p for own, ids in zip(pieces, found, strict=True) if own for p, i in zip(own, ids, strict=True) if i is None})
+        fresh = self._pieces(new)
+        if room := CACHE - len(self.known):
+            self.known.update(fresh if room >= len(fresh) else dict(list(fresh.items())[:room]))
+        out = []
+        for text, own, ids in zip(texts, pieces, found, strict=True):
+            if own is None:
+                out.append(self._whole([text])[0])
+            else:
+                out.append(b"".join([fresh[p] if i is None else i for p, i in zip(own, ids, strict=True)]))
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder; Spark runs many tasks in one worker, and what it knows serves them all."""
+    held = worker_cache()
+    if held.get("encoder_path") != path:
+        held.update(encoder_path=path, encoder=Encoder(path))
+    return held["encoder"]
+
+
 def _spread(keys: np.ndarray, seed: int) -> np.ndarray:
     """64-bit keys to independent hashes for each seed (the finaliser of splitmix64)."""
     x = keys + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -158,14 +183,15 @@ def _encode_partition(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 fs, path = open_fs(f"{name}.bin")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
                 out.write(MAGIC + np.array([encoder.width, 0], "<u4").tobytes())
             end = np.array([end_id], encoder.kind).tobytes()
             ids, sizes, numbers = batch.column(0).to_pylist(), [], []
-            for doc_id, coded in zip(ids, encoder(batch.column(1).to_pylist()), strict=True):
+            texts = (encoder(batch.column(1).slice(i, 256).to_pylist()) for i in range(0, len(ids), 256))
+            for doc_id, coded in zip(ids, chain.from_iterable(texts), strict=True):
                 number = number + 1 if doc_id == last else 0
                 last = doc_id
                 out.write(coded + end)
@@ -214,7 +240,7 @@ class ShardReader:
 
     def __init__(self, shard: str):
         fs, path = open_fs(f"{shard}.idx")
-        with fs.open_input_stream(path) as f:
+        with fs.open_input_stream(path, compression=None) as f:
             data = np.load(io.BytesIO(f.read()))
         self.index = PerfectHash(data["sizes"], data["bits"], data["ranks"], data["prints"])
         self.starts, self.counts = data["starts"], data["counts"]

@@ -41,3 +41,11 @@ def test_reruns_agree_whatever_the_order(spark):
 
 def test_empty_table(spark):
     assert mixing.op4(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_mix_holds_each_row_as_often_as_decided(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    taken = sum(r.taken for r in mixing.op4(docs).collect())
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert sum(len((r.text or "").split()) for r in out.collect()) == taken

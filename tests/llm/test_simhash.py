@@ -80,3 +80,12 @@ def test_dense_cell_spans_without_all_pairs():
 
 def test_empty_table(spark):
     assert simhash.op2(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs now"
+    rows = [(3, a, "x"), (2, a, "y"), (2, a, "b"), (None, a, "z"), (7, b, "q"), (None, "all alone with no id at all", "n"), (None, "all alone with no id at all", "m"), (8, None, "e"), (9, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, a, "b"), (7, b, "q"), (None, "all alone with no id at all", "m"), (8, None, "e")], key=str)

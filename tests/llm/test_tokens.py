@@ -27,6 +27,18 @@ def test_files_hold_what_the_library_gives(spark):
     assert [found[s] for s in sorted(found)] == expected
 
 
+def test_encoder_matches_the_library_on_odd_texts():
+    import random
+
+    rng = random.Random(4)
+    chars = " \n\t\x0b\r'sStlrevmd09²½aZéßɏªº_-!.\x85\xa0\x1c\x00ɐ中"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    encoder, library = tokens.Encoder(tokens.default_tokenizer()), Tokenizer.from_file(tokens.default_tokenizer())
+    for at in range(0, 3000, 500):
+        for text, data in zip(texts[at : at + 500], encoder(texts[at : at + 500]), strict=True):
+            assert np.frombuffer(data, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_lookup_by_key(spark):
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     shard = tokens.write_shards(docs, tokens.default_tokenizer(), shards=1).first().shard
