@@ -1,43 +1,19 @@
-"""All registered queries with their oracle SQL."""
+"""All registered queries with their oracle SQL, by operator."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tablemill.plans import analytics_queries, relational_queries, tool_queries
+from tablemill.plans.base import Query
+from tablemill.plans.relational_queries import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["flagship", "oracle_sql", "queries"]
 
-from tablemill.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def flagship(spark: SparkSession, root: str) -> DataFrame:
-    """Ten nations with the most revenue from orders of 1995 to 1997."""
-    orders = table(spark, root, "orders").filter("o_orderdate >= DATE'1995-01-01' AND o_orderdate < DATE'1998-01-01'")
-    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return (
-        table(spark, root, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, root, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, root, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("n_name")
-        .agg(F.round(revenue, 2).alias("revenue"))
-        .orderBy(F.desc("revenue"), "n_name")
-        .limit(10)
-    )
+PARTS = (relational_queries.BOOK, tool_queries.BOOK, analytics_queries.BOOK)
 
 
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship}
+    return {name: run for book in PARTS for name, (run, _) in book.entries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "flagship": """
-        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1998-01-01'
-        GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10"""
-    }
+    return {name: sql for book in PARTS for name, (_, sql) in book.entries.items() if sql}
