@@ -95,15 +95,14 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     ranks = average_ranks(df, score)
     own = df.filter(col(score).isNotNull() & col(label).isNotNull()).groupBy(col(score).cast("double").alias("value")).agg(F.sum(F.when(col(label).cast("int") == 1, 1).otherwise(0)).alias("pos"), F.count("*").alias("all"))
     sums = own.join(ranks, "value").agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("all") - F.col("pos")).alias("q"))
-    return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+    return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))).alias("auc"))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """(correlation); null without variance."""
     both = df.filter(col(x).isNotNull() & col(y).isNotNull())
     a, b = col(x).cast("double"), col(y).cast("double")
-    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return both.agg(F.when(~flat, F.corr(a, b)).alias("correlation"))
+    return both.agg(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("correlation"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -173,9 +172,9 @@ def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, s
                 weight += times * n
         yield pd.DataFrame({"round": range(rounds), "s": total, "n": weight})
 
-    drawn = sums.mapInPandas(draw, "round int, s double, n double").groupBy("round").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    drawn = sums.mapInPandas(draw, "round int, s double, n double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     ends = drawn.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("low"), F.percentile("m", F.lit((1 + share) / 2)).alias("high"))
-    return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(ends)
+    return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).crossJoin(ends)
 
 
 def cohens_d(df: DataFrame, group: str, value: str, a, b) -> DataFrame:

@@ -25,7 +25,7 @@ add("catalog_overview", lambda t: perception.catalog_overview({n: getattr(t, n)
 add("schema_map", lambda t: t.spark.createDataFrame([(n, c) for n, cs in perception.schema_map({"region": t.region, "nation": t.nation}).items() for c in cs], "table_name string, column_name string"), "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name'), ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey')) AS v(table_name, column_name)")
 add("describe_table", lambda t: perception.describe_table(t.spark, "labels", t.labels), "SELECT 'labels' AS table_name, position, column_name, type, true AS nullable FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'quality', 'int'), (2, 'toxic', 'int')) AS v(position, column_name, type)")
 add("inspect_column", lambda t: perception.inspect_column(t.part, "p_brand"), "SELECT p_brand AS value, count(*) AS frequency, true AS complete FROM part GROUP BY p_brand")
-add("inspect_column_many", lambda t: perception.inspect_column(t.events, "user_id", top_k=10), "SELECT user_id AS value, count(*) AS frequency, false AS complete FROM events GROUP BY user_id ORDER BY frequency DESC, value LIMIT 10")
+add("inspect_column_many", lambda t: perception.inspect_column(t.events, "user_id", top_k=10), "WITH c AS (SELECT user_id AS value, count(*) AS frequency FROM events GROUP BY user_id) SELECT value, frequency, (SELECT count(*) FROM c) <= 50 AS complete FROM c QUALIFY (SELECT count(*) FROM c) <= 50 OR row_number() OVER (ORDER BY frequency DESC, value) <= 10")
 add("inspect_column_typed", lambda t: perception.value_counts(t.customer, "c_mktsegment"), "SELECT c_mktsegment AS value, count(*) AS frequency FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment")
 add("column_summary", lambda t: perception.column_summary(t.documents.join(t.labels, "doc_id", "left"), "quality"), "SELECT count(DISTINCT quality) AS distinct_values, count(*) - count(quality) AS null_rows, count(*) AS total_rows FROM documents LEFT JOIN labels USING (doc_id)")
 add("read_rows", lambda t: perception.read_subtable(t.orders, ["o_orderkey", "o_totalprice"], 20, {"column": "o_orderstatus", "op": "=", "value": "F"}, ["o_totalprice DESC", "o_orderkey"], 5), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
