@@ -208,3 +208,21 @@ class Builder:
             own = value("value").column
             return own.isNull() if op == "is_null" else own.isNotNull()
         raise OpError("unsupported_predicate_operator", f"no predicate {op!r}", path)
+
+
+def columns_of(tree) -> list[str]:
+    """The columns that an expression or predicate reads, in order and once."""
+    found: dict[str, None] = {}
+
+    def visit(node) -> None:
+        if isinstance(node, Mapping):
+            if isinstance(node.get("column"), str):
+                found[node["column"]] = None
+            for v in node.values():
+                visit(v)
+        elif isinstance(node, list):
+            for v in node:
+                visit(v)
+
+    visit(tree)
+    return list(found)

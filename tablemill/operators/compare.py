@@ -13,7 +13,7 @@ def positional(df: DataFrame) -> DataFrame:
     return df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
 
 
-def bird_set(left: DataFrame, right: DataFrame) -> DataFrame:
+def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
     """(equal): whether both have the same distinct rows, by position."""
     a, b = positional(left), positional(right)
     spark = left.sparkSession

@@ -28,8 +28,8 @@ SCORED = "labels JOIN documents USING (doc_id)"
 COUNTS = lambda t: t.lineitem.select("l_returnflag", "l_quantity")
 SHUFFLED = lambda t: t.lineitem.select("l_returnflag", "l_quantity").orderBy("l_quantity")
 
-add("cmp_bird_set", lambda t: compare.bird_set(COUNTS(t), SHUFFLED(t).distinct()), "SELECT true AS equal")
-add("cmp_bird_set_differs", lambda t: compare.bird_set(COUNTS(t), COUNTS(t).filter("l_quantity < 50")), "SELECT false AS equal")
+add("cmp_bird_set", lambda t: compare.same_set(COUNTS(t), SHUFFLED(t).distinct()), "SELECT true AS equal")
+add("cmp_bird_set_differs", lambda t: compare.same_set(COUNTS(t), COUNTS(t).filter("l_quantity < 50")), "SELECT false AS equal")
 add("cmp_multiset", lambda t: compare.multiset(COUNTS(t), SHUFFLED(t)), "SELECT true AS equal")
 add("cmp_multiset_differs", lambda t: compare.multiset(COUNTS(t), COUNTS(t).distinct()), "SELECT count(*) = count(DISTINCT (l_returnflag, l_quantity)) AS equal FROM lineitem")
 add("cmp_similarity", lambda t: compare.similarity(t.documents.select("doc_id"), t.labels.select("doc_id")), "SELECT 0.8::DOUBLE * ((SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) / (SELECT count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels))) + 0.1::DOUBLE + 0.1::DOUBLE * ((SELECT count(*) FROM labels) / (SELECT count(*) FROM documents)) AS similarity")

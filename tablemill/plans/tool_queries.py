@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.operators import joins, perception, search
+from tablemill.errors import OpError
+from tablemill.functions.typed import columns_of
+from tablemill.operators import compare, joins, perception, search
 from tablemill.plans import sql as sql_
 from tablemill.plans.base import Book, Tables
-from tablemill.plans.workspace import Workspace
+from tablemill.plans.workspace import Workspace, equivalent
+from tablemill.shared import shared_dir
 from tablemill.sources import catalog, files
 
 BOOK = Book()
@@ -95,3 +98,61 @@ add("backward_slice", lambda t: (lambda w: t.spark.createDataFrame([(n,) for n i
 add("error_feedback", lambda t: t.spark.createDataFrame([(_space(t).try_call("project", table="order", expressions=["x"])["code"],), (_space(t).try_call("project", table="orders", expressions=["price"])["code"],)], "code string"), "SELECT * FROM (VALUES ('unknown_table'), ('unknown_column')) AS v(code)")
 add("answer", lambda t: (lambda w: w.answer(w.run(STEPS)["out"].name))(_space(t)), PROGRAM_SQL)
 add("join_unmatched_lineage", lambda t: joins.unmatched_count(joins.join_pair(t.customer.select("c_custkey"), t.orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey").distinct(), [{"left": "c_custkey", "right": "o_custkey"}], "left"), "o_custkey"), "SELECT count(*) AS unmatched FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+
+
+# -- files -----------------------------------------------------------------------------------
+NATION = "n_nationkey int, n_name string, n_regionkey int"
+
+
+def _through(write, read):
+    """Nations written to the shared folder and read again."""
+
+    def run(t: Tables) -> DataFrame:
+        path = shared_dir(t.spark, "files")
+        write(t.nation, path)
+        return read(t.spark, path)
+
+    return run
+
+
+add("scan_jsonl", _through(lambda df, p: df.write.json(p), lambda s, p: files.scan_jsonl(s, p, NATION)), "SELECT * FROM nation")
+add("scan_json_array", _through(lambda df, p: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(p), lambda s, p: files.scan_json_array(s, p, NATION)), "SELECT * FROM nation")
+add("scan_csv", _through(lambda df, p: df.write.option("header", True).csv(p), lambda s, p: files.scan_csv(s, p, NATION)), "SELECT * FROM nation")
+add("sink_parquet", _through(files.sink_parquet, lambda s, p: s.read.parquet(p)), "SELECT * FROM nation")
+add("sink_sample", _through(lambda df, p: files.sink_sample(df, p, 5, "n_nationkey", "nation"), lambda s, p: files.scan_jsonl(s, p, NATION + ", source string")), "SELECT *, 'nation' AS source FROM nation ORDER BY md5(CAST(n_nationkey AS VARCHAR) || '0'), n_nationkey LIMIT 5")
+
+
+def _journal(t: Tables) -> DataFrame:
+    log = files.Journal(t.spark, shared_dir(t.spark, "journal"), {"run": 1}, NATION, "n_nationkey")
+    log.append(t.nation.filter("n_nationkey < 10"))
+    log.append(t.nation.filter("n_nationkey >= 5"))
+    return log.records()
+
+
+add("sink_jsonl", _journal, "SELECT * FROM nation")
+add("page_jsonl", _through(lambda df, p: df.write.json(p), lambda s, p: perception.page(files.scan_jsonl(s, p, NATION).filter("n_regionkey BETWEEN 1 AND 3"), 1, 4, ["n_nationkey"])), "SELECT *, (SELECT count(*) FROM nation WHERE n_regionkey BETWEEN 1 AND 3) AS total_rows FROM nation WHERE n_regionkey BETWEEN 1 AND 3 ORDER BY n_nationkey LIMIT 4 OFFSET 4")
+add("adapters", lambda t: files.tasks(t.benchmark, "bench", "dev", {"task_id": "item_id", "question": "text"}), "SELECT CAST(item_id AS VARCHAR) AS task_id, 'bench' AS dataset, 'dev' AS split, NULL::VARCHAR AS db_id, text AS question, NULL::VARCHAR AS gold_sql, NULL::VARCHAR AS metadata FROM benchmark")
+
+# -- guards and provenance -----------------------------------------------------------------
+def _code(action) -> str:
+    try:
+        action()
+    except OpError as error:
+        return error.code
+    return "none"
+
+
+def _words(t: Tables, *words: str) -> DataFrame:
+    return t.spark.createDataFrame([(w,) for w in words], "word string")
+
+
+add("validate_project", lambda t: _words(t, *_space(t).check("project", table="orders", expressions=["o_orderkey AS id", "o_totalprice * 2 AS twice"])), "SELECT * FROM (VALUES ('id'), ('twice')) AS v(word)")
+add("resource_guard", lambda t: _words(t, _code(lambda: sql_.bounded(t.orders, 100)), _code(lambda: sql_.bounded(t.region, 100))), "SELECT * FROM (VALUES ('too_many_rows'), ('none')) AS v(word)")
+add("deadline", lambda t: t.spark.range(1).select(F.lit(sql_.within(t.spark, 60, lambda: t.region.count())).alias("rows")), "SELECT CAST(count(*) AS INTEGER) AS rows FROM region")
+add("sql_preview", lambda t: (lambda got: t.spark.createDataFrame([(len(got[0]), got[1])], "rows int, more boolean"))(sql_.preview(sql_.execute_sql(t.spark, "SELECT * FROM nation", {"nation": t.nation}), 10)), "SELECT 10 AS rows, true AS more")
+add("denotation_score", lambda t: compare.same_set(_after(t).answer("project_006"), sql_.execute_sql(t.spark, PROGRAM_SQL, {"orders": t.orders, "customer": t.customer})), "SELECT true AS equal")
+add("set_handle", lambda t: _words(t, _space(t).handle("ORDERS").name, *_space(t).call("distinct", table={"table": "nation"}).inputs), "SELECT * FROM (VALUES ('orders'), ('nation')) AS v(word)")
+add("lineage_columns", lambda t: _words(t, *columns_of({"op": "case_when", "branches": [{"when": {"op": ">", "left": {"column": "a"}, "right": {"value": 1}}, "then": {"column": "b"}}], "else": {"op": "add", "args": [{"column": "a"}, {"column": "c"}]}})), "SELECT * FROM (VALUES ('a'), ('b'), ('c')) AS v(word)")
+add("provenance_edges", lambda t: _after(t).provenance().filter("handle = 'filter_001' OR handle = 'project_006'"), "SELECT * FROM (VALUES ('filter_001', 'orders', 'o_orderdate'), ('project_006', 'group_005', 'c.c_mktsegment'), ('project_006', 'group_005', 'n')) AS v(handle, input, \"column\")")
+OTHER = [*STEPS[:4], {"id": "counts", "tool": "execute_sql", "args": {"sql": "SELECT * FROM customer"}}, STEPS[5] | {"args": {"table": {"step": "kept"}, "expressions": ["o_orderstatus AS segment", "o_orderkey AS n"]}}]
+add("counterfactual_suite", lambda t: equivalent(t.spark, STEPS, OTHER, "out", {"as it is": {"orders": t.orders, "customer": t.customer}, "empty": {"orders": t.orders.limit(0), "customer": t.customer}}).select("database", "has_rows"), "SELECT * FROM (VALUES ('as it is', true), ('empty', false)) AS v(database, has_rows)")

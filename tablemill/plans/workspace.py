@@ -7,6 +7,7 @@ as a DataFrame, and ``restore`` goes back to an earlier set of handles.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.errors import OpError, feedback_of
-from tablemill.operators import groups, joins, ordering, perception, rows, scalars, search, sets
+from tablemill.operators import compare, groups, joins, ordering, perception, rows, scalars, search, sets
 from tablemill.plans import sql as sql_
 
 #: Legal calls: tool name to the method that serves it and the kind its handles are named by.
@@ -105,7 +106,8 @@ class Workspace:
             df, used = self._build(tool, args)
         except (KeyError, TypeError) as error:
             raise OpError("invalid_arguments", f"{tool}: {error}") from error
-        inputs = tuple(self.handle(u).name for u in used if isinstance(u, str) and (u in self.handles or "." not in u))
+        named = (u["table"] if isinstance(u, Mapping) else u for u in used)
+        inputs = tuple(self.handle(u if u in self.handles else u.rpartition(".")[0] or u).name for u in named if isinstance(u, str))
         kind = TOOLS[tool]
         ordered = kind in MAKES_ORDER or kind in KEEPS_ORDER and bool(inputs) and self.handles[inputs[0]].ordered and not args.get("distinct")
         self.made += 1
@@ -188,11 +190,42 @@ class Workspace:
         out = Workspace(self.spark, tables).run(steps)[name]
         return out
 
+    def provenance(self) -> DataFrame:
+        """(handle, input, column): the columns that each call names of its inputs, by what its arguments say."""
+        out = []
+        for h in self.handles.values():
+            for i in h.inputs:
+                known = {c.casefold(): c for c in self.handles[i].columns} if i in self.handles else {}
+                words = " ".join(map(str, _leaves(h.facts))).casefold()
+                out += [(h.name, i, c) for low, c in known.items() if re.search(rf"(?<![\w.]){re.escape(low)}(?![\w.])", words)]
+        return self.spark.createDataFrame(out, "handle string, input string, column string")
+
     def answer(self, name: str) -> DataFrame:
         """The table of a handle, as it is."""
         return self.handle(name).df
 
 
+def _leaves(value) -> list:
+    """All values in nested arguments."""
+    if isinstance(value, Mapping):
+        return [x for v in value.values() for x in _leaves(v)]
+    return [x for v in value for x in _leaves(v)] if isinstance(value, (list, tuple)) else [value]
+
+
+def equivalent(spark: SparkSession, first: list[Mapping], second: list[Mapping], answer: str, databases: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
+    """(database, equal, has_rows): whether two programs answer alike on each of some databases.
+
+    Databases without rows in the answer say little, so whether there are any is told.
+    """
+    out = None
+    for name, tables in databases.items():
+        a, b = (Workspace(spark, tables).run(steps)[answer].df for steps in (first, second))
+        some = a.limit(1).agg((F.count("*") > 0).alias("has_rows"))
+        row = compare.same_set(a, b).crossJoin(some).select(F.lit(name).alias("database"), "equal", "has_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _reader(method: Callable) -> Callable:
     def run(self: Workspace, table, *args, **kwargs):
         return method(self.table(table), *args, **kwargs)

@@ -214,9 +214,9 @@ def test_search(spark):
 
 
 def test_comparisons(people):
-    assert compare.bird_set(people, people.distinct()).first()[0]
+    assert compare.same_set(people, people.distinct()).first()[0]
     assert not compare.multiset(people, people.distinct()).first()[0]
-    assert not compare.bird_set(people.select("id"), people).first()[0]
+    assert not compare.same_set(people.select("id"), people).first()[0]
     assert compare.similarity(people, people).first()[0] == pytest.approx(1.0)
     assert compare.fingerprint_set(people).first() == compare.fingerprint_set(people.distinct().repartition(3)).first()
     assert compare.multiset(people.select(F.lit(1.0).alias("x")), people.select(F.lit(1).alias("x"))).first()[0]
