@@ -3,46 +3,20 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-import tablemill
+from tablemill.shared import shared_dir, written
 
-#: Functions of this package travel to the executors by value, so that nothing need be installed there.
-cloudpickle.register_pickle_by_value(tablemill)
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "open_fs", "shared_dir", "word_count", "worker_cache", "written"]
 
 #: Bytes that end a word: ASCII white space. bytes.split() without arguments splits on just these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session has no such setting (tests, a laptop) it is set to a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tablemill-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    It cuts the lineage: a lost executor costs the tasks it ran, never the steps before.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str):
     """(file system, path) of a URI, with pyarrow, on a driver or an executor."""
     from pyarrow import fs

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled texts, and characters of them, that the model is fitted on at most.
-SAMPLE, SAMPLE_CHARS = 4_000, 12_000_000
+#: Labelled texts, and characters of them, that the model is fitted on at most; texts longer than LONGEST are scored but not fitted on.
+SAMPLE, SAMPLE_CHARS, LONGEST = 4_000, 12_000_000, 20_000
 FEATURES = 30_000
 #: Texts that a feature must be in, and the least log of the ratio of its shares in toxic and in clean texts.
 LEAST_TEXTS, LEAST_ODDS = 3, 1.5
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents, and at most ``SAMPLE_CHARS`` characters of whole texts."""
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", order.alias("h")).orderBy("h", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
+    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST)).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
     used, out = 0, []
     sized = rows.select("h", "toxic", "text").orderBy("h", "toxic", "text").limit(sample).collect()
     for r in sized:

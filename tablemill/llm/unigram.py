@@ -4,12 +4,13 @@ A text's pre-tokens are its words, each after a word mark. Distinct pre-tokens g
 a node holds the best score of its prefix, that is the largest sum of piece scores over all
 ways to cut it, and the number of pieces of that way. A prefix's score depends on the prefix
 alone, so it is computed once, however many pre-tokens share it, and a pre-token's terminal node
-gives its count. Texts are read once and nothing is shuffled; each task keeps a trie of at
-most ``NODES`` nodes, which starts anew when it is full.
+gives its count. Texts are read once and nothing is shuffled; each worker keeps a trie of at
+most ``NODES`` nodes, which starts anew when it is full, and the counts of at most ``WORDS`` words.
 
 The vocabulary is a public file's pieces, taken as ordered by frequency: the score of rank r
-is the logarithm of its chance under Zipf's law, 1 / (r + 2) over the sum of these. A character that no piece covers costs ``UNKNOWN`` and counts as
-its UTF-8 bytes. Of ways with the same score the one with fewer tokens counts.
+is the logarithm of its chance under Zipf's law, 1 / (r + 2) over the sum of these. A character
+that no piece covers costs ``UNKNOWN`` and counts as its UTF-8 bytes. Of ways with the same
+score the one with fewer tokens counts.
 
 Edge cases: null, empty and blank texts have no tokens; repeated rows each get a row; an empty
 table gives an empty result; ``token_counts`` keeps all columns (one named like a column it
@@ -18,6 +19,7 @@ adds is replaced).
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablemill.llm.common import worker_cache
+
 MARK = "▁"
 UNKNOWN = -30.0
-NODES = 300_000
+NODES, WORDS = 300_000, 500_000
 ADDED = "n_words long, n_tokens long"
 
 
@@ -81,12 +85,16 @@ class Trie:
 def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = NODES) -> DataFrame:
     """``docs`` with n_words and n_tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)  # a vocabulary: some ten thousand pieces
+    key = uuid.uuid4().hex
     added = T._parse_datatype_string(ADDED)
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
     at, schema = kept.index("text"), T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(shared.value), {}
+        held = worker_cache()
+        if held.get("unigram_key") != key:  # Spark runs many tasks in one worker
+            held.update(unigram_key=key, trie=Trie(shared.value), words={})
+        trie, known = held["trie"], held["words"]
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(at).to_pylist():
@@ -96,8 +104,9 @@ def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = NODES)
                     if count is None:
                         if len(trie.next) > nodes:
                             trie.clear()
-                            known.clear()
-                        count = known[word] = trie.insert(MARK + word)
+                        count = trie.insert(MARK + word)
+                        if len(known) < WORDS:
+                            known[word] = count
                     total += n * count
                 words.append(sum(own.values()))
                 tokens.append(total)
