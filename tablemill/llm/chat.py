@@ -23,9 +23,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,40 +144,62 @@ def _line_matrices(model: Model, text: str | None) -> list[np.ndarray]:
 
 SIZE = len(ROLES)
 NO_TURN, A_TURN = "0", "1"
-MATRIX = "conv_id {kind}, at long, tie string, m array<double>"
+
+
+def _matrix(values: list[float]) -> np.ndarray:
+    return np.array(values).reshape(SIZE, SIZE)
 
 
 def _blocks(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ms = []
-            for text in pdf.text:
-                parts = _line_matrices(model, text)
-                m = parts[0]
-                for other in parts[1:]:
-                    m = product(m, other)
-                ms.append(m.ravel())
-            yield pdf.assign(m=ms)
+    """Adds each block's matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ms = [reduce(product, _line_matrices(model, t)).ravel().tolist() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ms, pa.list_(pa.float64()))], names=[*batch.schema.names, "m"])
+
+    return run
+
+
+def _by_chunk(of, names: list[str]):
+    """Runs ``of`` on the rows of each chunk (conv_id, up) in turn; rows come sorted, a chunk may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held, key = None, [], None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            schema, out = [KINDS.get(n, batch.schema.field("conv_id").type) for n in names], []
+            for row in zip(*cols, strict=True):
+                if held and row[:2] != key:
+                    out += of(held)
+                    held = []
+                key = row[:2]
+                held.append(row)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of(of(held))
 
     return run
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The product of a chunk's matrices, in order."""
-    pdf = pdf.sort_values(["at", "tie"], kind="stable")
-    m = None
-    for x in pdf.m:
-        x = np.array(x).reshape(SIZE, SIZE)
-        m = x if m is None else product(m, x)
-    return pd.DataFrame({"conv_id": pdf.conv_id.iloc[:1], "at": pdf.up.iloc[:1], "tie": [""], "m": [m.ravel()]})
+KINDS = {"at": pa.int64(), "tie": pa.string(), "m": pa.list_(pa.float64()), "text": pa.string(), "before": pa.int32(), "last": pa.int32()}
 
 
-def _resolved(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each member's role before and after, from its chunk's."""
-    pdf = pdf.sort_values(["at", "tie"], kind="stable")
-    after = path([np.array(x).reshape(SIZE, SIZE) for x in pdf.m], int(pdf.before.iloc[0]), int(pdf["last"].iloc[0]))
-    before = [int(pdf.before.iloc[0]), *after[:-1]]
-    return pdf[["conv_id", "at", "tie", "text"]].assign(before=before, last=after)
+def _joined(rows: list[tuple]) -> list[tuple]:
+    """A chunk's rows (conv_id, up, at, tie, m) as one: the product of their matrices."""
+    m = reduce(product, (_matrix(r[4]) for r in rows))
+    return [(rows[0][0], rows[0][1], "", m.ravel().tolist())]
+
+
+def _resolved(rows: list[tuple]) -> list[tuple]:
+    """A chunk's rows (conv_id, up, at, tie, m, text, before, last), with their own role before and after instead of the chunk's."""
+    after = path([_matrix(r[4]) for r in rows], rows[0][6], rows[0][7])
+    return [(r[0], r[2], r[3], r[5], b, e) for r, b, e in zip(rows, [rows[0][6], *after[:-1]], after, strict=True)]
 
 
 def parse(blocks: DataFrame, model: Model) -> DataFrame:
@@ -183,42 +207,40 @@ def parse(blocks: DataFrame, model: Model) -> DataFrame:
     kind = blocks.schema["conv_id"].dataType.simpleString()
     tie = F.concat(F.when(F.col("turn").isNull(), NO_TURN).otherwise(A_TURN), F.coalesce("text", F.lit("")))
     rows = blocks.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("at"), tie.alias("tie"), "text")
-    level = written(rows.mapInPandas(_blocks(model), f"conv_id {kind}, at long, tie string, text string, m array<double>"), "chat-blocks")
+    level = written(rows.mapInArrow(_blocks(model), f"conv_id {kind}, at long, tie string, text string, m array<double>"), "chat-blocks")
     levels, up = [level], F.floor(F.col("at") / SPAN)
     span = level.agg(F.max("at").alias("hi"), F.min("at").alias("lo")).first()
     far = max(abs(span.hi or 0), abs((span.lo or 0) - 1))
     while True:  # the top level has one chunk a conversation
         top = far < SPAN
         near = F.lit(0).cast("long") if top else up
-        cut = levels[-1].withColumn("up", near).select("conv_id", "at", "tie", "m", "up")
-        done = cut.groupBy("conv_id", "up").applyInPandas(_joined, MATRIX.format(kind=kind))
+        cut = levels[-1].select("conv_id", near.alias("up"), "at", "tie", "m").repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at", "tie")
+        done = cut.mapInArrow(_by_chunk(_joined, ["conv_id", "at", "tie", "m"]), f"conv_id {kind}, at long, tie string, m array<double>")
         levels.append(written(done, "chat-chunks"))
         if top:
             break
         far = far // SPAN + 1
     start = model.start
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The role before the first line is a made-up one: all that counts is the best way from it."""
-        for pdf in batches:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best role before the first line, a made-up one, and the best last role."""
+        for batch in batches:
             out = []
-            for m in pdf.m:
-                whole = start[:, None] + np.array(m).reshape(SIZE, SIZE)
-                before, last = np.unravel_index(whole.argmax(), whole.shape)
-                out.append((int(before), int(last)))
-            yield pdf[["conv_id", "at", "tie"]].assign(before=[x[0] for x in out], last=[x[1] for x in out])
-
-    spot = f"conv_id {kind}, at long, tie string, before int, last int"
-    known = levels[-1].select("conv_id", "at", "tie", "m").mapInPandas(ends, spot)
+            for m in batch.column("m").to_pylist():
+                whole = start[:, None] + _matrix(m)
+                out.append(np.unravel_index(whole.argmax(), whole.shape))
+            spots = [pa.array([int(x[i]) for x in out], pa.int32()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "at", "tie")), *spots], names=["conv_id", "at", "tie", "before", "last"])
+
+    known = levels[-1].select("conv_id", "at", "tie", "m").mapInArrow(ends, f"conv_id {kind}, at long, tie string, before int, last int")
     for n in range(len(levels) - 2, -1, -1):
-        known = written(known, "chat-known")
+        known = written(known.select(F.col("conv_id").alias("c"), F.col("at").alias("up_"), "before", "last"), "chat-known")
         near = F.lit(0).cast("long") if n == len(levels) - 2 else up
-        own = levels[n].withColumn("up", near)
-        if "text" not in own.columns:
-            own = own.withColumn("text", F.lit(None).cast("string"))
-        ends_ = known.select(F.col("conv_id").alias("c"), F.col("at").alias("up_"), "before", "last")
-        both = own.join(ends_, own.conv_id.eqNullSafe(F.col("c")) & (own.up == F.col("up_"))).drop("c", "up_")
-        known = both.groupBy("conv_id", "up").applyInPandas(_resolved, f"conv_id {kind}, at long, tie string, text string, before int, last int")
+        text = F.col("text") if n == 0 else F.lit(None).cast("string").alias("text")
+        own = levels[n].select("conv_id", near.alias("up"), "at", "tie", "m", text)
+        both = own.join(known, own.conv_id.eqNullSafe(F.col("c")) & (own.up == F.col("up_"))).drop("c", "up_")
+        dealt = both.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at", "tie")
+        known = dealt.mapInArrow(_by_chunk(_resolved, ["conv_id", "at", "tie", "text", "before", "last"]), f"conv_id {kind}, at long, tie string, text string, before int, last int")
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
