@@ -25,14 +25,16 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Cells as text: null is empty, numbers have four decimals at most and none if whole."""
+    """Cells as text: null is empty; numbers, also those in text, are whole or have four decimals; truth values are 1 and 0."""
     out = []
     for i, f in enumerate(df.schema.fields):
         own: Column = col(f.name)
-        if f.dataType.typeName() in ("double", "float", "decimal"):
-            near = F.abs(own - F.round(own)) < 1e-9
-            own = F.when(near, F.round(own).cast("long").cast("string")).otherwise(F.round(own.cast("double"), 4).cast("string"))
-        out.append(F.coalesce(own.cast("string"), F.lit("")).alias(f"c{i}"))
+        text = F.trim((own.cast("int") if f.dataType.typeName() == "boolean" else own).cast("string"))
+        number = text.try_cast("double")
+        whole = F.abs(number - F.round(number)) < 1e-6
+        far = F.abs(number) >= 9e15  # beyond whole doubles, and not finite ones
+        shown = F.when(number.isNull(), text).when(F.isnan(number), "nan").when(far, F.lower(text)).when(whole, F.round(number).cast("long").cast("string")).otherwise(F.format_string("%.4f", number))
+        out.append(F.coalesce(shown, F.lit("")).alias(f"c{i}"))
     return df.select(*out)
 
 
@@ -47,17 +49,14 @@ def multiset(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(similarity): 0.8 x Jaccard index of distinct rows + 0.1 x ratio of widths + 0.1 x ratio of row counts."""
-    a, b = normalized(left), normalized(right)
-    width = min(len(a.columns), len(b.columns)) / max(len(a.columns), len(b.columns))
-    counts = lambda df, n: df.agg(F.count("*").alias(n))
-    text = lambda df: df.select(F.to_json(F.array(*df.columns)).alias("row")).distinct()
-    rows = text(a).withColumn("l", F.lit(1)).join(text(b).withColumn("r", F.lit(1)), "row", "full")
-    own = rows.agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count("*").alias("any"))
-    all_ = own.crossJoin(counts(a, "n")).crossJoin(counts(b, "m"))
-    jaccard = F.when(F.col("any") == 0, 1.0).otherwise(F.col("both") / F.col("any"))
-    ratio = F.when(F.greatest("n", "m") == 0, 1.0).otherwise(F.least("n", "m") / F.greatest("n", "m"))
-    return all_.select((0.8 * jaccard + 0.1 * F.lit(width) + 0.1 * ratio).alias("similarity"))
+    """(similarity): 0.8 x Jaccard index of distinct rows + 0.1 for equal widths + 0.1 x ratio of the distinct rows' numbers."""
+    one = lambda df, side: positional(df).select(F.to_json(F.array(*(F.col(f"c{i}").cast("string") for i in range(len(df.columns))))).alias("row")).distinct().withColumn(side, F.lit(1))
+    rows = one(left, "l").join(one(right, "r"), "row", "full")
+    sums = rows.agg(F.count("l").alias("n"), F.count("r").alias("m"), F.count(F.col("l") + F.col("r")).alias("both"), F.count("*").alias("any"))
+    jaccard = F.when(F.col("any") == 0, 1.0).otherwise(F.try_divide("both", "any"))
+    ratio = F.when(F.greatest("n", "m") == 0, 1.0).otherwise(F.try_divide(F.least("n", "m"), F.greatest("n", "m")))
+    width = float(len(left.columns) == len(right.columns))
+    return sums.select((0.8 * jaccard + 0.1 * F.lit(width) + 0.1 * ratio).alias("similarity"))
 
 
 def projection(wider: DataFrame, target: DataFrame) -> DataFrame:

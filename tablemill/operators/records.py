@@ -45,14 +45,31 @@ def ambiguity_mask(df: DataFrame, keys: list[str], correct: str = "correct", as_
     return df.join(both, keys).withColumn(as_, F.when(F.col("__both"), 0).otherwise(1)).drop("__both")
 
 
-def reward_ladder(legal: Column, answered: Column, similarity: Column) -> Column:
-    """1 for the right result, by steps less for a similar one, a legal answer, and none."""
-    return F.when(similarity >= 1, 1.0).when(answered & (similarity > 0), 0.5).when(legal, 0.1).otherwise(0.0)
+#: Rewards by profile: (right without errors, right with errors, wrong with errors, wrong without errors).
+REWARDS = {
+    "binary": (1.0, 1.0, 0.0, 0.0),
+    "signed-binary": (1.0, 1.0, -1.0, -1.0),
+    "four-level": (1.5, 1.0, -1.0, -0.5),
+    "three-level-clean-weighted": (1.25, 0.75, -1.0, -1.0),
+}
 
 
-def search_reduction(before: Column, after: Column) -> Column:
-    """Logarithm of how many times fewer rows are left."""
-    return F.ln((before + 1) / (after + 1))
+def result_reward(correct: Column, errors: Column, profile: str = "binary") -> Column:
+    """The reward of a run by whether its result is right and whether any call failed."""
+    clean, patched, failed, wrong = REWARDS[profile]
+    return F.when(correct, F.when(errors, patched).otherwise(clean)).otherwise(F.when(errors, failed).otherwise(wrong))
+
+
+def execution_reward(correct: Column, executable: Column) -> Column:
+    """1 for the right result, 0.2 for one that at least runs."""
+    return F.when(correct, 1.0).when(executable, 0.2).otherwise(0.0)
+
+
+def search_reduction(root: Column, before: Column, after: Column) -> Column:
+    """How far a step narrows a search, as a share of the whole way on a logarithmic scale; 0 if it widens it or finds nothing."""
+    real = [x.cast("double") for x in (root, before, after)]
+    narrows = (root > 0) & (before >= 0) & (after > 0) & (after <= before)
+    return F.when(narrows, (F.ln(real[1] + 1) - F.ln(real[2] + 1)) / F.ln(real[0] + 1)).otherwise(0.0)
 
 
 def percentile(df: DataFrame, column: str, share: float, how: str = "linear") -> DataFrame:
@@ -61,11 +78,12 @@ def percentile(df: DataFrame, column: str, share: float, how: str = "linear") ->
         return df.agg(F.percentile(col(column), F.lit(share)).alias("value"))
     if how == "nearest":  # the smallest value with at least this share of rows up to it
         return df.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
-    if how == "floor":  # the value at index floor(share * (n - 1))
+    if how == "floor":  # the value at index floor(share * n), the last at most
         n = df.agg(F.count(col(column))).first()[0]
-        index = math.floor(share * (n - 1)) if n else 0
-        rank = (index + 1) / n if n else 1.0
-        return df.agg(F.expr(f"percentile_disc({max(0.0, rank - 1e-12)!r}D) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
+        index = min(n - 1, math.floor(share * n)) if n else 0
+        # The middle between two ranks: whatever rounding does, it means the order statistic at index.
+        rank = (index + 0.5) / n if n else 1.0
+        return df.agg(F.expr(f"percentile_disc({rank!r}D) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
     raise OpError("unsupported_operator", f"no percentile {how!r}")
 
 
@@ -258,8 +276,8 @@ def failure_buckets(records: DataFrame, rules: list[tuple[str, Column]], other:
 def soft_similarity(cells: DataFrame, candidate: str, place: str, value: str) -> DataFrame:
     """(a, b, similarity) of candidates with a cell in common, from cells (candidate, place, value).
 
-    The similarity is the part of the larger cell count that both have, summed by column and value; candidates are few
-    (samples for one question), and pairs without a common cell, whose similarity is 0, have no row.
+    The similarity is the sum of the smaller counts of each column's value over the sum of the larger ones. Candidates
+    are few (samples for one question); pairs without a common cell, whose similarity is 0, have no row.
     """
     counts = cells.groupBy(candidate, place, value).agg(F.count("*").alias("n"))
     sizes = cells.groupBy(col(candidate).alias("c")).agg(F.count("*").alias("size"))
@@ -267,7 +285,7 @@ def soft_similarity(cells: DataFrame, candidate: str, place: str, value: str) ->
     b = counts.select(col(candidate).alias("b"), col(place).alias("p2"), col(value).alias("v2"), F.col("n").alias("nb"))
     both = a.join(b, (F.col("p") == F.col("p2")) & F.col("v").eqNullSafe(F.col("v2"))).groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("same"))
     out = both.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("size", "sa"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("size", "sb"), "b")
-    return out.select("a", "b", (F.col("same") / F.greatest("sa", "sb")).alias("similarity"))
+    return out.select("a", "b", (F.col("same") / (F.col("sa") + F.col("sb") - F.col("same"))).alias("similarity"))
 
 
 def majority_medoid(similarities: DataFrame) -> DataFrame:
@@ -277,21 +295,21 @@ def majority_medoid(similarities: DataFrame) -> DataFrame:
 
 
 def quotas(sizes: dict, total: int) -> dict:
-    """Whole numbers in proportion to ``sizes`` that add up to ``total``: the largest shortfalls are rounded up."""
+    """Whole numbers in proportion to ``sizes`` that add up to ``total``: the largest shortfalls are rounded up, of equal ones the last by name."""
     all_ = sum(sizes.values())
     exact = {k: Fraction(n * total, all_) for k, n in sizes.items()} if all_ else {}
     out = {k: int(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (out[k] - exact[k], str(k)))[: total - sum(out.values())]:
+    for k in sorted(exact, key=lambda k: (exact[k] - out[k], str(k)), reverse=True)[: total - sum(out.values())]:
         out[k] += 1
     return out
 
 
-def stratified_quota(df: DataFrame, cell: str, key: str, total: int, seed: str = "") -> DataFrame:
-    """``total`` rows in proportion to the cells, in each the smallest by SHA-256 of seed and key."""
+def stratified_quota(df: DataFrame, cell: str, key: str, total: int, seed: str = "", space: str = "") -> DataFrame:
+    """``total`` rows in proportion to the cells, in each the smallest by SHA-256 of seed, name space and key."""
     spark: SparkSession = df.sparkSession
     sizes = {r[0]: r[1] for r in df.groupBy(cell).count().collect()}
     plan = spark.createDataFrame(list(quotas(sizes, min(total, sum(sizes.values()))).items()) or [], f"__cell {df.schema[cell].dataType.simpleString()}, __quota long")
-    place = F.row_number().over(Window.partitionBy(cell).orderBy(F.sha2(F.concat(F.lit(seed), col(key).cast("string")), 256)))
+    place = F.row_number().over(Window.partitionBy(cell).orderBy(F.sha2(F.concat(F.lit(f"{seed}\0{space}\0"), col(key).cast("string")), 256)))
     return df.join(plan, col(cell).eqNullSafe(F.col("__cell"))).withColumn("__place", place).filter("__place <= __quota").drop("__cell", "__quota", "__place")
 
 

@@ -45,18 +45,19 @@ def cells(t: Tables) -> DataFrame:
 PAIRS = """WITH k AS (SELECT user_id AS c, event_type AS v, count(*) AS n FROM events WHERE user_id < 12 GROUP BY ALL),
 s AS (SELECT c, sum(n) AS size FROM k GROUP BY c),
 p AS (SELECT x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS same FROM k x JOIN k y USING (v) GROUP BY ALL),
-r AS (SELECT a, b, CAST(same / greatest(s1.size, s2.size) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.c = a JOIN s s2 ON s2.c = b) """
+r AS (SELECT a, b, CAST(same / (s1.size + s2.size - same) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.c = a JOIN s s2 ON s2.c = b) """
 add("soft_similarity", lambda t: records.soft_similarity(cells(t), "candidate", "place", "value"), PAIRS + "SELECT * FROM r")
 add("majority_medoid", lambda t: records.majority_medoid(records.soft_similarity(cells(t), "candidate", "place", "value")), PAIRS + "SELECT a AS candidate FROM r GROUP BY a ORDER BY round(sum(similarity), 12) DESC, a LIMIT 1")
 add("pass_at_k", lambda t: records.pass_at_k(samples(t), 3), f"SELECT CAST(sum(ok) AS BIGINT) AS passed, count(*) AS tasks, avg(ok) AS rate FROM (SELECT task, max(CASE WHEN sample < 3 AND correct THEN 1 ELSE 0 END) AS ok FROM {SAMPLES} GROUP BY task)")
 add("group_advantage", lambda t: records.group_advantage(samples(t).select("event_id", "task", "value"), "task", "value").withColumn("advantage", F.round("advantage", 6)), f"SELECT event_id, task, value, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) END, 6) AS advantage FROM {SAMPLES} WINDOW w AS (PARTITION BY task)")
 add("return_to_go", lambda t: records.return_to_go(t.conversations.select("conv_id", "turn", F.length("text").alias("reward")), "conv_id", "turn", "reward", 0.5).withColumn("return_to_go", F.round("return_to_go", 6)), "SELECT a.conv_id, a.turn, CAST(length(a.text) AS INTEGER) AS reward, round(sum(length(b.text) * pow(0.5, b.turn - a.turn)), 6) AS return_to_go FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn >= a.turn GROUP BY a.conv_id, a.turn, a.text")
 add("ambiguity_mask", lambda t: records.ambiguity_mask(samples(t).select("event_id", "user_id", "event_type", "correct"), ["user_id", "event_type"]), f"SELECT event_id, user_id, event_type, correct, CASE WHEN bool_and(correct) OVER w <> bool_or(correct) OVER w THEN 0 ELSE 1 END AS mask FROM {SAMPLES} WINDOW w AS (PARTITION BY user_id, event_type)")
-add("reward_ladder", lambda t: scored(t).select("doc_id", records.reward_ladder(F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") / 1000).alias("reward")), f"SELECT doc_id, CAST(CASE WHEN n_chars / 1000 >= 1 THEN 1 WHEN toxic = 0 AND n_chars > 0 THEN 0.5 WHEN quality = 1 THEN 0.1 ELSE 0 END AS DOUBLE) AS reward FROM {SCORED}")
-add("search_reduction", lambda t: t.orders.groupBy("o_custkey").agg(records.search_reduction(F.count("*"), F.count_if(F.col("o_totalprice") > 200000)).alias("gain")).withColumn("gain", F.round("gain", 9)), "SELECT o_custkey, round(ln((count(*) + 1) / (count(*) FILTER (WHERE o_totalprice > 200000) + 1)), 9) AS gain FROM orders GROUP BY o_custkey")
+add("reward_ladder", lambda t: scored(t).select("doc_id", records.result_reward(F.col("quality") == 1, F.col("toxic") == 1, "four-level").alias("reward")), f"SELECT doc_id, CAST(CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 1.0 ELSE 1.5 END WHEN toxic = 1 THEN -1.0 ELSE -0.5 END AS DOUBLE) AS reward FROM {SCORED}")
+add("reward_execution", lambda t: scored(t).select("doc_id", records.execution_reward(F.col("quality") == 1, F.col("n_chars") > 500).alias("reward")), f"SELECT doc_id, CAST(CASE WHEN quality = 1 THEN 1 WHEN n_chars > 500 THEN 0.2 ELSE 0 END AS DOUBLE) AS reward FROM {SCORED}")
+add("search_reduction", lambda t: t.orders.groupBy("o_custkey").agg(records.search_reduction(F.count("*") + 10, F.count("*"), F.count_if(F.col("o_totalprice") > 200000)).alias("gain")).withColumn("gain", F.round("gain", 9)), "SELECT o_custkey, round(CASE WHEN count(*) FILTER (WHERE o_totalprice > 200000) > 0 THEN (ln(count(*) + 1) - ln(count(*) FILTER (WHERE o_totalprice > 200000) + 1)) / ln(count(*) + 11) ELSE 0 END, 9) AS gain FROM orders GROUP BY o_custkey")
 add("percentile_linear", lambda t: records.percentile(t.orders, "o_totalprice", 0.9), "SELECT quantile_cont(o_totalprice, 0.9) AS value FROM orders")
 add("percentile_nearest", lambda t: records.percentile(t.orders, "o_totalprice", 0.9, "nearest"), "SELECT quantile_disc(o_totalprice, 0.9) AS value FROM orders")
-add("percentile_floor", lambda t: records.percentile(t.orders, "o_totalprice", 0.37, "floor"), "SELECT o_totalprice AS value FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET (SELECT CAST(floor(0.37::DOUBLE * (count(*) - 1)) AS BIGINT) FROM orders)")
+add("percentile_floor", lambda t: records.percentile(t.orders, "o_totalprice", 0.37, "floor"), "SELECT o_totalprice AS value FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET (SELECT CAST(floor(0.37::DOUBLE * count(*)) AS BIGINT) FROM orders)")
 add("distribution", lambda t: records.distribution(t.documents, "n_chars"), "SELECT count(n_chars) AS n, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.75) AS p75, quantile_cont(n_chars, 0.9) AS p90, CAST(max(n_chars) AS DOUBLE) AS max FROM documents")
 RANKS = f"(SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r FROM {SCORED})"
 add("roc_auc", lambda t: records.roc_auc(scored(t), "n_chars", "quality").select(F.round("auc", 9).alias("auc")), f"SELECT round((sum(r) FILTER (WHERE quality = 1) - p * (p + 1) / 2) / (p * (n - p)), 9) AS auc FROM {RANKS}, (SELECT count(*) FILTER (WHERE quality = 1) AS p, count(*) AS n FROM {SCORED}) GROUP BY p, n")
@@ -93,8 +94,8 @@ add("tool_usage", lambda t: records.tool_usage(t.events, "user_id", "event_type"
 add("failure_buckets", lambda t: records.failure_buckets(scored(t), [("toxic", F.col("toxic") == 1), ("poor", F.col("quality") == 0), ("short", F.col("n_chars") < 200)]), f"SELECT CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN n_chars < 200 THEN 'short' ELSE 'other' END AS bucket, count(*) AS n FROM {SCORED} GROUP BY 1")
 add("stratified_quota", lambda t: records.stratified_quota(t.documents.select("doc_id", "lang"), "lang", "doc_id", 40), """
     WITH n AS (SELECT lang, count(*) AS k, count(*) * 40 // (SELECT count(*) FROM documents) AS low, count(*) * 40 % (SELECT count(*) FROM documents) AS rest FROM documents GROUP BY lang),
-    q AS (SELECT lang, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang) <= 40 - sum(low) OVER () THEN 1 ELSE 0 END AS quota FROM n)
-    SELECT doc_id, lang FROM documents JOIN q USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= max(quota) OVER (PARTITION BY lang)""")
+    q AS (SELECT lang, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang DESC) <= 40 - sum(low) OVER () THEN 1 ELSE 0 END AS quota FROM n)
+    SELECT doc_id, lang FROM documents JOIN q USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256(chr(0) || chr(0) || CAST(doc_id AS VARCHAR))) <= max(quota) OVER (PARTITION BY lang)""")
 add("quantile_bins", lambda t: records.quantile_bins(t.documents.select("doc_id", "n_chars"), "n_chars"), "WITH c AS (SELECT quantile_disc(n_chars, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM documents) SELECT doc_id, n_chars, 'q' || (len(list_filter(cuts, lambda x: x < n_chars)) + 1) AS bin FROM documents, c")
 add("weighted_interleave", lambda t: records.weighted_interleave(t.documents.select("doc_id", "lang"), "lang", "doc_id"), "SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 0.5) / count(*) OVER (PARTITION BY lang) AS DOUBLE) AS place FROM documents")
 add("round_robin_shard", lambda t: records.round_robin_shard(t.documents.select("doc_id"), "doc_id", 7), "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 7 AS INTEGER) AS shard FROM documents")

@@ -220,6 +220,9 @@ def test_comparisons(people):
     assert compare.similarity(people, people).first()[0] == pytest.approx(1.0)
     assert compare.fingerprint_set(people).first() == compare.fingerprint_set(people.distinct().repartition(3)).first()
     assert compare.multiset(people.select(F.lit(1.0).alias("x")), people.select(F.lit(1).alias("x"))).first()[0]
+    assert compare.multiset(people.select(F.lit(" 2.50001 ").alias("x")), people.select(F.lit(2.5).alias("x"))).first()[0]
+    assert compare.multiset(people.select(F.lit(True).alias("x")), people.select(F.lit("1").alias("x"))).first()[0]
+    assert compare.similarity(people.select("id"), people).first()[0] == pytest.approx(0.1)
 
 
 def test_statistics(spark):
