@@ -36,6 +36,7 @@ HEAD = 33
 LEVEL = 6
 ADDRESS = "n_bytes long, digest string, shard string, offset long, length long"
 HEADER = "width int, height int, bit_depth int, color_type int"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def padded(payload: bytes) -> bytes:
@@ -183,23 +184,22 @@ def header_columns(media: DataFrame) -> DataFrame:
 
 def features_of(data: bytes) -> tuple:
     """What ``read_media`` adds, from a stored member."""
-    width, height, depth, colour = header_of(data[:HEAD])
+    width, height, depth, _ = header_of(data[:HEAD])
     payload = samples_of(data)
     counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
     share = counts[counts > 0] / len(payload)
     mean, bits = float((counts * np.arange(256)).sum()) / len(payload), float(-(share * np.log2(share)).sum())
     feature = f"png {width}x{height} depth {depth} mean {mean:.3f} entropy {bits + 0.0:.3f}"
     digest = hashlib.sha256(payload).hexdigest()
-    return len(payload), digest, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, width, height, depth, colour
+    return len(payload), digest, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """``media`` with sizes, digests, a feature and the header's fields, from the stored members."""
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _reading(media, f"{added}, {HEADER}", lambda size: size, features_of)
+    """``media`` with sizes, digests and a feature, from the stored members read whole."""
+    return _reading(media, FEATURES, lambda size: size, features_of)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """The contract's columns, read back from the shards, and each row's address and header."""
+    """The contract's columns, read back from the shards, and the size of the image from its header."""
     names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature width height"
-    return read_media(write_media(docs.select("doc_id", "text"))).select(*names.split())
+    return read_media(header_columns(write_media(docs.select("doc_id", "text")))).select(*names.split())
