@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,10 @@ ROW = 1000
 class Encoder:
     """Ids of whole texts as bytes of ``width`` bytes an id."""
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -92,11 +93,11 @@ class Encoder:
         return out
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(key: str, definition) -> Encoder:
     """This worker's encoder; Spark runs many tasks in one worker, and what it knows serves them all."""
     held = worker_cache()
-    if held.get("encoder_path") != path:
-        held.update(encoder_path=path, encoder=Encoder(path))
+    if held.get("encoder_key") != key:
+        held.update(encoder_key=key, encoder=Encoder(definition.value))
     return held["encoder"]
 
 
@@ -172,7 +173,7 @@ class PerfectHash:
         return slots
 
 
-def _encode_partition(folder: str, tokenizer: str, end_id: int):
+def _encode_partition(folder: str, definition, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -183,7 +184,7 @@ def _encode_partition(folder: str, tokenizer: str, end_id: int):
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = encoder_of(tokenizer)
+                encoder = encoder_of(folder, definition)
                 fs, path = open_fs(f"{name}.bin")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
@@ -222,12 +223,13 @@ def _encode_partition(folder: str, tokenizer: str, end_id: int):
 
 
 def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the shards; (doc_id, number, n_ids, shard, place, base): base is the ids of all shards before."""
+    """Writes the shards with the tokenizer in the driver's file ``tokenizer``; (doc_id, number, n_ids, shard, place, base): base is the ids of all shards before."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder, kind = shared_dir(spark, "token-shards"), docs.schema["doc_id"].dataType.simpleString()
+    definition = spark.sparkContext.broadcast(Path(tokenizer).read_text())  # a tokenizer's definition: about 2 MB
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(_encode_partition(folder, tokenizer, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
+    rows = ordered.mapInArrow(_encode_partition(folder, definition, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
     rows = written(rows, "token-rows")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     each = rows.groupBy("shard", "place").agg(F.sum("n_ids").alias("n"))
