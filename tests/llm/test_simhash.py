@@ -44,12 +44,10 @@ def plain_components(rows):
 
 def test_fingerprint_matches_spark_hash(spark):
     text = "Ärger Über alles  IN the world\x0bof\tTHE words"
-    low = text.replace("IN", "in").replace("THE", "the").replace("Ü", "Ü")
     assert simhash.fingerprint(text) == plain_fingerprint(text)
     one = spark.createDataFrame([("a b c",)], "s string").select(F.xxhash64("s")).first()[0] % (1 << 64)
     assert simhash.fingerprint("A b\nC") == one
     assert simhash.fingerprint("") == simhash.fingerprint(None) == 0
-    assert low
 
 
 @pytest.mark.parametrize("block", [2, 4096])
