@@ -15,8 +15,8 @@ gave for the pieces it has met, since the library encodes pieces one by one anyw
 characters beyond Latin or with special tokens in them go to the library whole.
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come first; rows with
-equal doc_id are ordered by text and keyed by their number among them; an empty table writes
-no shard; other columns are ignored.
+equal doc_id are ordered by their text's hash and keyed by their number among them in their shard; an empty
+table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -228,8 +228,10 @@ def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, end
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder, kind = shared_dir(spark, "token-shards"), docs.schema["doc_id"].dataType.simpleString()
     definition = spark.sparkContext.broadcast(Path(tokenizer).read_text())  # a tokenizer's definition: about 2 MB
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(_encode_partition(folder, definition, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
+    # Rows that share a doc_id, however many, are dealt out by text and then by place, so no shard need hold them all.
+    keys = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"), F.monotonically_increasing_id().alias("__place"))
+    ordered = keys.repartitionByRange(shards, "doc_id", "__text", "__place").sortWithinPartitions("doc_id", "__text", "__place")
+    rows = ordered.select("doc_id", "text").mapInArrow(_encode_partition(folder, definition, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
     rows = written(rows, "token-rows")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     each = rows.groupBy("shard", "place").agg(F.sum("n_ids").alias("n"))
@@ -294,7 +296,7 @@ def read_documents(rows: DataFrame) -> DataFrame:
             reader.close()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spread = rows.select("doc_id", "number", "shard", "base").repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id", "number")
+    spread = rows.select("doc_id", "number", "shard", "base").repartitionByRange("shard", "doc_id", "number").sortWithinPartitions("shard", "doc_id", "number")
     return spread.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -2,6 +2,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablemill.llm import tokens
@@ -21,7 +22,8 @@ def test_files_hold_what_the_library_gives(spark):
     for r in tokens.read_documents(kept).collect():
         found.setdefault(r.start, tuple(r))
     library, start, expected = Tokenizer.from_file(tokens.default_tokenizer()), 0, []
-    for doc_id, text in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc_id, text in sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
         expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -40,6 +42,15 @@ def test_encoder_matches_the_library_on_odd_texts():
             assert np.frombuffer(data, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_hot_id_is_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 3}") for i in range(300)] + [(1, "a"), (9, "b")], "doc_id long, text string").repartition(4)
+    kept = tokens.write_shards(docs, tokens.default_tokenizer(), shards=6)
+    assert kept.groupBy("shard").count().agg(F.max("count")).first()[0] < 150
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.read_documents(kept).collect())
+    assert [r[1] for r in found] == [1, *[7] * 300, 9]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_lookup_by_key(spark):
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     shard = tokens.write_shards(docs, tokens.default_tokenizer(), shards=1).first().shard
