@@ -79,17 +79,12 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if OTHER.search(t) or any(s in t for s in self.special) else PIECE.findall(t) for t in (x or "" for x in texts)]
-        found = [p and list(map(self.known.get, p)) for p in pieces]
-        new = list({p for own, ids in zip(pieces, found, strict=True) if own for p, i in zip(own, ids, strict=True) if i is None})
-        fresh = self._pieces(new)
-        if room := CACHE - len(self.known):
-            self.known.update(fresh if room >= len(fresh) else dict(list(fresh.items())[:room]))
-        out = []
-        for text, own, ids in zip(texts, pieces, found, strict=True):
-            if own is None:
-                out.append(self._whole([text])[0])
-            else:
-                out.append(b"".join([fresh[p] if i is None else i for p, i in zip(own, ids, strict=True)]))
+        fresh = self._pieces(list(set().union(*filter(None, pieces)).difference(self.known)))
+        self.known.update(fresh)
+        out = [self._whole([text])[0] if own is None else b"".join(map(self.known.__getitem__, own)) for text, own in zip(texts, pieces, strict=True)]
+        if (over := len(self.known) - CACHE) > 0:
+            for piece in list(fresh)[-over:]:
+                del self.known[piece]
         return out
 
 
