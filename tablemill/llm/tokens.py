@@ -43,8 +43,8 @@ CACHE = 500_000
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 PIECE = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
-#: Pieces that can be encoded side by side, since each starts with its space.
-SPACED = re.compile(rf" [{LETTERS}]+")
+#: Pieces that can be encoded side by side: those that start with their space, and with a line end before each, those without white space.
+SPACED, SOLID = re.compile(r" \S+"), re.compile(r"\S+")
 ROW = 1000
 
 
@@ -59,27 +59,35 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # Ids that start a piece in such rows; further on in a piece there is neither a space nor a line end.
+        self.space, self.line = np.zeros(self.tokenizer.get_vocab_size(), bool), self._whole(["\n"])[0]
+        self.space[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces; those that start with a space are encoded in rows and told apart by the library's word numbers."""
-        spaced = [p for p in pieces if SPACED.fullmatch(p)]
-        rest = [p for p in pieces if not SPACED.fullmatch(p)]
-        out = dict(zip(rest, self._whole(rest), strict=True))
-        rows = [spaced[i : i + ROW] for i in range(0, len(spaced), ROW)]
-        for row, got in zip(rows, self.tokenizer.encode_batch(["".join(r) for r in rows], add_special_tokens=False), strict=True):
-            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(row)), "right") * self.width
-            data, at = np.array(got.ids, self.kind).tobytes(), 0
-            for piece, end in zip(row, ends.tolist(), strict=True):
-                out[piece] = data[at:end]
-                at = end
-        return out
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; most are encoded in rows and told apart by the ids that only a piece's start has."""
+        spaced = list(filter(SPACED.fullmatch, pieces))
+        solid = list(filter(SOLID.fullmatch, pieces))
+        out: dict[str, bytes] = {}
+        for own, before in ((spaced, ""), (solid, "\n")):
+            rows = [own[i : i + ROW] for i in range(0, len(own), ROW)]
+            coded = self.tokenizer.encode_batch_fast([before + before.join(r) for r in rows], add_special_tokens=False)
+            for row, got in zip(rows, coded, strict=True):
+                ids = np.array(got.ids, self.kind)
+                starts = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0] if before else self.space[ids])
+                if len(starts) != len(row):
+                    continue  # a tokenizer of another kind: piece by piece, below
+                data, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * self.width
+                starts = (starts + len(before)) * self.width
+                out.update(zip(row, [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        rest = list(pieces.difference(out))
+        return out | dict(zip(rest, self._whole(rest), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         pieces = [None if OTHER.search(t) or any(s in t for s in self.special) else PIECE.findall(t) for t in (x or "" for x in texts)]
-        fresh = self._pieces(list(set().union(*filter(None, pieces)).difference(self.known)))
+        fresh = self._pieces(set().union(*filter(None, pieces)).difference(self.known))
         self.known.update(fresh)
         out = [self._whole([text])[0] if own is None else b"".join(map(self.known.__getitem__, own)) for text, own in zip(texts, pieces, strict=True)]
         if (over := len(self.known) - CACHE) > 0:
