@@ -273,25 +273,34 @@ def failure_buckets(records: DataFrame, rules: list[tuple[str, Column]], other:
     return records.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def soft_similarity(cells: DataFrame, candidate: str, place: str, value: str) -> DataFrame:
-    """(a, b, similarity) of candidates with a cell in common, from cells (candidate, place, value).
+def soft_similarity(cells: DataFrame, candidate: str, place: str, value: str, task: str | None = None) -> DataFrame:
+    """(a, b, similarity) of candidates with a cell in common, from cells (candidate, place, value); with ``task``, (task, a, b, similarity) within each task.
 
     The similarity is the sum of the smaller counts of each column's value over the sum of the larger ones. Candidates
     are few (samples for one question); pairs without a common cell, whose similarity is 0, have no row.
     """
-    counts = cells.groupBy(candidate, place, value).agg(F.count("*").alias("n"))
-    sizes = cells.groupBy(col(candidate).alias("c")).agg(F.count("*").alias("size"))
-    a = counts.select(col(candidate).alias("a"), col(place).alias("p"), col(value).alias("v"), F.col("n").alias("na"))
-    b = counts.select(col(candidate).alias("b"), col(place).alias("p2"), col(value).alias("v2"), F.col("n").alias("nb"))
-    both = a.join(b, (F.col("p") == F.col("p2")) & F.col("v").eqNullSafe(F.col("v2"))).groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("same"))
-    out = both.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("size", "sa"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("size", "sb"), "b")
-    return out.select("a", "b", (F.col("same") / (F.col("sa") + F.col("sb") - F.col("same"))).alias("similarity"))
-
-
-def majority_medoid(similarities: DataFrame) -> DataFrame:
-    """(candidate): the one most similar to all others; the smallest of equals."""
-    total = similarities.groupBy("a").agg(F.sum("similarity").alias("s"))
-    return total.orderBy(F.desc(F.round("s", 12)), "a").limit(1).select(F.col("a").alias("candidate"))
+    own = cells.select((col(task) if task else F.lit(0)).alias("t"), col(candidate).alias("c"), col(place).alias("p"), col(value).alias("v"))
+    counts = own.groupBy("t", "c", "p", "v").agg(F.count("*").alias("n"))
+    sizes = own.groupBy("t", "c").agg(F.count("*").alias("size"))
+    a = counts.select("t", F.col("c").alias("a"), "p", "v", F.col("n").alias("na"))
+    b = counts.select(F.col("t").alias("t2"), F.col("c").alias("b"), F.col("p").alias("p2"), F.col("v").alias("v2"), F.col("n").alias("nb"))
+    met = F.col("t").eqNullSafe(F.col("t2")) & (F.col("p") == F.col("p2")) & F.col("v").eqNullSafe(F.col("v2"))
+    out = a.join(b, met).groupBy("t", "a", "b").agg(F.sum(F.least("na", "nb")).alias("same"))
+    for side in ("a", "b"):
+        size = sizes.select(F.col("t").alias("__t"), F.col("c").alias("__c"), F.col("size").alias(f"s{side}"))
+        out = out.join(size, F.col("t").eqNullSafe(F.col("__t")) & (F.col(side) == F.col("__c"))).drop("__t", "__c")
+    similarity = (F.col("same") / (F.col("sa") + F.col("sb") - F.col("same"))).alias("similarity")
+    return out.select(*([F.col("t").alias(task)] if task else []), "a", "b", similarity)
+
+
+def majority_medoid(similarities: DataFrame, task: str | None = None) -> DataFrame:
+    """(candidate): the one most similar to all others, the smallest of equals; with ``task``, (task, candidate), one of each task."""
+    if task is None:
+        total = similarities.groupBy("a").agg(F.sum("similarity").alias("s"))
+        return total.orderBy(F.desc(F.round("s", 12)), "a").limit(1).select(F.col("a").alias("candidate"))
+    total = similarities.groupBy(col(task).alias("t"), "a").agg(F.round(F.sum("similarity"), 12).alias("s"))
+    best = total.groupBy("t").agg(F.min(F.struct((-F.col("s")).alias("s"), "a")).alias("k"))
+    return best.select(F.col("t").alias(task), F.col("k.a").alias("candidate"))
 
 
 def quotas(sizes: dict, total: int) -> dict:
