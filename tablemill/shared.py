@@ -4,22 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes the shuffle files of a query when it has ended, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (tests, a laptop) it is set to a local folder.
+    Only where the session has no such setting and is a local one (tests, a laptop) it is set to a local
+    folder; on a cluster each executor would write to a disk of its own, so there it's an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tablemill-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: their results are all that is read again."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -27,5 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     depends on how rows were dealt out (a partition's number) is fixed by it, too.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more; what lies elsewhere than in the shared folder stays."""
+    from pyarrow import fs
+
+    for df in tables:
+        own = f"/{df.sparkSession.sparkContext.applicationId}/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if own in f}:
+            # Spark writes local paths as file:/x, pyarrow as file:///x.
+            where, path = fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+            where.delete_dir(path)
