@@ -5,12 +5,14 @@ from __future__ import annotations
 import sys
 import types
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.shared import shared_dir, written
+from tablemill.functions.names import col
+from tablemill.shared import discard, shared_dir, shuffles_removed, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "open_fs", "shared_dir", "word_count", "worker_cache", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "open_fs", "shared_dir", "shuffles_removed", "spread", "whole", "whole_rows", "word_count", "worker_cache", "written"]
 
 #: Bytes that end a word: ASCII white space. bytes.split() without arguments splits on just these.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -37,3 +39,28 @@ def ascii_lower(column: Column) -> Column:
 def word_count(column: Column) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def spread(keys: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys to independent hashes for each seed (the finaliser of splitmix64)."""
+    x = keys + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row's columns as one struct, so that no helper column can clash with them; ``select("x.*")`` gives them back."""
+    return F.struct(*map(col, docs.columns))
+
+
+def whole_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row of ``docs`` for each row of ``kept`` (doc_id, text_hash, n), where n rows have that id and text.
+
+    Of several the one whose columns come first as JSON.
+    """
+    own = kept.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "n")
+    rows = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"))
+    found = rows.join(own, (F.col("text_hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")))
+    again = found.filter("n > 1").groupBy("d", "h").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
+    return found.filter("n = 1").select("row.*").unionByName(again.select("row.*"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm.common import written
+from tablemill.llm.common import discard, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -189,13 +189,15 @@ def components(edges: DataFrame) -> DataFrame:
     stars = written(edges.filter("a != b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links")
     seen = None
     while True:
+        before = stars
         both = stars.unionByName(stars.selectExpr("b AS a", "a AS b"))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "least(a, m) AS m"), "large-star")
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).selectExpr("b AS a", "m AS b")
-        stars = written(large.filter("a != b").distinct(), "links")
-        least = written(stars.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "small-star")
-        small = stars.join(least, F.col("a") == F.col("u")).selectExpr("b AS a", "m AS b").filter("a != b")
+        lows = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "least(a, m) AS m"), "large-star")
+        large = both.filter("b > a").join(lows, F.col("a") == F.col("u")).selectExpr("b AS a", "m AS b")
+        wide = written(large.filter("a != b").distinct(), "links")
+        least = written(wide.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "small-star")
+        small = wide.join(least, F.col("a") == F.col("u")).selectExpr("b AS a", "m AS b").filter("a != b")
         stars = written(small.unionByName(least.selectExpr("u AS a", "m AS b")).distinct(), "links")
+        discard(before, lows, wide, least)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import open_fs, shared_dir, worker_cache, written
+from tablemill.llm.common import open_fs, shared_dir, spread, worker_cache, written
 
 MAGIC, HEADER = b"TMIDS1\0\0", 16
 END_ID = 2
@@ -104,14 +104,6 @@ def encoder_of(key: str, definition) -> Encoder:
     return held["encoder"]
 
 
-def _spread(keys: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit keys to independent hashes for each seed (the finaliser of splitmix64)."""
-    x = keys + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def key_of(doc_id, number: int) -> int:
     """The 64-bit key of the ``number``-th row with this doc_id."""
     from xxhash import xxh64_intdigest
@@ -132,7 +124,7 @@ class PerfectHash:
         sizes, flags, left = [], [], np.unique(keys)
         while len(left):
             size = max(64, cls.GAMMA * len(left))
-            at = _spread(left, len(sizes)) % np.uint64(size)
+            at = spread(left, len(sizes)) % np.uint64(size)
             alone = np.bincount(at.astype(np.int64), minlength=size) == 1
             flags.append(alone)
             sizes.append(size)
@@ -149,13 +141,13 @@ class PerfectHash:
 
     @staticmethod
     def prints_of(keys: np.ndarray) -> np.ndarray:
-        return (_spread(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
+        return (spread(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot; for keys that were not in the set -1 or any slot."""
         out, todo, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
         for level, size in enumerate(self.sizes):
-            at = (_spread(keys[todo], level) % np.uint64(size)).astype(np.int64) + base
+            at = (spread(keys[todo], level) % np.uint64(size)).astype(np.int64) + base
             here = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             hit = at[here]
             block = hit >> 9
