@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.functions.names import col
 from tablemill.shared import discard, shared_dir, shuffles_removed, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "open_fs", "shared_dir", "shuffles_removed", "spread", "whole", "whole_rows", "word_count", "worker_cache", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "filtered", "open_fs", "shared_dir", "shuffles_removed", "spread", "whole", "whole_rows", "word_count", "tasks_for", "worker_held", "worker_released", "written"]
 
 #: Bytes that end a word: ASCII white space. bytes.split() without arguments splits on just these.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -26,9 +27,26 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as a Python worker; what it holds must be bounded and may be missing."""
-    return sys.modules.setdefault("_tablemill_worker", types.ModuleType("_tablemill_worker")).__dict__
+def worker_held(kind: str, key: str, make: Callable[[], object]):
+    """What ``make`` gives, kept for a Python worker's later tasks with the same ``kind`` and ``key``.
+
+    A worker holds one such object, which must be bounded in size; another kind or key takes its place.
+    """
+    held = sys.modules.setdefault("_tablemill_worker", types.ModuleType("_tablemill_worker")).__dict__
+    if held.get("held_key") != (kind, key):
+        held.pop("held", None)  # before the next one is made, so that never two are held
+        held.update(held=make(), held_key=(kind, key))
+    return held["held"]
+
+
+def worker_released() -> None:
+    """Frees what a Python worker has held for other operators' tasks."""
+    worker_held("", "", lambda: None)
+
+
+def tasks_for(spark: SparkSession, amount: int | float | None, each: int) -> int:
+    """How many tasks to share ``amount`` out to with at most about ``each``; no fewer than there are cores."""
+    return max(1, -(-int(amount or 0) // each), spark.sparkContext.defaultParallelism)
 
 
 def ascii_lower(column: Column) -> Column:
@@ -54,6 +72,13 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*map(col, docs.columns))
 
 
+def filtered(docs: DataFrame, run: Callable[[DataFrame], DataFrame], added: list[str], keep: Column) -> DataFrame:
+    """The rows of ``docs`` for which ``keep`` holds in what ``run`` makes of them, with their own columns, also those named like ``added`` ones."""
+    if not {c.lower() for c in docs.columns} & set(added):
+        return run(docs).filter(keep).select(*map(col, docs.columns))
+    return run(docs.select(whole(docs).alias("row"), "text")).filter(keep).select("row.*")
+
+
 def whole_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """A row of ``docs`` for each row of ``kept`` (doc_id, text_hash, n), where n rows have that id and text.
 

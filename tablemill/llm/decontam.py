@@ -3,19 +3,20 @@
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z
 lower-cased. A window is ten consecutive words of a benchmark item, or the whole of a shorter
 item. Every window of every document is hashed from its word numbers, looked up in the
-broadcast set of window hashes, and verified word by word; documents are scanned once, with
-no shuffle. The benchmark's size is checked first: beyond ``MAX_WORDS`` words it is not
-broadcast, and windows are joined by shuffle on their text instead.
+broadcast set of window hashes, and verified word by word, with no shuffle of documents. The
+benchmark's size is checked first: beyond ``MAX_WORDS`` words its items are dealt to several sets of
+about that size, documents are scanned once for each, and what hits is put together by text.
 
 Edge cases: a null text has no words; an item with no words or a null text has no windows; an item with
 a null id marks words but is neither counted nor listed; equal ids count once; repeated rows
 each get a row; empty tables give empty results or no hits; other columns are kept by
-``scan`` (a column named like one it adds is replaced).
+``scan`` (a column named like one it adds is replaced) and, whatever their names, by ``remove_documents``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm.common import UPPER, LOWER, written
+from tablemill.functions.names import col
+from tablemill.llm.common import filtered, written
 
 WINDOW = 10
-#: Words of benchmark items that are broadcast at most, about 64 bytes each.
+#: Words of benchmark items that one broadcast set holds, about 64 bytes each (more only if a single item has more).
 MAX_WORDS = 4_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes to what they count as: digits, a-z and bytes beyond ASCII stand, A-Z are lower-cased, the rest part words.
@@ -94,11 +96,23 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _scan_broadcast(docs: DataFrame, items: list[tuple[object, str | None]], window: int) -> DataFrame:
+def _spans(hit: np.ndarray) -> list[int]:
+    """First and last word of each run of hit words, one after the other."""
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    return edges.tolist()
+
+
+def _columns(rows: list[tuple[int, int, set]]) -> list[pa.Array]:
+    """The added columns from (number of words, hit words, items)."""
+    out = [(n, k, len(found), digest(found), k > 0) for n, k, found in rows]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    return [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)]
+
+
+def _scan_once(docs: DataFrame, items: list[tuple[object, str | None]], window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
-    added = T._parse_datatype_string(ADDED)
-    kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
-    at, schema = kept.index("text"), T.StructType([*docs.select(*kept).schema.fields, *added])
+    kept, schema = _schema(docs)
+    at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
@@ -107,68 +121,82 @@ def _scan_broadcast(docs: DataFrame, items: list[tuple[object, str | None]], win
             for text in batch.column(at).to_pylist():
                 words = words_of(text)
                 hit, found = windows.scan(words)
-                n = int(hit.sum())
-                rows.append((len(words), n, len(found), digest(found), n > 0))
-            extra = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            arrays = [*batch.columns, *(pa.array(x, k) for x, k in zip(extra, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
-
-    return docs.select(*kept).mapInArrow(run, schema)
-
-
-def _words(column: str):
-    """The words of a text column as an array, by Spark's own functions."""
-    plain = F.translate(F.coalesce(F.col(column), F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(plain, F.lit("([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"), F.lit(1))
-
-
-def _scan_joined(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The same columns for a benchmark of any size: windows meet in a shuffle on their text."""
-    added = [f.name for f in T._parse_datatype_string(ADDED)]
-    kept = docs.select(*(c for c in docs.columns if c.lower() not in added))
-    keyed = written(kept.withColumn("__row", F.monotonically_increasing_id()), "keyed-documents")
-
-    def windows(df: DataFrame, widths) -> DataFrame:
-        """One row per place and width: (…, at, width, gram)."""
-        long = df.withColumn("width", F.explode(widths)).filter(F.size("words") >= F.col("width"))
-        long = long.withColumn("at", F.explode(F.expr("sequence(0, size(words) - width)")))
-        return long.withColumn("gram", F.expr("array_join(slice(words, at + 1, width), ' ')"))
-
-    own = benchmark.select(F.col("item_id").cast("string").alias("item"), _words("text").alias("words")).filter("size(words) > 0")
-    grams = windows(own, F.array(F.least(F.lit(window), F.size("words")))).select("gram", "item").distinct()
-    grams = written(grams, "benchmark-windows")
-    table = written(grams.select("gram").distinct(), "distinct-windows")
-    split = keyed.select("__row", _words("text").alias("words"))
-    spots = windows(split, F.sequence(F.lit(1), F.lit(window))).select("__row", "at", "width", "gram")
-    hits = written(spots.join(table, "gram"), "hits")
-    covered = (
-        hits.select("__row", F.explode(F.expr("sequence(at, at + width - 1)")).alias("word")).distinct()
-        .groupBy("__row").agg(F.count("*").alias("n_hit"))
-    )
-    listed = (
-        hits.select("__row", "gram").distinct().join(grams, "gram").groupBy("__row")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select("__row", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    )
-    out = keyed.withColumn("n_words", F.size(_words("text")).cast("long")).join(covered, "__row", "left").join(listed, "__row", "left")
-    out = out.fillna(0, ["n_hit", "n_items"]).fillna(digest(()), ["items_sha256"])
-    return out.withColumn("contaminated", F.col("n_hit") > 0).select(*kept.columns, *added)
+                rows.append((len(words), int(hit.sum()), found))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(rows)], names=[f.name for f in schema])
+
+    return docs.select(*map(col, kept)).mapInArrow(run, schema)
+
+
+def _schema(docs: DataFrame) -> tuple[list[str], T.StructType]:
+    added = T._parse_datatype_string(ADDED)
+    kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
+    return kept, T.StructType([*docs.select(*map(col, kept)).schema.fields, *added])
+
+
+def _hits(docs: DataFrame, items: list[tuple[object, str | None]], window: int) -> DataFrame:
+    """(key, spans, items) of the texts in which windows of these items occur."""
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = shared.value
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit, found = windows.scan(words_of(text))
+                if hit.any():
+                    rows.append((key, _spans(hit), sorted(found)))
+            if rows:
+                kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "spans", "items"])
+
+    return docs.select(F.md5("text").alias("key"), "text").filter("text IS NOT NULL").mapInArrow(run, "key string, spans array<long>, items array<string>")
+
+
+def _scan_parts(docs: DataFrame, benchmark: DataFrame, window: int, parts: int) -> DataFrame:
+    """The same columns from one scan for each part of the benchmark; what hits is small and meets by the text's digest."""
+    cut = written(benchmark.withColumn("part", F.pmod(F.xxhash64("text", F.col("item_id").cast("string")), F.lit(parts))), "benchmark-parts")
+    hits = None
+    for part in range(parts):
+        items = [tuple(r) for r in cut.filter(F.col("part") == part).select("item_id", "text").collect()]  # a part: about MAX_WORDS words
+        if any(words_of(t) for _, t in items):
+            own = written(_hits(docs, items, window).dropDuplicates(["key"]), "benchmark-hits")
+            hits = own if hits is None else hits.unionByName(own)
+    if hits is None:
+        return _scan_once(docs, [], window)
+    found = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    found = written(found, "benchmark-hits").select(F.col("key").alias("__key"), F.struct("spans", "items").alias("__hits"))
+    kept, schema = _schema(docs)
+    at = kept.index("text")
+    each = docs.select(F.struct(*map(col, kept)).alias("row"), F.md5("text").alias("__k")).join(found, F.col("__k") == F.col("__key"), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rows = batch.column(0).flatten(), []
+            for text, got in zip(own[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(words_of(text))
+                hit, spans = np.zeros(n, bool), (got or {}).get("spans") or []
+                for a, b in zip(spans[::2], spans[1::2], strict=True):
+                    hit[a:b] = True
+                rows.append((n, int(hit.sum()), set((got or {}).get("items") or [])))
+            yield pa.RecordBatch.from_arrays([*own, *_columns(rows)], names=[f.name for f in schema])
+
+    return each.select("row", "__hits").mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     own = benchmark.select("item_id", "text")
     # No item has more words than half its bytes and one, so this bounds what a broadcast holds.
-    most = own.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    if most <= max_words:
-        return _scan_broadcast(docs, [tuple(r) for r in own.collect()], window)
-    return _scan_joined(docs, own, window)
+    size = own.agg(F.sum(F.octet_length("text") / 2 + 1).alias("words"), F.count("*").alias("items")).first()
+    parts = min(size.items, math.ceil((size.words or 0) / max(1, max_words)))
+    if parts <= 1:
+        return _scan_once(docs, [tuple(r) for r in own.collect()], window)
+    return _scan_parts(docs, own, window, parts)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their own columns."""
-    return scan(docs, benchmark, window).filter(~F.col("contaminated")).select(*docs.columns)
+    return filtered(docs, lambda df: scan(df, benchmark, window), [f.name for f in T._parse_datatype_string(ADDED)], ~F.col("contaminated"))
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

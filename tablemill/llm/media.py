@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm.common import open_fs, shared_dir, written
+from tablemill.llm.common import open_fs, shared_dir, tasks_for, written
 
 #: Samples in a row of an image, and what payloads are padded to a multiple of.
 ROW = 576
@@ -34,6 +34,8 @@ PNG = b"\x89PNG\r\n\x1a\n"
 #: Bytes that hold all of a PNG's header: signature, chunk length and name, and IHDR.
 HEAD = 33
 LEVEL = 6
+#: Bytes of members that one task reads.
+READ_BYTES = 64 << 20
 ADDRESS = "n_bytes long, digest string, shard string, offset long, length long"
 HEADER = "width int, height int, bit_depth int, color_type int"
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -173,7 +175,9 @@ def _reading(df: DataFrame, added: str, length: Callable[[int], int], of: Callab
         if file:
             file.close()
 
-    spread = df.select(*(f"`{c}`" for c in kept)).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    # As many tasks as the members' bytes ask for: the rows alone are small and would be merged into few.
+    tasks = tasks_for(df.sparkSession, df.agg(F.sum("length")).first()[0], READ_BYTES)
+    spread = df.select(*(f"`{c}`" for c in kept)).repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
     return spread.mapInArrow(run, schema)
 
 

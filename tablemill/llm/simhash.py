@@ -14,7 +14,8 @@ few blocks. Links are merged to components by alternating large-star and small-s
 
 Edge cases: null texts count as empty; an empty text has fingerprint zero and is linked like
 any other; a null doc_id never names a component unless all ids of it are null; repeated rows
-each get a row; an empty table gives an empty result; other columns are ignored.
+each get a row; an empty table gives an empty result; other columns are ignored by ``near_duplicates``
+and kept, whatever their names, by ``representatives``.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablemill.llm.common import discard, written
+from tablemill.llm.common import discard, whole_rows, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -60,26 +60,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-#: The column that ``with_fingerprints`` adds.
-FP = "__simhash"
-
-
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the 64 bits of each row's fingerprint as a signed long."""
-    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(FP, T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))], names=[f.name for f in schema])
-
-    return docs.mapInArrow(run, schema)
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
+            bits = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", F.col(FP).alias("fp"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -219,25 +209,21 @@ def classes(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    fps = written(fingerprints(docs, shingle).select("doc_id", "fp"), "fingerprints")
     return fps.join(classes(fps, distance, block), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs`` for each group, the one with the smallest doc_id (null is largest), with its own columns.
 
-    Of rows that share that doc_id, the one with the smallest fingerprint and then columns stays.
+    Of rows that share that doc_id, one with the smallest fingerprint and text hash stays; of wholly equal ids and texts
+    the one whose columns come first as JSON. Texts aren't written with their fingerprints; they are read again at the end.
     """
-    keyed = written(with_fingerprints(docs, shingle), "fingerprinted")
-    fps = keyed.select("doc_id", F.col(FP).alias("fp"))
-    each = fps.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")
-    kept = each.join(classes(fps, distance), "fp").groupBy("root").agg(F.min(key).alias("k")).select("k.*")
-    kept = written(kept.select(F.col("fp").alias("__f"), F.col("doc_id").alias("__d"), F.col("n").alias("__n")), "kept-documents")
-    rows = keyed.join(kept, (keyed[FP] == F.col("__f")) & keyed["doc_id"].eqNullSafe(F.col("__d")))
-    once = rows.filter("__n = 1").select(*docs.columns)
-    again = rows.filter("__n > 1").groupBy("__f", "__d").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    return once.unionByName(again)
+    fps = written(fingerprints(docs, shingle), "fingerprinted")
+    each = fps.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash", "n")
+    kept = each.join(classes(fps.select("doc_id", "fp"), distance), "fp").groupBy("root").agg(F.min(key).alias("k"))
+    return whole_rows(docs, written(kept.select("k.doc_id", "k.text_hash", "k.n"), "kept-documents"))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -12,18 +12,22 @@ level), ``bits``, ``ranks`` (ones before each 64-byte block), ``starts``, ``coun
 
 The encoder splits a text by the tokenizer's own pattern and keeps the ids that the library
 gave for the pieces it has met, since the library encodes pieces one by one anyway; texts with
-characters beyond Latin or with special tokens in them go to the library whole.
+characters beyond Latin or with special tokens in them go to the library whole, and so do all texts
+where a tokenizer splits by another pattern or normalises.
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come first; rows with
 equal doc_id are ordered by their text's hash and keyed by their number among them in their shard; an empty
-table writes no shard; other columns are ignored.
+table writes no shard; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -33,12 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import open_fs, shared_dir, spread, worker_cache, written
+from tablemill.llm.common import open_fs, shared_dir, spread, tasks_for, worker_held, written
 
 MAGIC, HEADER = b"TMIDS1\0\0", 16
 END_ID = 2
 #: Pieces whose ids a worker keeps at most; further ones are encoded anew.
-CACHE = 500_000
+CACHE = 250_000
+#: Rows and bytes of texts that a shard has at most, about; ids that one task reads back.
+SHARD_ROWS, SHARD_BYTES, READ_IDS = 250_000, 64 << 20, 16 << 20
+#: What a definition has if its texts can be encoded piece by piece.
+BY_PIECE = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 #: The tokenizer's pattern for texts whose characters are all below U+0250 and not U+001C to U+001F, letters first as they are most.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 PIECE = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
@@ -55,10 +63,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.by_piece = all(parts.get(k) == v for k, v in BY_PIECE.items())
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        if not self.by_piece:
+            return
         # Ids that start a piece in such rows; further on in a piece there is neither a space nor a line end.
         self.space, self.line = np.zeros(self.tokenizer.get_vocab_size(), bool), self._whole(["\n"])[0]
         self.space[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
@@ -86,6 +98,8 @@ class Encoder:
         return out | dict(zip(rest, self._whole(rest), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return self._whole([x or "" for x in texts])
         pieces = [None if OTHER.search(t) or any(s in t for s in self.special) else PIECE.findall(t) for t in (x or "" for x in texts)]
         fresh = self._pieces(set().union(*filter(None, pieces)).difference(self.known))
         self.known.update(fresh)
@@ -96,14 +110,6 @@ class Encoder:
         return out
 
 
-def encoder_of(key: str, definition) -> Encoder:
-    """This worker's encoder; Spark runs many tasks in one worker, and what it knows serves them all."""
-    held = worker_cache()
-    if held.get("encoder_key") != key:
-        held.update(encoder_key=key, encoder=Encoder(definition.value))
-    return held["encoder"]
-
-
 def key_of(doc_id, number: int) -> int:
     """The 64-bit key of the ``number``-th row with this doc_id."""
     from xxhash import xxh64_intdigest
@@ -168,18 +174,19 @@ class PerfectHash:
         return slots
 
 
-def _encode_partition(folder: str, definition, end_id: int):
+def _encode_partition(folder: str, key: str, definition, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name, encoder, out, fs = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}", None, None, None
-        keys, counts, last, number = [], [], object(), 0
+        keys, counts, last, number = array("Q"), array("I"), object(), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             if encoder is None:
-                encoder = encoder_of(folder, definition)
+                # Spark runs many tasks in one worker, and what an encoder knows serves them all.
+                encoder = worker_held("encoder", key, lambda: Encoder(definition.value))
                 fs, path = open_fs(f"{name}.bin")
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(path, compression=None)
@@ -194,7 +201,7 @@ def _encode_partition(folder: str, definition, end_id: int):
                 numbers.append(number)
                 keys.append(key_of(doc_id, number))
                 sizes.append(len(coded) // encoder.width + 1)
-            counts += sizes
+            counts.extend(sizes)
             rows = [batch.column(0), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*rows, pa.array([name] * len(ids)), pa.array([task.partitionId()] * len(ids), pa.int32())],
@@ -202,10 +209,10 @@ def _encode_partition(folder: str, definition, end_id: int):
             )
         if out is not None:
             out.close()
-            each = np.array(keys, np.uint64)
+            each = np.frombuffer(keys, np.uint64)
             if len(np.unique(each)) < len(each):
                 raise ValueError("two document keys of a shard share a 64-bit hash")
-            index, n = PerfectHash.build(each), np.array(counts, np.uint32)
+            index, n = PerfectHash.build(each), np.frombuffer(counts, np.uint32)
             slots = index.find(each)
             starts, lengths = np.zeros(len(each), np.int64), np.zeros(len(each), np.uint32)
             starts[slots], lengths[slots] = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[:-1], n
@@ -220,13 +227,16 @@ def _encode_partition(folder: str, definition, end_id: int):
 def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the shards with the tokenizer in the driver's file ``tokenizer``; (doc_id, number, n_ids, shard, place, base): base is the ids of all shards before."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder, kind = shared_dir(spark, "token-shards"), docs.schema["doc_id"].dataType.simpleString()
-    definition = spark.sparkContext.broadcast(Path(tokenizer).read_text())  # a tokenizer's definition: about 2 MB
+    if shards is None:
+        size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        shards = max(tasks_for(spark, size.rows, SHARD_ROWS), tasks_for(spark, size.bytes, SHARD_BYTES))
+    text = Path(tokenizer).read_text()
+    definition, key = spark.sparkContext.broadcast(text), hashlib.sha256(text.encode()).hexdigest()  # a tokenizer's definition: about 2 MB
     # Rows that share a doc_id, however many, are dealt out by text and then by place, so no shard need hold them all.
     keys = docs.select("doc_id", "text", F.xxhash64("text").alias("__text"), F.monotonically_increasing_id().alias("__place"))
     ordered = keys.repartitionByRange(shards, "doc_id", "__text", "__place").sortWithinPartitions("doc_id", "__text", "__place")
-    rows = ordered.select("doc_id", "text").mapInArrow(_encode_partition(folder, definition, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
+    rows = ordered.select("doc_id", "text").mapInArrow(_encode_partition(folder, key, definition, end_id), f"doc_id {kind}, number long, n_ids long, shard string, place int")
     rows = written(rows, "token-rows")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     each = rows.groupBy("shard", "place").agg(F.sum("n_ids").alias("n"))
@@ -291,8 +301,10 @@ def read_documents(rows: DataFrame) -> DataFrame:
             reader.close()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spread = rows.select("doc_id", "number", "shard", "base").repartitionByRange("shard", "doc_id", "number").sortWithinPartitions("shard", "doc_id", "number")
-    return spread.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    # As many tasks as the ids ask for: their rows alone are small and would be merged into few.
+    tasks = tasks_for(rows.sparkSession, rows.agg(F.sum("n_ids")).first()[0], READ_IDS)
+    dealt = rows.select("doc_id", "number", "shard", "base").repartitionByRange(tasks, "shard", "doc_id", "number").sortWithinPartitions("shard", "doc_id", "number")
+    return dealt.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, shard: str, doc_id, number: int = 0) -> np.ndarray | None:

@@ -14,7 +14,7 @@ features; scoring reads every whole text once, without a shuffle.
 Edge cases: a null or empty text has no features and is clean unless the thresholds say
 otherwise for all; labels without a text or a null label are not fitted on; texts labelled twice count twice; without
 toxic labels everything has severity 0; repeated rows each get a row; ``score`` keeps all
-columns (one named like a column it adds is replaced).
+columns (one named like a column it adds is replaced); ``remove_toxic`` keeps the rows' own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from math import log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.llm.common import filtered, worker_released
+
 #: Labelled texts, and characters of them, that the model is fitted on at most; texts longer than LONGEST are scored but not fitted on.
 SAMPLE, SAMPLE_CHARS, LONGEST = 4_000, 12_000_000, 20_000
 FEATURES = 30_000
@@ -156,13 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic", order.alias("h")).orderBy("h", "toxic").limit(sample)
     rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST)).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
-    used, out = 0, []
-    sized = rows.select("h", "toxic", "text").orderBy("h", "toxic", "text").limit(sample).collect()
-    for r in sized:
-        if used + len(r.text) <= SAMPLE_CHARS:
-            used += len(r.text)
-            out.append((r.text, r.toxic))
-    return fit(out)
+    first = rows.select("h", "toxic", "text").orderBy("h", "toxic", "text").limit(sample)  # some thousand rows, so one window holds them
+    used = F.sum(F.length("text")).over(Window.orderBy("h", "toxic", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return fit([(r.text, r.toxic) for r in first.withColumn("used", used).filter(F.col("used") <= SAMPLE_CHARS).orderBy("h", "toxic", "text").collect()])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -173,6 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at, schema = kept.index("text"), T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_released()
         own = Model(*shared.value)
         for batch in batches:
             severity, grade, toxic = [], [], []
@@ -189,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model takes for clean, with their own columns."""
-    return score(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+    return filtered(docs, lambda df: score(df, model), [f.name for f in T._parse_datatype_string(ADDED)], ~F.col("toxic"))
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:

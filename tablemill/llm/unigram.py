@@ -1,11 +1,12 @@
 """Token counts under a unigram vocabulary, by dynamic programming shared along a trie.
 
-A text's pre-tokens are its words, each after a word mark. Distinct pre-tokens go into a trie;
+A text's pre-tokens are its words (between ASCII white space), each after a word mark. Distinct pre-tokens go into a trie;
 a node holds the best score of its prefix, that is the largest sum of piece scores over all
 ways to cut it, and the number of pieces of that way. A prefix's score depends on the prefix
 alone, so it is computed once, however many pre-tokens share it, and a pre-token's terminal node
 gives its count. Texts are read once and nothing is shuffled; each worker keeps a trie of at
-most ``NODES`` nodes, which starts anew when it is full, and the counts of at most ``WORDS`` words.
+most ``NODES`` nodes, which starts anew when it is full, and the counts of at most ``WORDS`` words. Words of
+more than ``LONG`` characters are worked out alike, but on their own and with no more prefixes than a piece is long.
 
 The vocabulary is a public file's pieces, taken as ordered by frequency: the score of rank r
 is the logarithm of its chance under Zipf's law, 1 / (r + 2) over the sum of these. A character
@@ -19,6 +20,7 @@ adds is replaced).
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -28,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablemill.llm.common import worker_cache
+from tablemill.llm.common import WORD, worker_held
 
 MARK = "▁"
 UNKNOWN = -30.0
 NODES, WORDS = 300_000, 500_000
+#: Characters of the longest word that goes into the trie.
+LONG = 200
+WORDS_OF = re.compile(WORD)
 ADDED = "n_words long, n_tokens long"
 
 
@@ -52,8 +57,24 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.known: dict[str, int] = {}
         self.clear()
 
+    def long(self, word: str) -> int:
+        """The token count of a word of any length by the same recurrence, with the last prefixes alone."""
+        best, count, width = [0.0], [0], self.longest
+        for i, char in enumerate(word, 1):
+            score, n = best[-1] + UNKNOWN, count[-1] + len(char.encode("utf-8", "surrogatepass"))
+            for k in range(min(width, i), 0, -1):
+                own = self.scores.get(word[i - k : i])
+                if own is not None and ((total := best[-k] + own) > score or (total == score and count[-k] + 1 < n)):
+                    score, n = total, count[-k] + 1
+            best.append(score)
+            count.append(n)
+            if len(best) > 4 * width + 64:
+                del best[:-width], count[:-width]
+        return count[-1]
+
     def clear(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.best: list[float] = [0.0]
@@ -91,17 +112,17 @@ def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = NODES)
     at, schema = kept.index("text"), T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = worker_cache()
-        if held.get("unigram_key") != key:  # Spark runs many tasks in one worker
-            held.update(unigram_key=key, trie=Trie(shared.value), words={})
-        trie, known = held["trie"], held["words"]
+        trie = worker_held("unigram", key, lambda: Trie(shared.value))  # Spark runs many tasks in one worker
+        known = trie.known
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(at).to_pylist():
-                own, total = Counter((text or "").split()), 0
+                own, total = Counter(WORDS_OF.findall(text or "")), 0
                 for word, n in own.items():
                     count = known.get(word)
-                    if count is None:
+                    if count is None and len(word) > LONG:
+                        count = trie.long(MARK + word)
+                    elif count is None:
                         if len(trie.next) > nodes:
                             trie.clear()
                         count = trie.insert(MARK + word)

@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import open_fs, shared_dir, written
+from tablemill.llm.common import open_fs, shared_dir, tasks_for, written
 
 LEAST = 1000
+#: Bytes of members that one task reads back.
+READ_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
 END = b"\r\n\r\n"
@@ -202,7 +204,9 @@ def normalise(decided: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["archive", "offset", "length"])
         close()
 
-    dealt = decided.select("archive", "seq", "refers_to").repartition("archive").sortWithinPartitions("archive", "seq")
+    # A stream is one task's work; twice as many ranges as archives give each archive a task of its own.
+    archives = decided.select("archive").distinct().count()
+    dealt = decided.select("archive", "seq", "refers_to").repartitionByRange(max(1, 2 * archives), "archive").sortWithinPartitions("archive", "seq")
     return written(dealt.mapInArrow(run, "archive string, offset long, length long"), "warc-index")
 
 
@@ -242,7 +246,9 @@ def read_records(index: DataFrame) -> DataFrame:
         if file:
             file.close()
 
-    spread = index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # As many tasks as the members' bytes ask for: the rows of the index alone are small and would be merged into few.
+    tasks = tasks_for(index.sparkSession, index.agg(F.sum("length")).first()[0], READ_BYTES)
+    spread = index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return spread.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, record_id string")
 
 
