@@ -3,19 +3,20 @@
 A transcript is a conversation's lines in order, some of which start with a speaker marker
 (``User:``, ``A:``, ``<assistant>`` …). States are the roles; each line is seen through
 discrete features (its marker, whether it starts a block of text, how it ends, how long it is).
-Start, transition and feature probabilities are counted on labelled conversations, over all of
-them and with one added to each count. Viterbi's most likely roles are then rendered as turns.
-
-The chain is cut for Spark: a block (a row's lines) is a matrix of best scores from the role
-before it to its last role; ``SPAN`` blocks make a chunk, whose matrix is their product in the
-(max, +) sense, and so on up, until a conversation is one chunk. On the way down each chunk
-gets the role it starts from and ends in, and at last each block its lines' roles. So a task
-holds ``SPAN`` blocks at most if a conversation's turn numbers differ, however long it is.
-
-Edge cases: null texts are one empty line; null conv_ids form one conversation; null turns come first;
-rows with the same turn number are ordered by text; with no labels all roles are alike and
+Start, transition (from block to block and from line to line within one) and feature probabilities are
+counted on labelled conversations, over all of them and with one added to each count. Viterbi's most
+likely roles are then rendered as turns.
+
+The chain is cut for Spark: the rows of each conversation are numbered by range; a block (a row's lines)
+is a matrix of best scores from the role before it to its last role; ``SPAN`` blocks make a chunk,
+whose matrix is their product in the (max, +) sense, and so on up, until a conversation is one chunk. On
+the way down each chunk gets the role it starts from and ends in, and at last each block its lines'
+roles. So a task holds ``SPAN`` blocks at once at most, however long a conversation is and whatever its turn numbers.
+
+Edge cases: null texts are one empty line; null conv_ids form one conversation; null turns come before turn 0;
+rows with the same turn number are ordered by their text's hash; with no labels all roles are alike and
 the first wins; repeated rows each keep their row; an empty table gives an empty result;
-columns other than conv_id, turn and text are ignored.
+columns other than conv_id, turn, role and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import written
 
 ROLES = ("user", "assistant", "system")
 SPAN = 256
+#: States are the roles and the one before a conversation; what can't be has this logarithm.
+SIZE, BEGIN, NEVER = len(ROLES) + 1, len(ROLES), -1e9
 #: Speaker markers at a line's start, in the spellings that transcripts use.
 MARKERS = {
     "user": ("user", "human", "q", "customer", "me", "prompter"),
@@ -72,14 +75,15 @@ def lines_of(text: str | None) -> list[str]:
 class Model:
     """Log-probabilities; a few dozen numbers."""
 
+    #: Chances of a state before the first line (it is ``BEGIN``), and of moves: step[0] to a block's first line, step[1] within it.
     start: np.ndarray
     step: np.ndarray
     seen: dict[tuple[str, str], np.ndarray]
 
     def emissions(self, text: str | None) -> np.ndarray:
-        """lines x roles"""
+        """lines x states"""
         rows = [features_of(line, i == 0) for i, line in enumerate(lines_of(text))]
-        return np.array([sum(self.seen[k, v] for k, v in zip(FEATURES, row, strict=True)) for row in rows])
+        return np.array([[*sum(self.seen[k, v] for k, v in zip(FEATURES, row, strict=True)), NEVER] for row in rows])
 
 
 def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +98,7 @@ def fit(blocks: DataFrame) -> Model:
     Only sums by role and feature value come to the driver.
     """
     known = blocks.filter(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", "text")
+    places = written(numbered(known.select("conv_id", F.col("turn").cast("long").alias("turn"), F.xxhash64("text").alias("tie"), "role")), "chat-places").select("conv_id", "at", "role")
     counted = known.select("role", "text").mapInPandas(_line_rows, "role string, marker string, first string, end string, size string, head boolean")
     lines = counted.groupBy("role", *FEATURES).agg(F.count("*").alias("n")).collect()
     seen = {(k, v): np.ones(len(ROLES)) for k, values in FEATURES.items() for v in values}
@@ -105,19 +110,36 @@ def fit(blocks: DataFrame) -> Model:
         for k in FEATURES:
             seen[k, r[k]][i] += r.n
     seen = {(k, v): np.log(x / (total + len(FEATURES[k]) - 1)) for (k, v), x in seen.items()}
-    # From one block's role to the next one's: a join on the turn before, so that no conversation is gathered.
-    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"))
-    moves = known.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "then").agg(F.count("*").alias("n")).collect()
-    step = np.ones((len(ROLES), len(ROLES)))
+    # From one block's role to the next one's: each place meets the one after it, so no conversation is gathered.
+    after = places.select(F.col("conv_id").alias("c"), (F.col("at") - 1).alias("a"), F.col("role").alias("then"))
+    moves = places.join(after, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("a"))).groupBy("role", "then").agg(F.count("*").alias("n")).collect()
+    k = len(ROLES)
+    between, within, first = np.ones((k, k)), np.ones((k, k)), np.ones(k)
     for r in moves:
-        step[ROLES.index(r.role), ROLES.index(r.then)] += r.n
-    stay = np.maximum(total - 1 - heads, 0)  # lines within a block keep its role
-    step[np.diag_indices(len(ROLES))] += stay
-    first = known.filter("turn = 0").groupBy("role").agg(F.count("*").alias("n")).collect()
-    start = np.ones(len(ROLES))
-    for r in first:
-        start[ROLES.index(r.role)] += r.n
-    return Model(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), seen)
+        between[ROLES.index(r.role), ROLES.index(r.then)] += r.n
+    within[np.diag_indices(k)] += np.maximum(total - 1 - heads, 0)  # lines within a block keep its role
+    for r in places.filter("at = 0").groupBy("role").agg(F.count("*").alias("n")).collect():
+        first[ROLES.index(r.role)] += r.n
+    step = np.full((2, SIZE, SIZE), NEVER)
+    step[0, :k, :k], step[1, :k, :k] = (np.log(x / x.sum(1, keepdims=True)) for x in (between, within))
+    step[0, BEGIN, :k] = np.log(first / first.sum())
+    return Model(np.array([*[NEVER] * k, 0.0]), step, seen)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, tie, …) with ``at``, their place in their conversation from 0 on.
+
+    Places are counted by range, so that a conversation's rows are never in one task; rows equal
+    in all of these are told apart by where they lie.
+    """
+    order = [F.col("conv_id"), F.coalesce("turn", F.lit(-1)), F.col("turn"), F.col("tie"), F.col("__place")]  # nulls come first
+    dealt = rows.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*order)
+    ranges = written(dealt.withColumn("__range", F.spark_partition_id()), "chat-ranges")
+    before = Window.partitionBy("conv_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranges.groupBy("conv_id", "__range").agg(F.count("*").alias("n")).select(F.col("conv_id").alias("__c"), F.col("__range").alias("__r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("conv_id", "__range").orderBy(*order[1:]))
+    out = ranges.withColumn("at", own).join(base, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn("at", F.col("at") + F.col("__base") - 1).drop("__place", "__range", "__c", "__r", "__base")
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,11 +161,7 @@ def path(parts: list[np.ndarray], before: int, last: int) -> list[int]:
 
 
 def _line_matrices(model: Model, text: str | None) -> list[np.ndarray]:
-    return [model.step + e[None, :] for e in model.emissions(text)]
-
-
-SIZE = len(ROLES)
-NO_TURN, A_TURN = "0", "1"
+    return [model.step[min(i, 1)] + e[None, :] for i, e in enumerate(model.emissions(text))]
 
 
 def _matrix(values: list[float]) -> np.ndarray:
@@ -187,68 +205,64 @@ def _by_chunk(of, names: list[str]):
     return run
 
 
-KINDS = {"at": pa.int64(), "tie": pa.string(), "m": pa.list_(pa.float64()), "text": pa.string(), "before": pa.int32(), "last": pa.int32()}
+KINDS = {"at": pa.int64(), "turn": pa.int64(), "m": pa.list_(pa.float64()), "text": pa.string(), "before": pa.int32(), "last": pa.int32()}
 
 
 def _joined(rows: list[tuple]) -> list[tuple]:
-    """A chunk's rows (conv_id, up, at, tie, m) as one: the product of their matrices."""
-    m = reduce(product, (_matrix(r[4]) for r in rows))
-    return [(rows[0][0], rows[0][1], "", m.ravel().tolist())]
+    """A chunk's rows (conv_id, up, at, m) as one: the product of their matrices."""
+    m = reduce(product, (_matrix(r[3]) for r in rows))
+    return [(rows[0][0], rows[0][1], m.ravel().tolist())]
 
 
 def _resolved(rows: list[tuple]) -> list[tuple]:
-    """A chunk's rows (conv_id, up, at, tie, m, text, before, last), with their own role before and after instead of the chunk's."""
-    after = path([_matrix(r[4]) for r in rows], rows[0][6], rows[0][7])
-    return [(r[0], r[2], r[3], r[5], b, e) for r, b, e in zip(rows, [rows[0][6], *after[:-1]], after, strict=True)]
+    """A chunk's rows (conv_id, up, at, m, turn, text, before, last), with their own role before and after instead of the chunk's."""
+    after = path([_matrix(r[3]) for r in rows], rows[0][6], rows[0][7])
+    return [(r[0], r[2], r[4], r[5], b, e) for r, b, e in zip(rows, [rows[0][6], *after[:-1]], after, strict=True)]
 
 
 def parse(blocks: DataFrame, model: Model) -> DataFrame:
     """(conv_id, turn, text, roles): the role of each line of each block of ``blocks`` (conv_id, turn, text)."""
     kind = blocks.schema["conv_id"].dataType.simpleString()
-    tie = F.concat(F.when(F.col("turn").isNull(), NO_TURN).otherwise(A_TURN), F.coalesce("text", F.lit("")))
-    rows = blocks.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("at"), tie.alias("tie"), "text")
-    level = written(rows.mapInArrow(_blocks(model), f"conv_id {kind}, at long, tie string, text string, m array<double>"), "chat-blocks")
-    levels, up = [level], F.floor(F.col("at") / SPAN)
-    span = level.agg(F.max("at").alias("hi"), F.min("at").alias("lo")).first()
-    far = max(abs(span.hi or 0), abs((span.lo or 0) - 1))
+    rows = numbered(blocks.select("conv_id", F.col("turn").cast("long").alias("turn"), F.xxhash64("text").alias("tie"), "text"))
+    rows = rows.select("conv_id", "at", "turn", "text").mapInArrow(_blocks(model), f"conv_id {kind}, at long, turn long, text string, m array<double>")
+    levels, up = [written(rows, "chat-blocks")], F.floor(F.col("at") / SPAN)
+    far = levels[0].agg(F.max("at")).first()[0] or 0
     while True:  # the top level has one chunk a conversation
         top = far < SPAN
-        near = F.lit(0).cast("long") if top else up
-        cut = levels[-1].select("conv_id", near.alias("up"), "at", "tie", "m").repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at", "tie")
-        done = cut.mapInArrow(_by_chunk(_joined, ["conv_id", "at", "tie", "m"]), f"conv_id {kind}, at long, tie string, m array<double>")
+        cut = levels[-1].select("conv_id", up.alias("up"), "at", "m").repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at")
+        done = cut.mapInArrow(_by_chunk(_joined, ["conv_id", "at", "m"]), f"conv_id {kind}, at long, m array<double>")
         levels.append(written(done, "chat-chunks"))
         if top:
             break
-        far = far // SPAN + 1
+        far = far // SPAN
     start = model.start
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best role before the first line, a made-up one, and the best last role."""
+        """The state before the first line and the best last role."""
         for batch in batches:
             out = []
             for m in batch.column("m").to_pylist():
-                whole = start[:, None] + _matrix(m)
-                out.append(np.unravel_index(whole.argmax(), whole.shape))
+                every = start[:, None] + _matrix(m)
+                out.append(np.unravel_index(every.argmax(), every.shape))
             spots = [pa.array([int(x[i]) for x in out], pa.int32()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "at", "tie")), *spots], names=["conv_id", "at", "tie", "before", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("at"), *spots], names=["conv_id", "at", "before", "last"])
 
-    known = levels[-1].select("conv_id", "at", "tie", "m").mapInArrow(ends, f"conv_id {kind}, at long, tie string, before int, last int")
+    known = levels[-1].select("conv_id", "at", "m").mapInArrow(ends, f"conv_id {kind}, at long, before int, last int")
     for n in range(len(levels) - 2, -1, -1):
         known = written(known.select(F.col("conv_id").alias("c"), F.col("at").alias("up_"), "before", "last"), "chat-known")
-        near = F.lit(0).cast("long") if n == len(levels) - 2 else up
-        text = F.col("text") if n == 0 else F.lit(None).cast("string").alias("text")
-        own = levels[n].select("conv_id", near.alias("up"), "at", "tie", "m", text)
+        more = [F.col(c) if n == 0 else F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("text", "string"))]
+        own = levels[n].select("conv_id", up.alias("up"), "at", "m", *more)
         both = own.join(known, own.conv_id.eqNullSafe(F.col("c")) & (own.up == F.col("up_"))).drop("c", "up_")
-        dealt = both.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at", "tie")
-        known = dealt.mapInArrow(_by_chunk(_resolved, ["conv_id", "at", "tie", "text", "before", "last"]), f"conv_id {kind}, at long, tie string, text string, before int, last int")
+        dealt = both.repartition("conv_id", "up").sortWithinPartitions("conv_id", "up", "at")
+        known = dealt.mapInArrow(_by_chunk(_resolved, ["conv_id", "at", "turn", "text", "before", "last"]), f"conv_id {kind}, at long, turn long, text string, before int, last int")
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            roles = [[ROLES[i] for i in path(_line_matrices(model, t), int(b), int(e))] for t, b, e in zip(pdf.text, pdf.before, pdf["last"], strict=True)]
-            turn = pd.array([a if tie[0] == A_TURN else None for a, tie in zip(pdf["at"], pdf.tie, strict=True)], "Int64")
-            yield pd.DataFrame({"conv_id": pdf.conv_id, "turn": turn, "text": pdf.text, "roles": roles})
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(batch.column(c).to_pylist() for c in ("text", "before", "last")), strict=True)
+            roles = [[ROLES[i] for i in path(_line_matrices(model, t), b, e)] for t, b, e in each]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "text")), pa.array(roles, pa.list_(pa.string()))], names=["conv_id", "turn", "text", "roles"])
 
-    found = known.mapInPandas(lines, f"conv_id {kind}, turn long, text string, roles array<string>")
+    found = known.mapInArrow(lines, f"conv_id {kind}, turn long, text string, roles array<string>")
     return found.withColumn("turn", F.col("turn").cast(blocks.schema["turn"].dataType))
 
 
@@ -282,6 +296,14 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
 
 
 def op7(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role (recovered), n_lines, canonical: transcripts made of all conversations, parsed without their roles."""
+    """conv_id, turn, role (recovered), n_lines, canonical: transcripts made of all conversations, parsed without their roles.
+
+    The model is fitted on the half of the conversations whose id's hash is even; the other half's roles are unseen.
+    """
     blocks = as_transcript(conversations.select("conv_id", "turn", "role", "text"))
-    return rendered(parse(blocks.select("conv_id", "turn", "text"), fit(blocks)))
+    return rendered(parse(blocks.select("conv_id", "turn", "text"), fit(blocks.filter(fitted_on()))))
+
+
+def fitted_on() -> Column:
+    """Whether a conversation is of the half that ``op7`` fits on."""
+    return F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0

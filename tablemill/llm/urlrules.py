@@ -2,7 +2,7 @@
 
 Transactions are the tokens of labelled urls (labels of the host, its suffixes, segments of the
 path, names of query parameters) with the label as one more item. Spark's FP-growth mines the
-frequent combinations; those that point to ``block`` with enough confidence and lift become
+frequent combinations; those that point to ``block`` with enough support, confidence and lift become
 rules, of which each that contains a smaller one is pruned. Rules are matched through an
 inverted index: a rule is posted under its rarest token alone, so that common tokens fetch
 no rules, and the fetched ones are verified on all their tokens.
@@ -11,7 +11,8 @@ Listed rules (a host suffix with the start of a path) come first and the longest
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and
 is allowed; rows with equal urls get equal verdicts and each its row; labels without a url,
-or without a value, are left out; without labels nothing is mined; other columns are ignored.
+or without a value, are left out; without labels nothing is mined; repeated and very long urls are urls like any
+other; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,21 +66,42 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(rule, antecedent, support, confidence, lift): pruned rules that point to ``block``.
 
-    ``labelled`` has url and blocked (boolean). At most about 1 / support times the tokens of
-    a url can be frequent, which bounds what FP-growth holds.
+    ``labelled`` has url and blocked (boolean). FP-growth enumerates combinations, so what would only
+    multiply them is taken out before, which changes no rule: tokens that are rules by themselves (a rule with such
+    a token and others is pruned anyway), tokens too rare among blocked urls, and all but one of tokens that occur in
+    the same urls (each rule is then written out once for each of them).
     """
+    rows = labelled.filter("url IS NOT NULL AND blocked IS NOT NULL").select(tokens(F.col("url")).alias("tokens"), "blocked").filter("blocked OR size(tokens) > 0")
+    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "url-transactions")
+    total = rows.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
+    least = min(1.0, max(support, LEAST / max(1, total.n)))
+    base = total.blocked / total.n if total.n else 0.0
+    posts = rows.select("id", "blocked", F.explode("tokens").alias("token"))
+    stats = posts.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("hits"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2)))
+    stats = stats.filter(F.col("hits") >= F.ceil(F.lit(least * total.n))).withColumn("confidence", F.col("hits") / F.col("n"))
+    stats = written(stats.withColumn("lift", F.col("confidence") / F.lit(base or 1.0)), "url-tokens")
+    alone = (F.col("confidence") >= confidence) & (F.col("lift") >= lift)
+    singles = stats.filter(alone).select(F.array("token").alias("antecedent"), (F.col("hits") / F.lit(max(1, total.n))).alias("support"), "confidence", "lift")
+    # Tokens of the same urls: their numbers and sums of hashes agree. There are at most as many as a url has tokens.
+    merged = stats.filter(~alone).groupBy("n", "s0", "s1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members"))
+    merged = written(merged.select("item", "members"), "url-items")
+    items = posts.join(merged.select(F.col("item").alias("token")), "token").groupBy("id").agg(F.collect_set("token").alias("items"))
     label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    rows = labelled.filter("url IS NOT NULL AND blocked IS NOT NULL").select(F.concat(tokens(F.col("url")), label).alias("items"))
-    rows = written(rows.filter("size(items) > 0"), "url-transactions")
-    least = min(1.0, max(support, LEAST / max(1, rows.count())))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(rows)
+    baskets = rows.join(items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(written(baskets, "url-baskets"))
     found = model.associationRules.filter(F.expr(f"consequent = array('{BLOCK}')") & (F.col("lift") >= lift))
     found = written(found.select(F.sort_array("antecedent").alias("antecedent"), "support", "confidence", "lift"), "url-rules")
-    # A rule with all the tokens of a smaller one fits nothing that the smaller doesn't.
-    item = found.select(F.xxhash64("antecedent").alias("small"), F.col("antecedent").alias("part"), F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
-    wide = found.select(F.xxhash64("antecedent").alias("large"), F.size("antecedent").alias("m"), F.explode("antecedent").alias("token"))
-    covered = item.join(wide, "token").filter("m > n").groupBy("small", "large", "n").count().filter("count = n").select(F.col("large").alias("rule")).distinct()
-    return found.withColumn("rule", F.xxhash64("antecedent")).join(covered, "rule", "left_anti")
+    # A rule with all the tokens of a smaller one fits nothing that the smaller doesn't: each looks its proper subsets up.
+    subsets = F.expr("transform(sequence(1L, shiftleft(1L, size(antecedent)) - 2), m -> xxhash64(filter(antecedent, (x, i) -> (shiftright(m, i) & 1) = 1)))")
+    parts = found.filter("size(antecedent) > 1").select(F.xxhash64("antecedent").alias("rule"), F.explode(subsets).alias("part"))
+    covered = parts.join(found.select(F.xxhash64("antecedent").alias("part")), "part", "left_semi").select("rule").distinct()
+    kept = found.withColumn("rule", F.xxhash64("antecedent")).join(covered, "rule", "left_anti")
+    each = kept.select("rule", "support", "confidence", "lift", F.posexplode("antecedent").alias("i", "item")).join(merged, "item")
+    lists = each.groupBy("rule", "support", "confidence", "lift").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "members"))), lambda x: x["members"]).alias("lists"))
+    ways = F.aggregate("lists", F.array(F.array().cast("array<string>")), lambda acc, own: F.flatten(F.transform(acc, lambda a: F.transform(own, lambda m: F.concat(a, F.array(m))))))
+    wide = lists.select(F.explode(ways).alias("antecedent"), "support", "confidence", "lift")
+    out = singles.unionByName(wide).withColumn("antecedent", F.sort_array("antecedent"))
+    return written(out.withColumn("rule", F.xxhash64("antecedent")), "url-pruned-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

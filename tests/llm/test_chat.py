@@ -36,9 +36,10 @@ def plain(model, texts):
     """Viterbi over all lines of one conversation at once; the roles of each block's lines."""
     sizes = [len(chat.lines_of(t)) for t in texts]
     e = np.concatenate([model.emissions(t) for t in texts])
+    steps = [model.step[0 if i == 0 else 1] for n in sizes for i in range(n)]  # to a block's first line, and within it
     scores, back = model.start, []
-    for row in e:
-        whole = scores[:, None] + model.step + row[None, :]
+    for row, step in zip(e, steps, strict=True):
+        whole = scores[:, None] + step + row[None, :]
         back.append(whole.argmax(0))
         scores = whole.max(0)
     states = [int(scores.argmax())]
