@@ -1,80 +1,107 @@
 """Lexical value search over distinct values.
 
-Texts are compared after NFKC, case folding and turning runs of other characters into blanks. Tiers: 0 the
-same text, 1 the same after that, 2 prefix, 3 all words of the query, 4 substring, 5 alike
-(the larger of difflib's ratio and the Jaccard index of letter triples). Hits come by tier,
-score, frequency, column and value. The bounded search looks for the same text first, and only
-then scores at most ``CANDIDATES`` values of a column that share a piece with the query, the nearest in length
-first; that cap is the feature's own, and ``capped`` tells whether it took hold.
+Texts are compared after NFKC, case folding and turning runs of other characters than letters and
+digits into blanks ("folded"). Tiers: 0 the same text, 1 the same folded, 2 prefix, 3 all words of the
+query, 4 substring, 5 alike (the larger of difflib's ratio and the Jaccard index of letter triples). Hits come by
+tier, score, frequency, column and value.
+
+Spark decides all tiers and the bounds that rule likeness out, as expressions over columns; only texts beyond ASCII
+go to Python to be folded, and only values that the bounds leave go there for difflib's ratio.
+
+The bounded search scores at most ``CANDIDATES`` values of a column that share a piece with the query, the same text
+without regard to case first and then the nearest in length. That cap is the
+feature's own, ``capped`` tells whether it took hold, and ``search_values`` has none.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from difflib import SequenceMatcher
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.names import col, find
 
-CANDIDATES, ANCHORS = 4096, 8
-LONGEST, SHORTEST = 256, 3
+CANDIDATES = 4096
+#: Words of the query that recall candidates at most, and characters of the shortest such word.
+ANCHOR_WORDS, SHORTEST = 4, 3
+#: Longest folded value that is compared for likeness, and the least score by whether the query has so many characters.
+LONGEST, LONG_QUERY, LEAST, LEAST_SHORT = 256, 5, 0.72, 0.80
+ALIKE = 5
 ORDER = ("tier", "-score", "-frequency", "column", "value")
 
 
-def normalized(text: str) -> str:
-    return " ".join(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", text).casefold()).split())
+def folded(text: str) -> str:
+    """A text as it is compared."""
+    plain = unicodedata.normalize("NFKC", text).casefold()
+    return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
+
+
+def _with_folded(values: DataFrame) -> DataFrame:
+    """``values`` with folded; Spark folds ASCII texts itself."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(folded=pdf.value.map(folded))
 
-def triples(text: str) -> set[str]:
-    solid = text.replace(" ", "")
-    return {solid[i : i + 3] for i in range(max(1, len(solid) - 2))} - {""}
+    plain = F.col("value").rlike("^[\\x00-\\x7F]*$")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema) + ", folded string"
+    own = values.filter(plain).withColumn("folded", F.trim(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", " ")))
+    return own.unionByName(values.filter(~plain).mapInPandas(run, schema))
 
 
-def match(query: str, value: str) -> tuple[int, float] | None:
-    """(tier, score) or None; the score of tiers 2 to 4 is how much of the value the query covers."""
-    q, v = normalized(query), normalized(value)
-    if not (q and v):
-        return None
-    words, own = q.split(), v.split()
-    covered = len(q) / len(v)
-    lexical = [(query == value, 1.0), (q == v, 1.0), (v.startswith(q), covered), (set(words) <= set(own), len(words) / len(own)), (q in v, covered)]
-    for tier, (fits, score) in enumerate(lexical):
-        if fits:
-            return tier, score
-    if len(q) >= SHORTEST and len(v) <= LONGEST:
-        least = 0.72 if len(q) >= 5 else 0.80
-        a, b = triples(q), triples(v)
-        score, alike = len(a & b) / len(a | b), SequenceMatcher(None, q, v, autojunk=False)
-        # The quick ratios are upper bounds and spare most values the slow one.
-        if score >= least or alike.real_quick_ratio() >= least and alike.quick_ratio() >= least:
-            score = max(score, alike.ratio())
-        if score >= least:
-            return len(lexical), score
-    return None
+def _triples(text: Column) -> Column:
+    solid = F.replace(text, F.lit(" "), F.lit(""))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(solid) - 2, F.lit(1))), lambda i: F.substring(solid, i, F.lit(3))))
 
 
 def _scored(values: DataFrame, query: str) -> DataFrame:
-    """``values`` (column, value, frequency) that match, with tier and score."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``values`` (column, value, frequency, …) that match, with tier and score."""
+    q, keep = folded(query), values.columns
+    if not q:
+        return values.limit(0).select("*", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
+    words, v = q.split(), F.col("folded")
+    n, own = F.length(v), F.split("folded", " ")
+    covered = F.lit(float(len(q))) / n
+    ways = [
+        (F.col("value") == query, F.lit(1.0)),
+        (v == q, F.lit(1.0)),
+        (F.startswith(v, F.lit(q)), covered),
+        (F.size(F.array_except(F.array(*map(F.lit, words)), own)) == 0, F.lit(float(len(words))) / F.size(own)),
+        (F.contains(v, F.lit(q)), covered),
+    ]
+    tier, score = F.lit(ALIKE), F.lit(None).cast("double")
+    for i, (fits, what) in reversed(list(enumerate(ways))):
+        tier, score = F.when(fits, i).otherwise(tier), F.when(fits, what).otherwise(score)
+    rows = _with_folded(values).filter("folded != ''").withColumn("tier", tier).withColumn("score", score)
+    sure = rows.filter(F.col("tier") < ALIKE).select(*keep, "tier", "score")
+    if len(q) < SHORTEST:
+        return sure
+    least = LEAST if len(q) >= LONG_QUERY else LEAST_SHORT
+    mine = _triples(F.lit(q))
+    shared = F.size(F.array_intersect(mine, _triples(v))) / F.size(F.array_union(mine, _triples(v)))
+    # The ratio is at most twice the characters in common, however placed, over both lengths.
+    common = reduce(add, (F.least(F.lit(k), n - F.length(F.replace(v, F.lit(c), F.lit("")))) for c, k in Counter(q).items()))
+    maybe = rows.filter((F.col("tier") == ALIKE) & (n <= LONGEST)).withColumn("shared", shared).withColumn("most", 2.0 * common / (n + len(q)))
+    maybe = maybe.filter((F.col("shared") >= least) | (F.col("most") >= least)).select(*keep, "tier", "folded", "shared")
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hits = [match(query, v) for v in pdf.value]
-            kept = pdf[[h is not None for h in hits]]
-            hits = [h for h in hits if h is not None]
-            yield kept.assign(tier=[h[0] for h in hits], score=[float(h[1]) for h in hits])
+            ratio = [SequenceMatcher(None, q, text, autojunk=False).ratio() for text in pdf.folded]
+            yield pdf.assign(score=pdf.shared.combine(pd.Series(ratio, pdf.index, dtype=float), max)).drop(columns=["folded", "shared"])
 
-    return values.mapInPandas(run, "column string, value string, frequency long, tier int, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sure.schema)
+    return sure.unionByName(maybe.mapInPandas(ratios, schema).filter(F.col("score") >= least))
 
 
 def _values(df: DataFrame, column: str | None) -> DataFrame:
-    """(column, value, frequency) of the distinct values of one text column, or of all."""
+    """(column, value, frequency) of the distinct values of one column, or of all text columns."""
     names = [find(df.columns, column)] if column else [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names)))
     return df.select(each.alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("frequency"))
@@ -92,27 +119,28 @@ def search_values(df: DataFrame, query: str, column: str | None = None, limit: i
 
 
 def anchors(query: str) -> list[str]:
-    """Pieces of the query of which a candidate must have one: the whole, its words, then letter triples; at most ``ANCHORS``."""
-    q = normalized(query)
-    words = sorted((w for w in q.split() if len(w) >= 3), key=len, reverse=True)
-    plain = [q[i : i + 3] for i in range(len(q) - 2) if " " not in q[i : i + 3]]
-    return list(dict.fromkeys([q, *words, *plain]))[:ANCHORS]
+    """Pieces of the query of which a candidate has one: its longest words, and the first, middle and last triple, which outlive a typo."""
+    q = folded(query)
+    words = sorted({w for w in q.split() if len(w) >= SHORTEST}, key=lambda w: (-len(w), w))[:ANCHOR_WORDS]
+    solid = q.replace(" ", "")
+    places = len(solid) - 2
+    spots = dict.fromkeys((0, places // 2, places - 1)) if places > 0 else ()
+    return list(dict.fromkeys([*words, *(solid[i : i + 3] for i in spots)])) or [q]
 
 
 def search_values_bounded(df: DataFrame, query: str, column: str | None = None, limit: int = 20, offset: int = 0, candidates: int = CANDIDATES) -> DataFrame:
-    """As ``search_values`` over recalled candidates; without regard to case equal texts suppress alike ones."""
-    values = _values(df, column)
+    """As ``search_values`` over recalled candidates, with capped; a text that is the same but for case keeps alike ones out."""
     low = F.lower("value")
-    exact = low == query.lower()
-    near = reduce(or_, (F.contains(low, F.lit(a)) for a in anchors(query)), exact)
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc(exact), F.abs(F.length("value") - len(query)), "value"))
+    same = low == query.lower()
+    near = reduce(or_, (F.contains(low, F.lit(a)) for a in anchors(query)), same)
+    order = [F.desc("same"), F.abs(F.length("value") - len(query)), F.desc("frequency"), low, F.col("value")]
+    place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     # Spark keeps the first rows of each column's window before the shuffle, so no task sorts all values.
-    recalled = values.filter(near).withColumn("place", place).filter(F.col("place") <= candidates + 1)
-    capped = recalled.agg(F.coalesce(F.max("place") > candidates, F.lit(False)).alias("capped"))
-    hits = _scored(recalled.filter(F.col("place") <= candidates).drop("place"), query)
-    best = hits.agg(F.min("tier").alias("best"))
-    kept = hits.crossJoin(best).filter((F.col("best") > 1) | (F.col("tier") < 5)).drop("best")
-    return _ranked(kept, limit, offset).crossJoin(capped)
+    found = _values(df, column).filter(near).withColumn("same", same).withColumn("place", place).filter(F.col("place") <= candidates + 1)
+    every = Window.partitionBy()  # over the recalled candidates, whose number is bounded
+    found = found.withColumn("any", F.max("same").over(every)).withColumn("capped", (F.max("place").over(every) > candidates) & ~F.col("any"))
+    kept = _scored(found.filter(F.col("place") <= candidates).drop("same", "place"), query).filter(~F.col("any") | (F.col("tier") < ALIKE))
+    return _ranked(kept, limit, offset).select("column", "value", "frequency", "tier", "score", "capped")
 
 
 def search_database(tables: Mapping[str, DataFrame], query: str, limit: int = 20) -> DataFrame:

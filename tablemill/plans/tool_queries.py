@@ -42,7 +42,7 @@ add("scan_parquet_sample", lambda t: files.scan_parquet_sample(t.customer, "c_cu
 add("search_values", lambda t: search.search_values(t.part, "economy", "p_type"), "SELECT 'p_type' AS \"column\", p_type AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score FROM part WHERE lower(p_type) = 'economy' GROUP BY p_type")
 add("search_values_fuzzy", lambda t: search.search_values(t.nation, "NATION_7"), None)
 add("search_values_bounded", lambda t: search.search_values_bounded(t.customer, "machinery", "c_mktsegment"), "SELECT 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'machinery' GROUP BY c_mktsegment")
-add("search_database", lambda t: search.search_database({"part": t.part, "nation": t.nation, "customer": t.customer.select("c_mktsegment")}, "building"), "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
+add("search_database", lambda t: search.search_database({"part": t.part, "nation": t.nation, "customer": t.customer}, "building"), "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
 
 JOIN_SQL = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 add("sql_guarded", lambda t: sql_.execute_sql(t.spark, JOIN_SQL, {"customer": t.customer, "nation": t.nation}), JOIN_SQL)
