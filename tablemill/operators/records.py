@@ -32,17 +32,61 @@ def group_advantage(df: DataFrame, group: str, value: str, as_: str = "advantage
     return out.withColumn(as_, F.when(F.col("__same"), 0.0).otherwise((col(value) - F.col("__m")) / (F.col("__s") + 1e-6))).drop("__g", "__m", "__s", "__same")
 
 
+def _by_range(df: DataFrame, group: str | None, order: list[Column], name: str) -> DataFrame:
+    """``df`` dealt to ranges of (group, order) with ``__range`` and ``__place``, a row's own number; rows of one group, even equal ones, lie in many ranges."""
+    keys = ([col(group)] if group else []) + order + [F.col("__place").asc()]
+    dealt = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    return written(dealt.withColumn("__range", F.spark_partition_id()), name)
+
+
+def places(df: DataFrame, order: list[Column], group: str | None = None, as_: str = "__i") -> DataFrame:
+    """``df`` with each row's place in its group's order, from 1; counted by range, so that no task sorts a group whole."""
+    ranges = _by_range(df, group, order, "row-ranges")
+    own = F.lit(0) if group is None else col(group)
+    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranges.groupBy(own.alias("__g"), F.col("__range").alias("__r")).agg(F.count("*").alias("__m")).withColumn("__base", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(own, "__range").orderBy(*order, "__place"))
+    out = ranges.withColumn("__own", number).join(base, own.eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn(as_, F.col("__base") + F.col("__own")).drop("__own", "__base", "__range", "__place", "__g", "__r", "__m")
+
+
 def return_to_go(df: DataFrame, group: str, step: str, reward: str, gamma: float, as_: str = "return_to_go") -> DataFrame:
-    """``df`` with the discounted sum of this and all later rewards of its group."""
-    later = Window.partitionBy(group).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, 0)
-    # The list runs from the last step to this one, so folding it discounts what came later once more each time.
-    return df.withColumn(as_, F.aggregate(F.collect_list(col(reward).cast("double")).over(later), F.lit(0.0), lambda acc, r: r + acc * gamma))
+    """``df`` with the discounted sum of this and all later rewards of its group; null rewards neither add nor discount.
+
+    Each range of steps is summed on its own from its end; what later ranges give is added, discounted by the steps between.
+    """
+    ranges = _by_range(df, group, [col(step).desc()], "step-ranges").withColumn("__key", F.to_json(F.array(col(group).cast("string"))))
+    ranges = ranges.repartition("__range", "__key").sortWithinPartitions("__range", "__key", col(step).desc(), "__place")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total, n = None, 0.0, 0
+        for pdf in batches:
+            sums, lengths = [], []
+            for own, r in zip(zip(pdf["__range"], pdf["__key"], strict=True), pdf["__reward"], strict=True):
+                if own != key:
+                    key, total, n = own, 0.0, 0
+                if r == r:
+                    total, n = r + gamma * total, n + 1
+                sums.append(total)
+                lengths.append(n)
+            yield pdf[["__place"]].assign(__sum=sums, __length=lengths)
+
+    scanned = ranges.select("__range", "__key", "__place", col(reward).cast("double").alias("__reward")).mapInPandas(scan, "__place long, __sum double, __length long")
+    found = written(ranges.join(scanned, "__place"), "step-sums")
+    blocks = found.groupBy("__key", "__range").agg(F.max(F.struct("__length", "__sum")).alias("__b"))
+    # Ranges run from the last steps to the first ones, so folding the ones before discounts them on the way.
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.aggregate(F.collect_list("__b").over(before), F.lit(0.0), lambda acc, b: b["__sum"] + acc * F.pow(F.lit(gamma), b["__length"]))
+    blocks = blocks.select(F.col("__key").alias("__k"), F.col("__range").alias("__r"), carry.alias("__carry"))
+    out = found.join(blocks, (F.col("__key") == F.col("__k")) & (F.col("__range") == F.col("__r")))
+    return out.withColumn(as_, F.col("__sum") + F.col("__carry") * F.pow(F.lit(gamma), F.col("__length"))).select(*map(col, df.columns), col(as_))
 
 
 def ambiguity_mask(df: DataFrame, keys: list[str], correct: str = "correct", as_: str = "mask") -> DataFrame:
-    """``df`` with 0 where the same keys have both outcomes, else 1."""
-    both = df.groupBy(*keys).agg((F.min(correct) != F.max(correct)).alias("__both"))
-    return df.join(both, keys).withColumn(as_, F.when(F.col("__both"), 0).otherwise(1)).drop("__both")
+    """``df`` with 0 where the same keys (nulls are alike) have both outcomes, else 1."""
+    both = df.groupBy(*(col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg((F.min(col(correct)) != F.max(col(correct))).alias("__both"))
+    same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(both, same).withColumn(as_, F.when(F.col("__both"), 0).otherwise(1)).drop("__both", *(f"__k{i}" for i in range(len(keys))))
 
 
 #: Rewards by profile: (right without errors, right with errors, wrong with errors, wrong without errors).
@@ -72,25 +116,50 @@ def search_reduction(root: Column, before: Column, after: Column) -> Column:
     return F.when(narrows, (F.ln(real[1] + 1) - F.ln(real[2] + 1)) / F.ln(real[0] + 1)).otherwise(0.0)
 
 
+def _cumulative(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, upto): the distinct values, their rows, and the rows up to each; counted by range of values, so no task sees them all."""
+    counts = df.filter(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranges = written(counts.repartitionByRange("value").withColumn("__range", F.spark_partition_id()), "value-ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = ranges.groupBy("__range").agg(F.sum("n").alias("m")).select("__range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inner = F.sum("n").over(Window.partitionBy("__range").orderBy("value"))
+    return ranges.withColumn("__upto", inner).join(base, "__range").select("value", "n", (F.col("base") + F.col("__upto")).alias("upto"))
+
+
+def _at(index) -> Column:
+    """Of a table of ``_cumulative`` the value of the row with this place from 0 on."""
+    return F.min(F.when(F.col("upto") > index, F.col("value")))
+
+
+def _linear(n: int, share: float) -> Column:
+    place = share * max(0, n - 1)
+    low = math.floor(place)
+    return _at(low).cast("double") + (_at(math.ceil(place)).cast("double") - _at(low).cast("double")) * (place - low)
+
+
+def _nearest(n: int, share: float) -> int:
+    """The place of the smallest value with at least this share of rows up to it."""
+    return max(0, math.ceil(Fraction(str(share)) * n) - 1)
+
+
 def percentile(df: DataFrame, column: str, share: float, how: str = "linear") -> DataFrame:
     """(value): the percentile by linear interpolation, or the order statistic at the floor or the nearest rank."""
+    if how not in ("linear", "nearest", "floor"):
+        raise OpError("unsupported_operator", f"no percentile {how!r}")
+    n = df.agg(F.count(col(column))).first()[0]
     if how == "linear":
-        return df.agg(F.percentile(col(column), F.lit(share)).alias("value"))
-    if how == "nearest":  # the smallest value with at least this share of rows up to it
-        return df.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
-    if how == "floor":  # the value at index floor(share * n), the last at most
-        n = df.agg(F.count(col(column))).first()[0]
-        index = min(n - 1, math.floor(share * n)) if n else 0
-        # The middle between two ranks: whatever rounding does, it means the order statistic at index.
-        rank = (index + 0.5) / n if n else 1.0
-        return df.agg(F.expr(f"percentile_disc({rank!r}D) WITHIN GROUP (ORDER BY `{column}`)").alias("value"))
-    raise OpError("unsupported_operator", f"no percentile {how!r}")
+        own = _linear(n, share)
+    else:
+        own = _at(_nearest(n, share) if how == "nearest" else max(0, min(n - 1, math.floor(share * n))))
+    return _cumulative(df, column).agg(own.alias("value"))
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """(n, mean, median, p75, p90, max)"""
-    own = col(column)
-    return df.agg(F.count(own).alias("n"), F.avg(own).alias("mean"), *(F.percentile(own, F.lit(q)).alias(n) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))), F.max(own).cast("double").alias("max"))
+    n = df.agg(F.count(col(column))).first()[0]
+    cuts = _cumulative(df, column).agg(*(_linear(n, q).alias(name) for name, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))))
+    own = df.agg(F.count(col(column)).alias("n"), F.avg(col(column)).alias("mean"), F.max(col(column)).cast("double").alias("max"))
+    return own.crossJoin(cuts).select("n", "mean", "median", "p75", "p90", "max")  # one row each
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
@@ -99,13 +168,8 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     Distinct values are counted by range of values, and places before each range added, so no
     task sees them all.
     """
-    counts = df.filter(col(column).isNotNull()).groupBy(col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    ranges = written(counts.repartitionByRange("value").withColumn("__range", F.spark_partition_id()), "value-ranges")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = ranges.groupBy("__range").agg(F.sum("n").alias("m")).select("__range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    inner = F.sum("n").over(Window.partitionBy("__range").orderBy("value"))
-    out = ranges.withColumn("__upto", inner).join(base, "__range")
-    return out.select("value", "n", (F.col("base") + F.col("__upto") - (F.col("n") - 1) / 2).alias("rank"))
+    out = _cumulative(df.select(col(column).cast("double").alias("x")), "x")
+    return out.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -132,13 +196,33 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return pearson(both, "rx", "ry")
 
 
+#: Throws up to which the chance is worked out in whole numbers.
+EXACT = 4000
+
+
 def binomial_two_sided(a: int, b: int) -> float:
-    """Exact two-sided chance of a split at least as uneven as ``a`` to ``b`` among a + b fair throws."""
-    n = a + b
+    """Two-sided chance of a split at least as uneven as ``a`` to ``b`` among a + b fair throws.
+
+    Exact for ``EXACT`` throws or fewer; beyond, from log-gamma, within 1e-8 of itself for a million throws.
+    """
+    n, k = a + b, min(a, b)
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(a, b) + 1))
-    return float(min(Fraction(1), Fraction(2 * tail, 2**n)))
+    if n <= EXACT:
+        term = total = 1
+        for i in range(k):
+            term = term * (n - i) // (i + 1)
+            total += term
+        return float(min(Fraction(1), Fraction(2 * total, 2**n)))
+    # From the largest term down, until what is left can't be seen: each is the one before times i / (n - i + 1).
+    term, total = 1.0, 1.0
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < 1e-18 * total:
+            break
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, 2 * total * math.exp(log))
 
 
 def paired_counts(left: DataFrame, right: DataFrame, key: str, correct: str = "correct") -> DataFrame:
@@ -169,29 +253,36 @@ def wilson_ci(df: DataFrame, correct: str, z: float = 1.96) -> DataFrame:
     return own.select("n", "rate", F.when(n > 0, middle - spread).alias("low"), F.when(n > 0, middle + spread).alias("high"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, share: float = 0.95, cluster: str | None = None) -> DataFrame:
+def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, share: float = 0.95, cluster: str | None = None, key: str | None = None) -> DataFrame:
     """(mean, low, high): seeded percentile interval of the mean, resampling rows or whole clusters.
 
-    Each row gets its number of draws in each round from a Poisson law of mean one, seeded by
-    row or cluster, so that tasks add up draws on their own and no list of values is gathered.
+    Each row gets its number of draws in each round from a Poisson law of mean one, seeded by its ``key`` or
+    cluster (or by the row itself, so that equal rows are drawn together), so that tasks add up draws on their own, no
+    list of values is gathered, and the interval doesn't depend on how the table is split.
     """
-    key = col(cluster) if cluster else F.monotonically_increasing_id()
-    keyed = df.filter(col(value).isNotNull()).select(col(value).cast("double").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h"))
+    own = [col(cluster or key)] if cluster or key else [col(c) for c in df.columns]
+    keyed = df.filter(col(value).isNotNull()).select(col(value).cast("double").alias("v"), F.xxhash64(*own, F.lit(seed)).alias("h"))
     sums = keyed.groupBy("h").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
+        chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+        steps = np.random.SeedSequence(seed).generate_state(rounds, np.uint64)
         total, weight = np.zeros(rounds), np.zeros(rounds)
         for pdf in batches:
-            for h, s, n in zip(pdf.h, pdf.s, pdf.n, strict=True):
-                times = np.random.default_rng(h % (1 << 64)).poisson(1.0, rounds)
-                total += times * s
-                weight += times * n
+            h, s, n = pdf.h.to_numpy(np.int64).view(np.uint64), pdf.s.to_numpy(), pdf.n.to_numpy()
+            for at in range(0, len(h), 512):  # a block's rows times rounds at once
+                x = h[at : at + 512, None] ^ steps[None, :]
+                x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+                times = np.searchsorted(chances, ((x ^ (x >> np.uint64(33))) >> np.uint64(11)) * 2.0**-53, side="right")
+                total += s[at : at + 512] @ times
+                weight += n[at : at + 512] @ times
         yield pd.DataFrame({"round": range(rounds), "s": total, "n": weight})
 
     drawn = sums.mapInPandas(draw, "round int, s double, n double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
-    ends = drawn.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("low"), F.percentile("m", F.lit((1 + share) / 2)).alias("high"))
+    ends = drawn.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("low"), F.percentile("m", F.lit((1 + share) / 2)).alias("high"))  # ``rounds`` rows
     return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).crossJoin(ends)
 
 
@@ -314,26 +405,35 @@ def quotas(sizes: dict, total: int) -> dict:
 
 
 def stratified_quota(df: DataFrame, cell: str, key: str, total: int, seed: str = "", space: str = "") -> DataFrame:
-    """``total`` rows in proportion to the cells, in each the smallest by SHA-256 of seed, name space and key."""
-    spark: SparkSession = df.sparkSession
-    sizes = {r[0]: r[1] for r in df.groupBy(cell).count().collect()}
-    plan = spark.createDataFrame(list(quotas(sizes, min(total, sum(sizes.values()))).items()) or [], f"__cell {df.schema[cell].dataType.simpleString()}, __quota long")
-    place = F.row_number().over(Window.partitionBy(cell).orderBy(F.sha2(F.concat(F.lit(f"{seed}\0{space}\0"), col(key).cast("string")), 256)))
-    return df.join(plan, col(cell).eqNullSafe(F.col("__cell"))).withColumn("__place", place).filter("__place <= __quota").drop("__cell", "__quota", "__place")
+    """``total`` rows in proportion to the cells, in each the smallest by SHA-256 of seed, name space and key.
+
+    Quotas are those of ``quotas``, worked out over a table of cells; places within a cell are counted by range.
+    """
+    sizes = df.groupBy(col(cell).alias("__cell")).agg(F.count("*").alias("n"))
+    every = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    total = min(total, every)
+    low = F.expr(f"n * {total}L div {every or 1}L")
+    plan = written(sizes.select("__cell", low.alias("low"), (F.col("n") * total - low * every).alias("rest")), "cell-quotas")
+    left = total - (plan.agg(F.sum("low")).first()[0] or 0)
+    more = plan.orderBy(F.desc("rest"), F.desc(F.coalesce(F.col("__cell").cast("string"), F.lit("None")))).limit(left).select(F.col("__cell").alias("__more"), F.lit(1).alias("__one"))
+    plan = plan.join(more, F.col("__cell").eqNullSafe(F.col("__more")), "left").select("__cell", (F.col("low") + F.coalesce("__one", F.lit(0))).alias("__quota"))
+    ordered = places(df.withColumn("__hash", F.sha2(F.concat(F.lit(f"{seed}\0{space}\0"), col(key).cast("string")), 256)), [F.col("__hash").asc()], cell)
+    return ordered.join(plan, col(cell).eqNullSafe(F.col("__cell"))).filter("__i <= __quota").select(*map(col, df.columns))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 5, as_: str = "bin") -> DataFrame:
     """``df`` with q1, q2, … by nearest-rank cut points."""
-    cuts = df.agg(F.array(*(F.expr(f"percentile_disc({i / bins}) WITHIN GROUP (ORDER BY `{column}`)") for i in range(1, bins))).alias("__cuts"))
+    n = df.agg(F.count(col(column))).first()[0]
+    cuts = _cumulative(df, column).agg(F.array(*(_at(_nearest(n, i / bins)) for i in range(1, bins))).alias("__cuts"))
     number = F.size(F.filter("__cuts", lambda c: c < col(column))) + 1
     return df.crossJoin(cuts).withColumn(as_, F.when(col(column).isNotNull(), F.concat(F.lit("q"), number.cast("string")))).drop("__cuts")
 
 
 def weighted_interleave(df: DataFrame, group: str, order: str) -> DataFrame:
     """``df`` with place, a number by which its ordered groups merge in proportion to their sizes."""
-    own = F.row_number().over(Window.partitionBy(group).orderBy(order))
     sizes = df.groupBy(col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    return df.withColumn("__i", own).join(sizes, col(group).eqNullSafe(F.col("__g"))).withColumn("place", (F.col("__i") - 0.5) / F.col("__n")).drop("__i", "__n", "__g")
+    own = places(df, [col(order).asc()], group)
+    return own.join(sizes, col(group).eqNullSafe(F.col("__g"))).withColumn("place", (F.col("__i") - 0.5) / F.col("__n")).select(*map(col, df.columns), "place")
 
 
 def leak_partition(key: Column, parts: int = 5) -> Column:
@@ -343,11 +443,7 @@ def leak_partition(key: Column, parts: int = 5) -> Column:
 
 def round_robin_shard(df: DataFrame, order: str, shards: int, as_: str = "shard") -> DataFrame:
     """``df`` with its place in the order modulo ``shards``; places are counted by range, without one task for all."""
-    ranges = written(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "row-ranges")
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = ranges.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
-    return ranges.withColumn("__own", own).join(base, "__range").withColumn(as_, ((F.col("__base") + F.col("__own")) % shards).cast("int")).drop("__own", "__base", "__range")
+    return places(df, [col(order).asc()]).withColumn(as_, ((F.col("__i") - 1) % shards).cast("int")).select(*map(col, df.columns), col(as_))
 
 
 def merge_disjoint(parts: list[DataFrame], key: str) -> DataFrame:

@@ -39,15 +39,17 @@ add("fingerprint_schema", lambda t: t.spark.range(1).select(F.lit(compare.finger
 
 
 def cells(t: Tables) -> DataFrame:
-    return t.events.filter("user_id < 12").select(F.col("user_id").alias("candidate"), F.lit("type").alias("place"), F.col("event_type").alias("value"))
+    """All events: each user is a candidate, eight of them for one question."""
+    return t.events.select(F.floor(F.col("user_id") / 8).alias("task"), F.col("user_id").alias("candidate"), F.lit("type").alias("place"), F.col("event_type").alias("value"))
 
 
-PAIRS = """WITH k AS (SELECT user_id AS c, event_type AS v, count(*) AS n FROM events WHERE user_id < 12 GROUP BY ALL),
-s AS (SELECT c, sum(n) AS size FROM k GROUP BY c),
-p AS (SELECT x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS same FROM k x JOIN k y USING (v) GROUP BY ALL),
-r AS (SELECT a, b, CAST(same / (s1.size + s2.size - same) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.c = a JOIN s s2 ON s2.c = b) """
-add("soft_similarity", lambda t: records.soft_similarity(cells(t), "candidate", "place", "value"), PAIRS + "SELECT * FROM r")
-add("majority_medoid", lambda t: records.majority_medoid(records.soft_similarity(cells(t), "candidate", "place", "value")), PAIRS + "SELECT a AS candidate FROM r GROUP BY a ORDER BY round(sum(similarity), 12) DESC, a LIMIT 1")
+PAIRS = """WITH k AS (SELECT user_id // 8 AS task, user_id AS c, event_type AS v, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT task, c, sum(n) AS size FROM k GROUP BY ALL),
+p AS (SELECT x.task AS task, x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS same FROM k x JOIN k y ON x.task = y.task AND x.v = y.v GROUP BY ALL),
+r AS (SELECT p.task AS task, a, b, CAST(same / (s1.size + s2.size - same) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.task = p.task AND s1.c = a JOIN s s2 ON s2.task = p.task AND s2.c = b) """
+MEDOIDS = "SELECT task, a AS candidate FROM r GROUP BY task, a QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(sum(similarity), 12) DESC, a) = 1"
+add("soft_similarity", lambda t: records.soft_similarity(cells(t), "candidate", "place", "value", "task"), PAIRS + "SELECT * FROM r")
+add("majority_medoid", lambda t: records.majority_medoid(records.soft_similarity(cells(t), "candidate", "place", "value", "task"), "task"), PAIRS + MEDOIDS)
 
 
 def task_cells(t: Tables) -> DataFrame:
@@ -83,10 +85,13 @@ def arm(t: Tables, i: int) -> DataFrame:
     return t.customer.select("c_custkey", (F.col("c_custkey") % (i + 3) != 0).alias("correct"))
 
 
-add("mcnemar_exact", lambda t: records.mcnemar_exact(arm(t, 0), arm(t, 1), "c_custkey").select("gains", "losses"), "SELECT count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0) AS gains, count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 0) AS losses FROM customer")
-add("sign_test", lambda t: records.sign_test(t.lineitem, "l_tax", "l_discount").select("higher", "lower"), "SELECT count(*) FILTER (WHERE l_discount > l_tax) AS higher, count(*) FILTER (WHERE l_discount < l_tax) AS lower FROM lineitem")
+#: The two-sided chance of a split of a + b fair throws, to nine digits.
+P_VALUE = "round(least(1.0, 2 * list_sum(list_transform(range(0, least({a}, {b}) + 1), lambda i: exp(lgamma({a} + {b} + 1) - lgamma(i + 1) - lgamma({a} + {b} - i + 1) - ({a} + {b}) * ln(2))))), 9) AS p_value"
+add("mcnemar_exact", lambda t: records.mcnemar_exact(arm(t, 0), arm(t, 1), "c_custkey").withColumn("p_value", F.round("p_value", 9)), f"SELECT gains, losses, {P_VALUE.format(a='gains', b='losses')} FROM (SELECT count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0) AS gains, count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 0) AS losses FROM customer)")
+add("sign_test", lambda t: records.sign_test(t.lineitem, "l_tax", "l_discount").withColumn("p_value", F.round("p_value", 9)), f"SELECT higher, lower, {P_VALUE.format(a='higher', b='lower')} FROM (SELECT count(*) FILTER (WHERE l_discount > l_tax) AS higher, count(*) FILTER (WHERE l_discount < l_tax) AS lower FROM lineitem)")
+add("sign_test_even", lambda t: records.sign_test(t.events.select(F.col("event_id") % 101, F.col("event_id") % 103).toDF("x", "y"), "x", "y").withColumn("p_value", F.round("p_value", 7)), f"SELECT higher, lower, round({P_VALUE.format(a='higher', b='lower').removesuffix(' AS p_value')}, 7) AS p_value FROM (SELECT count(*) FILTER (WHERE event_id % 103 > event_id % 101) AS higher, count(*) FILTER (WHERE event_id % 103 < event_id % 101) AS lower FROM events)")
 add("wilson_ci", lambda t: records.wilson_ci(t.labels, "quality").select("n", *(F.round(c, 9).alias(c) for c in ("rate", "low", "high"))), "SELECT n, round(p, 9) AS rate, round((p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS high FROM (SELECT count(quality) AS n, avg(quality) AS p, 1.96::DOUBLE AS z FROM labels)")
-add("bootstrap_ci", lambda t: records.bootstrap_ci(t.labels, "quality", rounds=200))
+add("bootstrap_ci", lambda t: records.bootstrap_ci(t.labels, "quality", rounds=200, key="doc_id"))
 add("bootstrap_cluster_ci", lambda t: records.bootstrap_ci(samples(t), "value", rounds=200, cluster="task"))
 add("cohens_d", lambda t: records.cohens_d(scored(t), "quality", "n_chars", 1, 0).select(F.round("effect", 9).alias("effect")), f"SELECT round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 9) AS effect FROM (SELECT avg(n_chars) FILTER (WHERE quality = 1) AS m1, avg(n_chars) FILTER (WHERE quality = 0) AS m0, var_samp(n_chars) FILTER (WHERE quality = 1) AS v1, var_samp(n_chars) FILTER (WHERE quality = 0) AS v0, count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0 FROM {SCORED})")
 SHARES = "(SELECT coalesce(x.s, 0) AS p, coalesce(y.s, 0) AS q FROM (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS s FROM documents GROUP BY lang) x FULL JOIN (SELECT lang, count(*) / sum(count(*)) OVER () AS s FROM " + SCORED + " GROUP BY lang) y USING (lang))"
