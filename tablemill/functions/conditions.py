@@ -49,6 +49,14 @@ def normal(tree):
     return {**tree, "op": str(tree.get("op", "=")).strip().lower().replace("_", " ")}
 
 
+def _not_in(own: Column, members: DataFrame) -> Column:
+    """SQL's NOT IN with its unknowns, by a plain IN, which Spark may shuffle for; its own form of NOT IN broadcasts the members whatever their size."""
+    some = members.agg((F.count("*") > 0).alias("some")).scalar()
+    nulls = members.agg((F.count("*") > F.count("__member")).alias("nulls")).scalar()
+    unknown = F.when(own.isNull() | nulls, F.lit(None).cast("boolean")).otherwise(True)
+    return F.when(~some, True).when(own.isin(members), False).otherwise(unknown)
+
+
 def _leaf(leaf: Mapping, columns: list[str], table: Callable[[object], DataFrame]) -> Column:
     op, name = leaf["op"], leaf.get("column")
     if name == "*" and leaf.get("value") is None:
@@ -63,6 +71,8 @@ def _leaf(leaf: Mapping, columns: list[str], table: Callable[[object], DataFrame
     elif plain == "in" and "in_table" in leaf:
         other = table(leaf["in_table"])
         member = other.columns[0] if len(other.columns) == 1 else find(other.columns, name)
+        if negative:
+            return _not_in(own, other.select(col(member).alias("__member")))
         found = own.isin(other.select(col(member)))
     elif plain == "in":
         values = leaf.get("values", leaf.get("value", []))

@@ -32,8 +32,9 @@ def normalized(df: DataFrame) -> DataFrame:
         text = F.trim((own.cast("int") if f.dataType.typeName() == "boolean" else own).cast("string"))
         number = text.try_cast("double")
         whole = F.abs(number - F.round(number)) < 1e-6
-        far = F.abs(number) >= 9e15  # beyond whole doubles, and not finite ones
-        shown = F.when(number.isNull(), text).when(F.isnan(number), "nan").when(far, F.lower(text)).when(whole, F.round(number).cast("long").cast("string")).otherwise(F.format_string("%.4f", number))
+        size = F.abs(number)
+        far = F.when(size < 1e37, F.when(size < 1e37, number).cast("decimal(38,0)").cast("string")).otherwise(F.lower(number.cast("string")))
+        shown = F.when(number.isNull(), text).when(F.isnan(number), "nan").when(size >= 9e15, far).when(whole, F.round(number).cast("long").cast("string")).otherwise(F.format_string("%.4f", number))
         out.append(F.coalesce(shown, F.lit("")).alias(f"c{i}"))
     return df.select(*out)
 

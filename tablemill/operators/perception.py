@@ -11,6 +11,7 @@ from tablemill.errors import OpError
 from tablemill.functions.conditions import condition
 from tablemill.functions.names import col, find
 from tablemill.functions.typed import Builder
+from tablemill.sources.catalog import Source, edges
 from tablemill.operators.ordering import _ties, text_key, typed_key
 
 FULL_BELOW = 50
@@ -38,6 +39,21 @@ def describe_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, type string, nullable boolean")
 
 
+def describe_source(spark: SparkSession, sources: Mapping[str, Source], name: str) -> DataFrame:
+    """As ``describe_table`` with is_key, references (``table.column`` of a foreign key, or null) and row_count of a table with keys."""
+    own = sources[name]
+    to = {c: f"{parent}.{target}" for t, c, parent, target in edges(sources) if t == name}
+    keys = spark.createDataFrame([(f.name, f.name in own.primary_key, to.get(f.name)) for f in own.df.schema.fields], "column_name string, is_key boolean, references string")
+    total = own.df.agg(F.count("*").alias("row_count"))
+    return describe_table(spark, name, own.df).join(keys, "column_name").crossJoin(total)
+
+
+def inspect_summary(df: DataFrame, column: str, top_k: int = TOP, full_below: int = FULL_BELOW) -> DataFrame:
+    """As ``inspect_column`` with distinct_values and has_null of the column."""
+    facts = column_summary(df, column).select("distinct_values", (F.col("null_rows") > 0).alias("has_null"))
+    return inspect_column(df, column, top_k, full_below).crossJoin(facts)
+
+
 def count_nulls(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(col(find(df.columns, column)).isNull()).alias("null_rows"))
 

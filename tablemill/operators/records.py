@@ -335,6 +335,26 @@ def tool_usage(steps: DataFrame, run: str, tool: str) -> DataFrame:
     return own.crossJoin(total).select("tool", "calls", "runs", (F.col("runs") / F.col("total")).alias("run_share"))
 
 
+def usage_profile(steps: DataFrame, run: str, tool: str) -> DataFrame:
+    """(tool, calls, call_share, runs, run_share, p50, p90): p50 and p90 of a tool's calls a run, over the runs that use it."""
+    each = steps.groupBy(col(tool).alias("tool"), col(run).alias("run")).agg(F.count("*").alias("n"))
+    total = steps.agg(F.count("*").alias("__calls"), F.count_distinct(col(run)).alias("__runs"))
+    # A percentile keeps one entry for each distinct number of calls, which are few.
+    own = each.groupBy("tool").agg(F.sum("n").alias("calls"), F.count("run").alias("runs"), *(F.percentile("n", F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.5, 0.9)))
+    return own.crossJoin(total).select("tool", "calls", (F.col("calls") / F.col("__calls")).alias("call_share"), "runs", (F.col("runs") / F.col("__runs")).alias("run_share"), "p50", "p90")
+
+
+def run_summary(records: DataFrame, by: list[str], elapsed: str, failure: str) -> DataFrame:
+    """As ``arm_metrics`` with mean_elapsed and failures, the number of runs with a failure."""
+    more = records.groupBy(*by).agg(F.avg(col(elapsed).cast("double")).alias("mean_elapsed"), F.count(col(failure)).alias("failures"))
+    base = arm_metrics(records, by)
+    if not by:
+        return base.crossJoin(more)  # one row each
+    keys = more.select(*(col(c).alias(f"__{i}") for i, c in enumerate(by)), "mean_elapsed", "failures")
+    same = [col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(by)]
+    return base.join(keys, same).drop(*(f"__{i}" for i in range(len(by))))
+
+
 def edit_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """``pairs`` with edit_distance and common_prefix of two arrays of strings."""
 

@@ -107,8 +107,10 @@ add("arm_metrics", lambda t: records.arm_metrics(runs(t), ["lang"]), f"SELECT la
 add("eval_summary", lambda t: records.arm_metrics(runs(t), []), f"SELECT count(*) AS runs, avg(quality) AS accuracy, avg(1 - toxic) AS legal_rate, avg(n_chars % 9) AS mean_steps FROM {SCORED}")
 add("adjacent_repeats", lambda t: records.adjacent_repeats(t.events, "user_id", "event_id", "event_type"), "SELECT user_id, count(*) FILTER (WHERE same) AS repeats FROM (SELECT user_id, event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS same FROM events) GROUP BY user_id")
 add("arm_compare", lambda t: records.paired_counts(arm(t, 0), arm(t, 1), "c_custkey"), "SELECT count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0) AS both, count(*) FILTER (WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0) AS gains, count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 0) AS losses, count(*) FILTER (WHERE c_custkey % 12 = 0) AS neither FROM customer")
-add("sequence_distance", lambda t: records.edit_distances(t.part.select("p_partkey", F.split("p_name", "").alias("a"), F.split("p_type", "").alias("b")), "a", "b").select("p_partkey", "edit_distance"), "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS edit_distance FROM part")
+add("sequence_distance", lambda t: records.edit_distances(t.part.select("p_partkey", F.split("p_name", "").alias("a"), F.split("p_type", "").alias("b")), "a", "b").select("p_partkey", "edit_distance", "common_prefix"), "SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS edit_distance, CAST(coalesce(list_position(list_transform(range(1, least(length(p_name), length(p_type)) + 1), lambda i: p_name[i] <> p_type[i]), true) - 1, least(length(p_name), length(p_type))) AS INTEGER) AS common_prefix FROM part")
 add("tool_usage", lambda t: records.tool_usage(t.events, "user_id", "event_type"), "SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS runs, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) AS run_share FROM events GROUP BY event_type")
+add("usage_profile", lambda t: records.usage_profile(t.events, "user_id", "event_type"), "SELECT event_type AS tool, CAST(sum(n) AS BIGINT) AS calls, sum(n) / (SELECT count(*) FROM events) AS call_share, count(*) AS runs, count(*) / (SELECT count(DISTINCT user_id) FROM events) AS run_share, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90 FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+add("run_summary", lambda t: records.run_summary(runs(t).withColumn("elapsed", F.col("n_steps") * 2).withColumn("failure", F.when(~F.col("legal"), "toxic")), ["lang"], "elapsed", "failure"), f"SELECT lang, count(*) AS runs, avg(quality) AS accuracy, avg(1 - toxic) AS legal_rate, avg(n_chars % 9) AS mean_steps, avg(n_chars % 9 * 2) AS mean_elapsed, count(*) FILTER (WHERE toxic <> 0) AS failures FROM {SCORED} GROUP BY lang")
 add("failure_buckets", lambda t: records.failure_buckets(scored(t), [("toxic", F.col("toxic") == 1), ("poor", F.col("quality") == 0), ("short", F.col("n_chars") < 200)]), f"SELECT CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN n_chars < 200 THEN 'short' ELSE 'other' END AS bucket, count(*) AS n FROM {SCORED} GROUP BY 1")
 add("stratified_quota", lambda t: records.stratified_quota(t.documents.select("doc_id", "lang"), "lang", "doc_id", 40), """
     WITH n AS (SELECT lang, count(*) AS k, count(*) * 40 // (SELECT count(*) FROM documents) AS low, count(*) * 40 % (SELECT count(*) FROM documents) AS rest FROM documents GROUP BY lang),

@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.errors import OpError
-from tablemill.functions.names import col
+from tablemill.functions.names import col, quoted
 
-MOST_ROWS = 100_000
+#: Limits of a result: rows, bytes of all cells and of one.
+MOST_ROWS, MOST_BYTES, MOST_CELL = 100_000, 64 << 20, 4 << 20
+ON_FILES = "spark.sql.runSQLOnFiles"
 LOCK = threading.Lock()
 
 
@@ -24,6 +26,8 @@ def check_read_only(sql: str) -> str:
         raise OpError("not_read_only", "one statement at a time")
     if not re.match(r"\s*\(*\s*(SELECT|WITH|EXPLAIN)\b", plain, re.I):
         raise OpError("not_read_only", "only SELECT and WITH are read")
+    if re.search(r"\b(reflect|java_method|try_reflect)\s*\(", plain, re.I):
+        raise OpError("not_read_only", "the statement calls code")
     if re.search(r"\b(INSERT|UPDATE|DELETE|MERGE|CREATE|DROP|ALTER|TRUNCATE)\s+(INTO|TABLE|FROM|VIEW|DATABASE)\b", plain, re.I):
         raise OpError("not_read_only", "the statement writes")
     return sql.rstrip().rstrip(";")
@@ -33,24 +37,43 @@ def execute_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame])
     """The query over the given tables, by name.
 
     The tables are views only while Spark analyses the text, which it does at once; the result keeps
-    their plans. Calls take turns, so that two of them don't see each other's names.
+    their plans. The caller's views of the same names are put back, its other views and files can't be read. Calls
+    take turns, so that two of them don't see each other's names.
     """
     text = check_read_only(sql)
     with LOCK:
+        files, low = spark.conf.get(ON_FILES), {n.casefold() for n in tables}
+        views = {t.name: spark.table(quoted(t.name)) for t in spark.catalog.listTables() if t.isTemporary}
         try:
+            spark.conf.set(ON_FILES, "false")
+            for name in views:
+                if name.casefold() not in low:
+                    spark.catalog.dropTempView(name)
             for name, df in tables.items():
-                df.createOrReplaceTempView(name)
+                df.createOrReplaceTempView(quoted(name))
             return spark.sql(text)
         finally:
+            spark.conf.set(ON_FILES, files)
             for name in tables:
                 spark.catalog.dropTempView(name)
+            for name, df in views.items():
+                df.createOrReplaceTempView(quoted(name))
 
 
-def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``df``; more rows than ``most`` are an error, never cut off."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise OpError("too_many_rows", f"more than {most} rows")
+def inputs_of(sql: str, tables: Iterable[str]) -> list[str]:
+    """Those of ``tables`` that a query names outside of its texts and comments."""
+    plain = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
+    return [t for t in tables if re.search(rf"(?i)(?<![\w.]){re.escape(t)}(?!\w)", plain)]
+
+
+def bounded(df: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, most_cell: int = MOST_CELL) -> DataFrame:
+    """``df``; more rows than ``most``, or bytes in all or in one cell than they may be, are an error, never cut off."""
+    sizes = [F.coalesce(F.octet_length(col(f.name) if f.dataType.typeName() == "binary" else F.to_json(F.struct(col(f.name)))), F.lit(0)) for f in df.schema.fields]
+    first = df.limit(most + 1).select(F.array(*sizes).alias("s"))
+    own = first.agg(F.count("*").alias("n"), F.sum(F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"), F.max(F.array_max("s")).alias("cell")).first()
+    for code, found, limit in (("too_many_rows", own.n, most), ("too_many_bytes", own.bytes or 0, most_bytes), ("cell_too_large", own.cell or 0, most_cell)):
+        if found > limit:
+            raise OpError(code, f"{found} is more than {limit}")
     return df
 
 

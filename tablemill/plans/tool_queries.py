@@ -28,6 +28,16 @@ add("catalog_overview", lambda t: perception.catalog_overview({n: getattr(t, n)
 add("schema_map", lambda t: t.spark.createDataFrame([(n, c) for n, cs in perception.schema_map({"region": t.region, "nation": t.nation}).items() for c in cs], "table_name string, column_name string"), "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name'), ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey')) AS v(table_name, column_name)")
 add("describe_table", lambda t: perception.describe_table(t.spark, "labels", t.labels), "SELECT 'labels' AS table_name, position, column_name, type, true AS nullable FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'quality', 'int'), (2, 'toxic', 'int')) AS v(position, column_name, type)")
 add("inspect_column", lambda t: perception.inspect_column(t.part, "p_brand"), "SELECT p_brand AS value, count(*) AS frequency, true AS complete FROM part GROUP BY p_brand")
+KEYED = {"region": (("r_regionkey",), ()), "nation": (("n_nationkey",), (catalog.ForeignKey("n_regionkey", "region"),)), "customer": (("c_custkey",), (catalog.ForeignKey("c_nationkey", "nation"),)), "orders": (("o_orderkey",), (catalog.ForeignKey("o_custkey", "customer", "c_custkey"),))}
+
+
+def _keyed(t: Tables) -> dict[str, catalog.Source]:
+    return {n: catalog.Source(n, getattr(t, n), *keys) for n, keys in KEYED.items()}
+
+
+add("catalog_foreign_keys", lambda t: catalog.foreign_keys(t.spark, _keyed(t)), "SELECT table_name, column_name, parent, parent_column, row_count FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey')) AS v(table_name, column_name, parent, parent_column) JOIN (SELECT 'nation' AS table_name, count(*) AS row_count FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders) USING (table_name)")
+add("describe_table_keys", lambda t: perception.describe_source(t.spark, _keyed(t), "nation"), "SELECT 'nation' AS table_name, position, column_name, type, true AS nullable, position = 0 AS is_key, ref AS \"references\", (SELECT count(*) FROM nation) AS row_count FROM (VALUES (0, 'n_nationkey', 'int', NULL), (1, 'n_name', 'string', NULL), (2, 'n_regionkey', 'int', 'region.r_regionkey')) AS v(position, column_name, type, ref)")
+add("inspect_column_summary", lambda t: perception.inspect_summary(t.documents.join(t.labels, "doc_id", "left"), "quality"), "WITH x AS (SELECT quality FROM documents LEFT JOIN labels USING (doc_id)) SELECT quality AS value, count(*) AS frequency, true AS complete, (SELECT count(DISTINCT quality) FROM x) AS distinct_values, (SELECT count(*) > count(quality) FROM x) AS has_null FROM x WHERE quality IS NOT NULL GROUP BY quality")
 add("inspect_column_many", lambda t: perception.inspect_column(t.events, "user_id", top_k=10), "WITH c AS (SELECT user_id AS value, count(*) AS frequency FROM events GROUP BY user_id) SELECT value, frequency, (SELECT count(*) FROM c) <= 50 AS complete FROM c QUALIFY (SELECT count(*) FROM c) <= 50 OR row_number() OVER (ORDER BY frequency DESC, value) <= 10")
 add("inspect_column_typed", lambda t: perception.value_counts(t.customer, "c_mktsegment"), "SELECT c_mktsegment AS value, count(*) AS frequency FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment")
 add("column_summary", lambda t: perception.column_summary(t.documents.join(t.labels, "doc_id", "left"), "quality"), "SELECT count(DISTINCT quality) AS distinct_values, count(*) - count(quality) AS null_rows, count(*) AS total_rows FROM documents LEFT JOIN labels USING (doc_id)")
@@ -119,6 +129,7 @@ add("scan_jsonl", _through(lambda df, p: df.write.json(p), lambda s, p: files.sc
 add("scan_json_array", _through(lambda df, p: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).write.text(p), lambda s, p: files.scan_json_array(s, p, NATION)), "SELECT * FROM nation")
 add("scan_csv", _through(lambda df, p: df.write.option("header", True).csv(p), lambda s, p: files.scan_csv(s, p, NATION)), "SELECT * FROM nation")
 add("sink_parquet", _through(files.sink_parquet, lambda s, p: s.read.parquet(p)), "SELECT * FROM nation")
+add("sample_parquet", _through(lambda df, p: files.sink_parquet(files.scan_parquet_sample(df, "n_nationkey", 7), p), lambda s, p: s.read.parquet(p)), "SELECT * FROM nation ORDER BY md5(CAST(n_nationkey AS VARCHAR) || '0'), n_nationkey LIMIT 7")
 add("sink_sample", _through(lambda df, p: files.sink_sample(df, p, 5, "n_nationkey", "nation"), lambda s, p: files.scan_jsonl(s, p, NATION + ", source string")), "SELECT *, 'nation' AS source FROM nation ORDER BY md5(CAST(n_nationkey AS VARCHAR) || '0'), n_nationkey LIMIT 5")
 
 
@@ -147,7 +158,7 @@ def _words(t: Tables, *words: str) -> DataFrame:
 
 
 add("validate_project", lambda t: _words(t, *_space(t).check("project", table="orders", expressions=["o_orderkey AS id", "o_totalprice * 2 AS twice"])), "SELECT * FROM (VALUES ('id'), ('twice')) AS v(word)")
-add("resource_guard", lambda t: _words(t, _code(lambda: sql_.bounded(t.orders, 100)), _code(lambda: sql_.bounded(t.region, 100))), "SELECT * FROM (VALUES ('too_many_rows'), ('none')) AS v(word)")
+add("resource_guard", lambda t: _words(t, _code(lambda: sql_.bounded(t.orders, 100)), _code(lambda: sql_.bounded(t.region, 100)), _code(lambda: sql_.bounded(t.orders, most_bytes=1000)), _code(lambda: sql_.bounded(t.region, most_cell=10))), "SELECT * FROM (VALUES ('too_many_rows'), ('none'), ('too_many_bytes'), ('cell_too_large')) AS v(word)")
 add("deadline", lambda t: t.spark.range(1).select(F.lit(sql_.within(t.spark, 60, lambda: t.region.count())).alias("rows")), "SELECT CAST(count(*) AS INTEGER) AS rows FROM region")
 add("sql_preview", lambda t: (lambda got: t.spark.createDataFrame([(len(got[0]), got[1])], "rows int, more boolean"))(sql_.preview(sql_.execute_sql(t.spark, "SELECT * FROM nation", {"nation": t.nation}), 10)), "SELECT 10 AS rows, true AS more")
 add("denotation_score", lambda t: compare.same_set(_after(t).answer("project_006"), sql_.execute_sql(t.spark, PROGRAM_SQL, {"orders": t.orders, "customer": t.customer})), "SELECT true AS equal")
@@ -155,4 +166,4 @@ add("set_handle", lambda t: _words(t, _space(t).handle("ORDERS").name, *_space(t
 add("lineage_columns", lambda t: _words(t, *columns_of({"op": "case_when", "branches": [{"when": {"op": ">", "left": {"column": "a"}, "right": {"value": 1}}, "then": {"column": "b"}}], "else": {"op": "add", "args": [{"column": "a"}, {"column": "c"}]}})), "SELECT * FROM (VALUES ('a'), ('b'), ('c')) AS v(word)")
 add("provenance_edges", lambda t: _after(t).provenance().filter("handle = 'filter_001' OR handle = 'project_006'"), "SELECT * FROM (VALUES ('filter_001', 'orders', 'o_orderdate'), ('project_006', 'group_005', 'c.c_mktsegment'), ('project_006', 'group_005', 'n')) AS v(handle, input, \"column\")")
 OTHER = [*STEPS[:4], {"id": "counts", "tool": "execute_sql", "args": {"sql": "SELECT * FROM customer"}}, STEPS[5] | {"args": {"table": {"step": "kept"}, "expressions": ["o_orderstatus AS segment", "o_orderkey AS n"]}}]
-add("counterfactual_suite", lambda t: equivalent(t.spark, STEPS, OTHER, "out", {"as it is": {"orders": t.orders, "customer": t.customer}, "empty": {"orders": t.orders.limit(0), "customer": t.customer}}).select("database", "has_rows"), "SELECT * FROM (VALUES ('as it is', true), ('empty', false)) AS v(database, has_rows)")
+add("counterfactual_suite", lambda t: equivalent(t.spark, STEPS, OTHER, "out", {"as it is": {"orders": t.orders, "customer": t.customer}, "empty": {"orders": t.orders.limit(0), "customer": t.customer}}).select("database", "equal", "has_rows"), "SELECT * FROM (VALUES ('as it is', false, true), ('empty', true, false)) AS v(database, equal, has_rows)")

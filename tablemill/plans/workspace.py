@@ -88,7 +88,7 @@ class Workspace:
             operands = [self.table(o["value_ref"]) if isinstance(o, Mapping) else o for o in own["operands"]]
             return scalars.scalar_compute(self.spark, own["operation"], operands, own.get("result_name", "value")), used
         if tool == "execute_sql":
-            return sql_.execute_sql(self.spark, own["sql"], {n: h.df for n, h in self.handles.items()}), []
+            return sql_.execute_sql(self.spark, own["sql"], {n: h.df for n, h in self.handles.items()}), sql_.inputs_of(own["sql"], self.handles)
         name = own.pop("table")
         df = self.table(name)
         if tool in ("condition_filter", "group_aggregate"):

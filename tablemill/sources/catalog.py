@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablemill.errors import OpError
 from tablemill.functions import types as K
@@ -47,6 +48,16 @@ def edges(sources: dict[str, Source]) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def foreign_keys(spark: SparkSession, sources: dict[str, Source]) -> DataFrame:
+    """(table_name, column_name, parent, parent_column, row_count) of all foreign keys; row_count is the table's."""
+    rows = spark.createDataFrame(edges(sources), "table_name string, column_name string, parent string, parent_column string")
+    counts = None
+    for name in dict.fromkeys(t for t, *_ in edges(sources)):
+        own = sources[name].df.agg(F.lit(name).alias("t"), F.count("*").alias("row_count"))
+        counts = own if counts is None else counts.unionByName(own)
+    return rows.join(counts, F.col("table_name") == F.col("t")).drop("t") if counts is not None else rows.withColumn("row_count", F.lit(0).cast("long"))
+
+
 def columns(spark: SparkSession, sources: dict[str, Source]) -> DataFrame:
     """(table_name, position, column_name, canonical_type, is_key) of all columns; nested types have no canonical type."""
     rows = []

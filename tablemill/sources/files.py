@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,11 +85,11 @@ class Journal:
         return out if good is None else out.filter(good)
 
     def append(self, rows: DataFrame) -> int:
-        """Appends the rows whose key the journal hasn't; their number."""
-        new = rows.join(self.records().select(self.key), self.key, "left_anti").select(*rows.columns)
-        before = self.records().count()
-        new.write.mode("append").json(f"{self.path}/records")
-        return self.records().count() - before
+        """Appends the rows whose key the journal hasn't, of rows with equal keys one; their number."""
+        new = rows.join(self.records().select(self.key), self.key, "left_anti").select(*map(col, rows.columns)).dropDuplicates([self.key])
+        seen = Observation()
+        new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(f"{self.path}/records")
+        return seen.get["n"]
 
 
 #: The columns of a task record, whatever dataset it comes from.
