@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablemill.functions.names import col
 from tablemill.shared import discard, shared_dir, shuffles_removed, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "filtered", "open_fs", "shared_dir", "shuffles_removed", "spread", "whole", "whole_rows", "word_count", "tasks_for", "worker_held", "worker_released", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "discard", "filtered", "open_fs", "positional", "shared_dir", "shuffles_removed", "spread", "whole", "whole_rows", "word_count", "tasks_for", "worker_held", "worker_released", "written"]
 
 #: Bytes that end a word: ASCII white space. bytes.split() without arguments splits on just these.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -72,6 +72,11 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*map(col, docs.columns))
 
 
+def positional(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``df`` as c0, c1, …: mapInArrow can't find columns with dots in their names."""
+    return df.select(*(col(c).alias(f"c{i}") for i, c in enumerate(names)))
+
+
 def filtered(docs: DataFrame, run: Callable[[DataFrame], DataFrame], added: list[str], keep: Column) -> DataFrame:
     """The rows of ``docs`` for which ``keep`` holds in what ``run`` makes of them, with their own columns, also those named like ``added`` ones."""
     if not {c.lower() for c in docs.columns} & set(added):

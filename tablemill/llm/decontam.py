@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.functions.names import col
-from tablemill.llm.common import filtered, written
+from tablemill.llm.common import filtered, positional, written
 
 WINDOW = 10
 #: Words of benchmark items that one broadcast set holds, about 64 bytes each (more only if a single item has more).
@@ -124,7 +124,7 @@ def _scan_once(docs: DataFrame, items: list[tuple[object, str | None]], window:
                 rows.append((len(words), int(hit.sum()), found))
             yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(rows)], names=[f.name for f in schema])
 
-    return docs.select(*map(col, kept)).mapInArrow(run, schema)
+    return positional(docs, kept).mapInArrow(run, schema)
 
 
 def _schema(docs: DataFrame) -> tuple[list[str], T.StructType]:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm.common import open_fs, shared_dir, tasks_for, written
+from tablemill.functions.names import col
+from tablemill.llm.common import open_fs, positional, shared_dir, tasks_for, written
 
 #: Samples in a row of an image, and what payloads are padded to a multiple of.
 ROW = 576
@@ -111,7 +112,7 @@ def _schema(df: DataFrame, added: str, without: str | None = None) -> tuple[list
     fields = T._parse_datatype_string(added)
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c.lower() not in names and c != without]
-    return kept, T.StructType([*df.select(*(f"`{c}`" for c in kept)).schema.fields, *fields])
+    return kept, T.StructType([*df.select(*map(col, kept)).schema.fields, *fields])
 
 
 def write_media(df: DataFrame, payload: str = "text") -> DataFrame:
@@ -143,7 +144,7 @@ def write_media(df: DataFrame, payload: str = "text") -> DataFrame:
         if shard:
             shard.close()
 
-    return written(df.select(f"`{payload}`", *(f"`{c}`" for c in kept)).mapInArrow(run, schema), "media-rows")
+    return written(positional(df, [payload, *kept]).mapInArrow(run, schema), "media-rows")
 
 
 def _reading(df: DataFrame, added: str, length: Callable[[int], int], of: Callable[[bytes], tuple]) -> DataFrame:
@@ -177,8 +178,8 @@ def _reading(df: DataFrame, added: str, length: Callable[[int], int], of: Callab
 
     # As many tasks as the members' bytes ask for: the rows alone are small and would be merged into few.
     tasks = tasks_for(df.sparkSession, df.agg(F.sum("length")).first()[0], READ_BYTES)
-    spread = df.select(*(f"`{c}`" for c in kept)).repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
-    return spread.mapInArrow(run, schema)
+    spread = df.select(*map(col, kept)).repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return positional(spread, kept).mapInArrow(run, schema)
 
 
 def header_columns(media: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemill.llm.common import filtered, worker_released
+from tablemill.functions.names import col
+from tablemill.llm.common import filtered, positional, worker_released
 
 #: Labelled texts, and characters of them, that the model is fitted on at most; texts longer than LONGEST are scored but not fitted on.
 SAMPLE, SAMPLE_CHARS, LONGEST = 4_000, 12_000_000, 20_000
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))  # FEATURES entries at most
     added = T._parse_datatype_string(ADDED)
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
-    at, schema = kept.index("text"), T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *added])
+    at, schema = kept.index("text"), T.StructType([*docs.select(*map(col, kept)).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_released()
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             extra = [pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array(toxic, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[f.name for f in schema])
 
-    return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(run, schema)
+    return positional(docs, kept).mapInArrow(run, schema)
 
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablemill.llm.common import WORD, worker_held
+from tablemill.functions.names import col
+from tablemill.llm.common import WORD, positional, worker_held
 
 MARK = "▁"
 UNKNOWN = -30.0
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = NODES)
     key = uuid.uuid4().hex
     added = T._parse_datatype_string(ADDED)
     kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
-    at, schema = kept.index("text"), T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *added])
+    at, schema = kept.index("text"), T.StructType([*docs.select(*map(col, kept)).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = worker_held("unigram", key, lambda: Trie(shared.value))  # Spark runs many tasks in one worker
@@ -133,7 +134,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float], nodes: int = NODES)
                 tokens.append(total)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[f.name for f in schema])
 
-    return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(run, schema)
+    return positional(docs, kept).mapInArrow(run, schema)
 
 
 def op6(docs: DataFrame, model: str | None = None) -> DataFrame:
