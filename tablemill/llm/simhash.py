@@ -169,16 +169,22 @@ def links(reps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Data
     return cells_.mapInArrow(_links_of_cells(distance), "a long, b long")
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether the links (a, b), a > b, are stars already: every a has one b, and no b is an a."""
+    ends = edges.select("a", F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("out")))
+    odd = ends.groupBy("a").agg(F.sum("out").alias("out"), F.min("out").alias("all_out")).filter("out > 1 OR out = 1 AND all_out = 0")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is connected with.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is written to
-    the shared folder; what a node's neighbours give is a minimum, summed up before the shuffle,
-    and the join that applies it is a plain one, so that a hot node's rows can be split.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014) until the links are stars. Each
+    round is written to the shared folder; what a node's neighbours give is a minimum, summed up before the
+    shuffle, and the join that applies it is a plain one, so that a hot node's rows can be split.
     """
     stars = written(edges.filter("a != b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links")
-    seen = None
-    while True:
+    while not _all_stars(stars):
         before = stars
         both = stars.unionByName(stars.selectExpr("b AS a", "a AS b"))
         lows = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS u", "least(a, m) AS m"), "large-star")
@@ -188,10 +194,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = wide.join(least, F.col("a") == F.col("u")).selectExpr("b AS a", "m AS b").filter("a != b")
         stars = written(small.unionByName(least.selectExpr("u AS a", "m AS b")).distinct(), "links")
         discard(before, lows, wide, least)
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = stars.select("b").distinct().selectExpr("b AS node", "b AS root")
     return stars.selectExpr("a AS node", "b AS root").unionByName(roots)
 
