@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, decontam, media, mixing, simhash, tokens, toxicity, unigram, urlrules, warc
+from tablemill.llm import chat, decontam, media, mixing, simhash, tokens, topk, toxicity, unigram, urlrules, warc
 from tablemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,9 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": lambda spark, root: toxicity.op8(documents(spark, root), table(spark, root, "labels")),
         "op9_url_rules": lambda spark, root: urlrules.op9(table(spark, root, "pages"), table(spark, root, "labels")),
         "op10_token_ids": lambda spark, root: tokens.op10(documents(spark, root)),
+        "op11_top_k": lambda spark, root: topk.op11(table(spark, root, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op4_mix_to_weights": mixing.SQL, "op5_decontaminate": decontam.SQL}
+    return {"op3_warc": warc.SQL, "op4_mix_to_weights": mixing.SQL, "op5_decontaminate": decontam.SQL, "op11_top_k": topk.SQL}
