@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import chat, decontam, media, mixing, ranked, simhash, tokens, topk, toxicity, unigram, urlrules, warc
+from tablemill.llm import align, chat, decontam, media, mixing, ranked, simhash, tokens, topk, toxicity, unigram, urlrules, warc
 from tablemill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op9_url_rules": lambda spark, root: urlrules.op9(table(spark, root, "pages"), table(spark, root, "labels")),
         "op10_token_ids": lambda spark, root: tokens.op10(documents(spark, root)),
         "op11_top_k": lambda spark, root: topk.op11(table(spark, root, "embeddings")),
+        "op12_token_alignment": lambda spark, root: align.op12(documents(spark, root)),
         "op13_ranked_search": lambda spark, root: ranked.op13(documents(spark, root), table(spark, root, "benchmark")),
     }
 
