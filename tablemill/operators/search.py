@@ -8,8 +8,13 @@ tier, score, frequency, column and value.
 Spark decides all tiers and the bounds that rule likeness out, as expressions over columns; only texts beyond ASCII
 go to Python to be folded, and only values that the bounds leave go there for difflib's ratio.
 
-The bounded search scores at most ``CANDIDATES`` values of a column that share a piece with the query, the same text
-without regard to case first and then the nearest in length. That cap is the
+A ``ValueIndex`` is written once: the distinct values of all columns, folded and ordered by length, and postings of their triples and
+words, ordered by piece, so that a query reads its own pieces' lists and the values that these name, and no table. The first
+tiers, and texts that are alike by triples, share all or most pieces with the query; texts that are alike by
+difflib's ratio lie within a range of lengths, and only that range of values is read for them. So no hit is missed.
+
+The bounded search scores those values of a column that share the most pieces with the query, at most ``CANDIDATES``, the same text
+without regard to case first and of equal ones the shortest. That cap is the
 feature's own, ``capped`` tells whether it took hold, and ``search_values`` has none.
 """
 
@@ -17,20 +22,24 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from difflib import SequenceMatcher
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablemill.errors import OpError
 from tablemill.functions.names import col, find
+from tablemill.shared import shared_dir, shuffles_removed, written
 
 CANDIDATES = 4096
-#: Words of the query that recall candidates at most, and characters of the shortest such word.
-ANCHOR_WORDS, SHORTEST = 4, 3
+#: Characters of the shortest query that is compared for likeness, and of a triple.
+SHORTEST = 3
+#: Values whose numbers one posting row holds at most.
+LIST = 1 << 16
 #: Longest folded value that is compared for likeness, and the least score by whether the query has so many characters.
 LONGEST, LONG_QUERY, LEAST, LEAST_SHORT = 256, 5, 0.72, 0.80
 ALIKE = 5
@@ -62,10 +71,10 @@ def _triples(text: Column) -> Column:
 
 
 def _scored(values: DataFrame, query: str) -> DataFrame:
-    """The rows of ``values`` (column, value, frequency, …) that match, with tier and score."""
-    q, keep = folded(query), values.columns
+    """The rows of ``values`` (column, value, frequency, folded, …) that match, with tier and score."""
+    q, keep = folded(query), [c for c in values.columns if c not in ("folded", "length", "id", "block")]
     if not q:
-        return values.limit(0).select("*", F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
+        return values.limit(0).select(*keep, F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
     words, v = q.split(), F.col("folded")
     n, own = F.length(v), F.split("folded", " ")
     covered = F.lit(float(len(q))) / n
@@ -79,7 +88,7 @@ def _scored(values: DataFrame, query: str) -> DataFrame:
     tier, score = F.lit(ALIKE), F.lit(None).cast("double")
     for i, (fits, what) in reversed(list(enumerate(ways))):
         tier, score = F.when(fits, i).otherwise(tier), F.when(fits, what).otherwise(score)
-    rows = _with_folded(values).filter("folded != ''").withColumn("tier", tier).withColumn("score", score)
+    rows = values.filter("folded != ''").withColumn("tier", tier).withColumn("score", score)
     sure = rows.filter(F.col("tier") < ALIKE).select(*keep, "tier", "score")
     if len(q) < SHORTEST:
         return sure
@@ -100,55 +109,139 @@ def _scored(values: DataFrame, query: str) -> DataFrame:
     return sure.unionByName(maybe.mapInPandas(ratios, schema).filter(F.col("score") >= least))
 
 
-def _values(df: DataFrame, column: str | None) -> DataFrame:
-    """(column, value, frequency) of the distinct values of one column, or of all text columns."""
-    names = [find(df.columns, column)] if column else [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names)))
-    return df.select(each.alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("frequency"))
-
-
-def _ranked(hits: DataFrame, limit: int, offset: int) -> DataFrame:
-    keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in ORDER]
+def _ranked(hits: DataFrame, limit: int, offset: int, more: tuple[str, ...] = ()) -> DataFrame:
+    keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in (*ORDER, *more)]
     out = hits.orderBy(*keys).limit(offset + limit)
     return out.offset(offset) if offset else out
 
 
-def search_values(df: DataFrame, query: str, column: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """The best matches among all distinct values: (column, value, frequency, tier, score)."""
-    return _ranked(_scored(_values(df, column), query), limit, offset)
+def _pieces(text: Column) -> Column:
+    """A folded text's triples and words, told apart by their first character."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_distinct(F.concat(F.transform(_triples(text), lambda x: F.concat(F.lit("3"), x)), F.transform(words, lambda x: F.concat(F.lit("w"), x))))
 
 
-def anchors(query: str) -> list[str]:
-    """Pieces of the query of which a candidate has one: its longest words, and the first, middle and last triple, which outlive a typo."""
+def pieces(query: str) -> tuple[list[str], list[str]]:
+    """The triples and the words of a query, as they are posted."""
     q = folded(query)
-    words = sorted({w for w in q.split() if len(w) >= SHORTEST}, key=lambda w: (-len(w), w))[:ANCHOR_WORDS]
     solid = q.replace(" ", "")
-    places = len(solid) - 2
-    spots = dict.fromkeys((0, places // 2, places - 1)) if places > 0 else ()
-    return list(dict.fromkeys([*words, *(solid[i : i + 3] for i in spots)])) or [q]
+    return sorted({"3" + solid[i : i + 3] for i in range(max(1, len(solid) - 2))}), sorted({"w" + w for w in q.split()})
+
+
+def _same(value: Column) -> Column:
+    """What a text is posted under to be found regardless of case."""
+    return F.concat(F.lit("="), F.hex(F.xxhash64(F.lower(value))))
+
+
+def _lengths(n: int) -> tuple[int, int]:
+    """The lengths of folded texts that a folded query of ``n`` characters may be alike to by difflib's ratio, which is 2 * min / (n + m) at most."""
+    least = LEAST if n >= LONG_QUERY else LEAST_SHORT
+    return int(n * least / (2 - least)), min(LONGEST, int(n * (2 - least) / least) + 1)
+
+
+class ValueIndex:
+    """The distinct values of text columns: (slot, table, column, value, frequency, folded, length, id, block), and postings of their pieces."""
+
+    def __init__(self, values: DataFrame, postings: DataFrame | None, slots: list[tuple[str, str]]):
+        self.values, self.postings, self.slots = values, postings, slots
+
+    @classmethod
+    def build(cls, tables: Mapping[str, DataFrame], column: str | None = None, postings: bool = True) -> ValueIndex:
+        """Of one column of the tables, or of all text columns; each table is read once. Without ``postings`` queries read all values."""
+        found, slots = None, []
+        for name, df in tables.items():
+            columns = [find(df.columns, column)] if column else [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+            if not columns:
+                continue
+            each = F.explode(F.array(*(F.struct(F.lit(len(slots) + i).alias("slot"), F.lit(c).alias("column"), col(c).cast("string").alias("value")) for i, c in enumerate(columns))))
+            slots += [(name, c) for c in columns]
+            own = df.select(each.alias("x")).select("x.*").filter("value IS NOT NULL").groupBy("slot", "column", "value").agg(F.count("*").alias("frequency")).withColumn("table", F.lit(name))
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            raise OpError("type_mismatch", "there is no text column")
+        values = _with_folded(written(found, "distinct-values")).withColumn("length", F.length("folded"))
+        if not postings:
+            return cls(written(values, "folded-values"), None, slots)
+        spark = values.sparkSession
+        ordered = values.repartitionByRange("length", "slot", "value").sortWithinPartitions("length", "slot", "value").withColumn("id", F.monotonically_increasing_id())
+        numbered = ordered.withColumn("block", F.shiftright("id", 33).cast("int"))  # the partition's part of the number
+        path = shared_dir(spark, "value-index")
+        with shuffles_removed(spark):
+            numbered.write.partitionBy("block").parquet(f"{path}/values")
+            values = spark.read.schema(numbered.schema).parquet(f"{path}/values")
+            keys = F.explode(F.concat(_pieces(F.col("folded")), F.array(_same(F.col("value")))))
+            lists = values.select("slot", "id", F.expr(f"id div {LIST}").alias("part"), keys.alias("piece")).groupBy("piece", "slot", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+            lists.drop("part").repartitionByRange("piece").sortWithinPartitions("piece").write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
+        return cls(values, spark.read.parquet(f"{path}/postings"), slots)
+
+    def _hits(self, query: str) -> DataFrame:
+        """(slot, id, triples, words, same) of the values with some piece of the query: how many triples and words they share, and whether they are the same without case."""
+        triples, words = pieces(query)
+        own = self.postings.filter(F.col("piece").isin(*triples, *words) | (F.col("piece") == _same(F.lit(query)))).select("slot", "piece", F.explode("ids").alias("id"))
+        count = lambda kind: F.count_if(F.startswith("piece", F.lit(kind)))
+        return own.groupBy("slot", "id").agg(count("3").alias("triples"), count("w").alias("words"), (count("=") > 0).alias("same"))
+
+    def _named(self, ids: DataFrame) -> DataFrame:
+        """The values with these numbers; only the blocks they are in are read."""
+        return self.values.join(ids.withColumn("block", F.shiftright("id", 33).cast("int")).drop("slot"), ["block", "id"])
+
+    def search(self, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
+        """The best matches among all values: (table, column, value, frequency, tier, score)."""
+        q = folded(query)
+        rows = self.values
+        if self.postings is not None and len(q.replace(" ", "")) >= SHORTEST:
+            triples, words = pieces(query)
+            low, high = _lengths(len(q))
+            most = F.col("triples") >= (LEAST if len(q) >= LONG_QUERY else LEAST_SHORT) * len(triples)
+            near = F.col("length").between(low, high)
+            hits = self._hits(query).filter((F.col("words") == len(words)) | most | F.col("same")).select("slot", "id")
+            rows = self.values.filter(near).unionByName(self._named(hits).filter(~near).select(*self.values.columns))
+        return _ranked(_scored(rows, query).drop("slot"), limit, offset, ("table",))
+
+    def search_bounded(self, query: str, limit: int = 20, offset: int = 0, candidates: int = CANDIDATES) -> DataFrame:
+        """As ``search`` over the values of each column that share the most with the query, with capped; a text that is the same but for case keeps alike ones out."""
+        q = folded(query)
+        shared = F.col("triples") + F.col("words")
+        indexed = self.postings is not None and len(q.replace(" ", "")) >= SHORTEST
+        if indexed:
+            found, last = self._hits(query), [F.asc("id")]
+        else:
+            triples, words = (F.array(*map(F.lit, x)).cast("array<string>") for x in pieces(query))
+            own, short = _pieces(F.col("folded")), F.contains("folded", F.lit(q)) if q else F.lit(False)
+            found = self.values.withColumn("same", F.lower("value") == F.lower(F.lit(query))).withColumn("triples", F.size(F.array_intersect(own, triples))).withColumn("words", F.size(F.array_intersect(own, words)))
+            found, last = found.filter(F.col("same") | (shared > 0) | (short if len(q) < SHORTEST else F.lit(False))), [F.asc("length"), F.asc("value")]
+        # Spark keeps the first rows of each column's window before the shuffle, so no task sorts all values.
+        place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("same"), shared.desc(), *last))
+        found = found.withColumn("place", place).filter(F.col("place") <= candidates + 1).drop("triples", "words")
+        if indexed:
+            found = self._named(found)
+        every = Window.partitionBy()  # over the recalled candidates, whose number is bounded
+        found = found.withColumn("any", F.max("same").over(every)).withColumn("capped", (F.max("place").over(every) > candidates) & ~F.col("any"))
+        kept = _scored(found.filter(F.col("place") <= candidates).drop("same", "place"), query).filter(~F.col("any") | (F.col("tier") < ALIKE))
+        return _ranked(kept, limit, offset, ("table",)).select("table", "column", "value", "frequency", "tier", "score", "capped")
+
+
+INDEXES: dict[tuple, ValueIndex] = {}
+
+
+def kept_index(key: tuple, build: Callable[[], ValueIndex], spark: SparkSession) -> ValueIndex:
+    """The index under this key, built when it is first asked for in this application."""
+    own = (spark.sparkContext.applicationId, *key)
+    if own not in INDEXES:
+        INDEXES[own] = build()
+    return INDEXES[own]
+
+
+def search_values(df: DataFrame, query: str, column: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """The best matches among all distinct values: (column, value, frequency, tier, score)."""
+    return ValueIndex.build({"": df}, column, postings=False).search(query, limit, offset).drop("table")
 
 
 def search_values_bounded(df: DataFrame, query: str, column: str | None = None, limit: int = 20, offset: int = 0, candidates: int = CANDIDATES) -> DataFrame:
-    """As ``search_values`` over recalled candidates, with capped; a text that is the same but for case keeps alike ones out."""
-    low = F.lower("value")
-    same = low == query.lower()
-    near = reduce(or_, (F.contains(low, F.lit(a)) for a in anchors(query)), same)
-    order = [F.desc("same"), F.abs(F.length("value") - len(query)), F.desc("frequency"), low, F.col("value")]
-    place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
-    # Spark keeps the first rows of each column's window before the shuffle, so no task sorts all values.
-    found = _values(df, column).filter(near).withColumn("same", same).withColumn("place", place).filter(F.col("place") <= candidates + 1)
-    every = Window.partitionBy()  # over the recalled candidates, whose number is bounded
-    found = found.withColumn("any", F.max("same").over(every)).withColumn("capped", (F.max("place").over(every) > candidates) & ~F.col("any"))
-    kept = _scored(found.filter(F.col("place") <= candidates).drop("same", "place"), query).filter(~F.col("any") | (F.col("tier") < ALIKE))
-    return _ranked(kept, limit, offset).select("column", "value", "frequency", "tier", "score", "capped")
+    """As ``search_values`` over the values that share the most with the query, with capped."""
+    return ValueIndex.build({"": df}, column, postings=False).search_bounded(query, limit, offset, candidates).drop("table")
 
 
 def search_database(tables: Mapping[str, DataFrame], query: str, limit: int = 20) -> DataFrame:
     """The bounded search over the text columns of all tables, with the table's name."""
-    out = None
-    for name, df in tables.items():
-        if any(f.dataType.simpleString() == "string" for f in df.schema.fields):
-            own = search_values_bounded(df, query, limit=limit).withColumn("table", F.lit(name))
-            out = own if out is None else out.unionByName(own)
-    keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in (*ORDER, "table")]
-    return out.orderBy(*keys).limit(limit)
+    return ValueIndex.build(tables, postings=False).search_bounded(query, limit)

@@ -49,10 +49,17 @@ add("count_nulls", lambda t: perception.count_nulls(t.documents.join(t.labels, "
 add("collect_rows", lambda t: t.region, "SELECT * FROM region")
 add("page_rows", lambda t: perception.page(t.supplier.select("s_suppkey", "s_name"), 1, 5, ["s_suppkey"]), "SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) AS total_rows FROM supplier ORDER BY s_suppkey LIMIT 5 OFFSET 5")
 add("scan_parquet_sample", lambda t: files.scan_parquet_sample(t.customer, "c_custkey", 50, "7").select("c_custkey"), "SELECT c_custkey FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) || '7'), c_custkey LIMIT 50")
-add("search_values", lambda t: search.search_values(t.part, "economy", "p_type"), "SELECT 'p_type' AS \"column\", p_type AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score FROM part WHERE lower(p_type) = 'economy' GROUP BY p_type")
-add("search_values_fuzzy", lambda t: search.search_values(t.nation, "NATION_7"), None)
-add("search_values_bounded", lambda t: search.search_values_bounded(t.customer, "machinery", "c_mktsegment"), "SELECT 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'machinery' GROUP BY c_mktsegment")
-add("search_database", lambda t: search.search_database({"part": t.part, "nation": t.nation, "customer": t.customer}, "building"), "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
+
+
+def _values(t: Tables, *names: str, column: str | None = None) -> search.ValueIndex:
+    """The index of these tables' values, built by the first query that asks for it."""
+    return search.kept_index((t.root, names, column), lambda: search.ValueIndex.build({n: getattr(t, n) for n in names}, column), t.spark)
+
+
+add("search_values", lambda t: _values(t, "part", column="p_type").search("economy").drop("table"), "SELECT 'p_type' AS \"column\", p_type AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score FROM part WHERE lower(p_type) = 'economy' GROUP BY p_type")
+add("search_values_fuzzy", lambda t: _values(t, "nation").search("NATION_7").drop("table"), None)
+add("search_values_bounded", lambda t: _values(t, "customer", column="c_mktsegment").search_bounded("machinery").drop("table"), "SELECT 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'machinery' GROUP BY c_mktsegment")
+add("search_database", lambda t: _values(t, "part", "nation", "customer").search_bounded("building"), "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value, count(*) AS frequency, 1 AS tier, 1.0::DOUBLE AS score, false AS capped FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")
 
 JOIN_SQL = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 add("sql_guarded", lambda t: sql_.execute_sql(t.spark, JOIN_SQL, {"customer": t.customer, "nation": t.nation}), JOIN_SQL)

@@ -59,6 +59,28 @@ def test_bounded_search_finds_typos_and_keeps_alike_ones_from_the_same_text(spar
     assert {r.value for r in search.search_values_bounded(many, "Alpha Team", "v", offset=20, candidates=100).collect()}.isdisjoint({r.value for r in first})
 
 
-def test_anchors():
-    assert search.anchors("Avangrd Omsk") == ["avangrd", "omsk", "ava", "grd", "msk"]
-    assert search.anchors("ab") == ["ab"] and search.anchors("abc") == ["abc"]
+def test_pieces():
+    assert search.pieces("Ab-cd") == (["3abc", "3bcd"], ["wab", "wcd"])
+    assert search.pieces("ab") == (["3ab"], ["wab"])
+
+
+@pytest.mark.parametrize("query", ["abc d", "Ab-cd e", "ÉCOLE ab", "aabbccdd", "abc", "ab", "?!"])
+def test_the_index_finds_what_a_search_of_all_values_finds(spark, query):
+    rng = random.Random(9)
+    values = ["".join(rng.choice("abcdeÉ _-ﬁ") for _ in range(rng.randrange(1, 14))) for _ in range(600)] + [query, query.upper(), "a" * 300, "aaaa", "aaaaaaaaaaaa", None, ""]
+    df = spark.createDataFrame([(v, v[::-1] if v else v) for v in values], "v string, w string")
+    index = search.ValueIndex.build({"t": df})
+    everything = search.search_values(df, query, limit=10_000)
+    assert sorted(map(str, index.search(query, limit=10_000).drop("table").collect())) == sorted(map(str, everything.collect()))
+    for n in (4096, 30, 1):
+        own = index.search_bounded(query, 10_000, candidates=n).drop("table").collect()
+        assert sorted(map(str, own)) == sorted(map(str, search.search_values_bounded(df, query, limit=10_000, candidates=n).collect()))
+
+
+def test_a_query_reads_its_own_postings_alone(spark):
+    df = spark.createDataFrame([(f"value number {i}",) for i in range(3000)], "v string")
+    index = search.ValueIndex.build({"t": df})
+    assert [r.value for r in index.search("valeu number 77", 3).collect()][0] == "value number 77"
+    plan = index.search_bounded("valeu number 77")._jdf.queryExecution().executedPlan().toString()
+    assert "In(piece" in plan and "postings" in plan.replace("value-index", "postings")
+    assert index._hits("number 77").count() == 3000 and index._hits("zzz").count() == 0
