@@ -9,13 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemill.errors import OpError
 from tablemill.functions.names import col
+from tablemill.operators import ranges as ranges_
 from tablemill.shared import written
 
 
@@ -32,46 +36,33 @@ def group_advantage(df: DataFrame, group: str, value: str, as_: str = "advantage
     return out.withColumn(as_, F.when(F.col("__same"), 0.0).otherwise((col(value) - F.col("__m")) / (F.col("__s") + 1e-6))).drop("__g", "__m", "__s", "__same")
 
 
-def _by_range(df: DataFrame, group: str | None, order: list[Column], name: str) -> DataFrame:
-    """``df`` dealt to ranges of (group, order) with ``__range`` and ``__place``, a row's own number; rows of one group, even equal ones, lie in many ranges."""
-    keys = ([col(group)] if group else []) + order + [F.col("__place").asc()]
-    dealt = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys)
-    return written(dealt.withColumn("__range", F.spark_partition_id()), name)
-
-
-def places(df: DataFrame, order: list[Column], group: str | None = None, as_: str = "__i") -> DataFrame:
-    """``df`` with each row's place in its group's order, from 1; counted by range, so that no task sorts a group whole."""
-    ranges = _by_range(df, group, order, "row-ranges")
-    own = F.lit(0) if group is None else col(group)
-    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = ranges.groupBy(own.alias("__g"), F.col("__range").alias("__r")).agg(F.count("*").alias("__m")).withColumn("__base", F.coalesce(F.sum("__m").over(before), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy(own, "__range").orderBy(*order, "__place"))
-    out = ranges.withColumn("__own", number).join(base, own.eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
-    return out.withColumn(as_, F.col("__base") + F.col("__own")).drop("__own", "__base", "__range", "__place", "__g", "__r", "__m")
+def _places(df: DataFrame, order: list[Column], group: str | None = None) -> DataFrame:
+    """``df`` with ``__i``, each row's place in its group's order from 1; counted by range, so that no task sorts a group whole."""
+    return ranges_.places(df, [group] if group else [], order, "__i")
 
 
 def return_to_go(df: DataFrame, group: str, step: str, reward: str, gamma: float, as_: str = "return_to_go") -> DataFrame:
-    """``df`` with the discounted sum of this and all later rewards of its group; null rewards neither add nor discount.
+    """``df`` with the discounted sum of this and all later rewards of its group; null rewards neither add nor discount, NaN makes NaN of all before it.
 
     Each range of steps is summed on its own from its end; what later ranges give is added, discounted by the steps between.
     """
-    ranges = _by_range(df, group, [col(step).desc()], "step-ranges").withColumn("__key", F.to_json(F.array(col(group).cast("string"))))
+    ranges = ranges_.dealt(df, [group], [col(step).desc()], "step-ranges").withColumn("__key", F.to_json(F.array(col(group).cast("string"))))
     ranges = ranges.repartition("__range", "__key").sortWithinPartitions("__range", "__key", col(step).desc(), "__place")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total, n = None, 0.0, 0
-        for pdf in batches:
+        for batch in batches:
             sums, lengths = [], []
-            for own, r in zip(zip(pdf["__range"], pdf["__key"], strict=True), pdf["__reward"], strict=True):
+            for *own, r in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if own != key:
                     key, total, n = own, 0.0, 0
-                if r == r:
+                if r is not None:
                     total, n = r + gamma * total, n + 1
                 sums.append(total)
                 lengths.append(n)
-            yield pdf[["__place"]].assign(__sum=sums, __length=lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sums, pa.float64()), pa.array(lengths, pa.int64())], names=["__place", "__sum", "__length"])
 
-    scanned = ranges.select("__range", "__key", "__place", col(reward).cast("double").alias("__reward")).mapInPandas(scan, "__place long, __sum double, __length long")
+    scanned = ranges.select("__range", "__key", "__place", col(reward).cast("double").alias("__reward")).mapInArrow(scan, "__place long, __sum double, __length long")
     found = written(ranges.join(scanned, "__place"), "step-sums")
     blocks = found.groupBy("__key", "__range").agg(F.max(F.struct("__length", "__sum")).alias("__b"))
     # Ranges run from the last steps to the first ones, so folding the ones before discounts them on the way.
@@ -265,8 +256,6 @@ def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, s
     sums = keyed.groupBy("h").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
         steps = np.random.SeedSequence(seed).generate_state(rounds, np.uint64)
         total, weight = np.zeros(rounds), np.zeros(rounds)
@@ -294,7 +283,7 @@ def cohens_d(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     return own.select(F.when(pooled > 0, (F.col("m0") - F.col("m1")) / F.sqrt(pooled)).alias("effect"))
 
 
-def _shares(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+def _value_shares(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """(p, q): the shares of each value on both sides."""
     def one(df: DataFrame, name: str) -> DataFrame:
         counts = df.groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
@@ -308,12 +297,12 @@ def js_divergence(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """(divergence) in bits."""
     m = (F.col("p") + F.col("q")) / 2
     term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
-    return _shares(left, right, column).agg((F.sum(term("p") + term("q")) / 2).alias("divergence"))
+    return _value_shares(left, right, column).agg((F.sum(term("p") + term("q")) / 2).alias("divergence"))
 
 
 def total_variation(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """(distance): half the sum of differences."""
-    return _shares(left, right, column).agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("distance"))
+    return _value_shares(left, right, column).agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("distance"))
 
 
 def arm_metrics(records: DataFrame, by: list[str]) -> DataFrame:
@@ -323,9 +312,8 @@ def arm_metrics(records: DataFrame, by: list[str]) -> DataFrame:
 
 
 def adjacent_repeats(steps: DataFrame, run: str, step: str, tool: str) -> DataFrame:
-    """(run, repeats): steps that use the same tool as the one before."""
-    before = F.lag(col(tool)).over(Window.partitionBy(run).orderBy(step))
-    return steps.withColumn("__same", col(tool) == before).groupBy(run).agg(F.count_if("__same").alias("repeats"))
+    """(run, repeats): steps that use the same tool as the one before; a long run's steps lie in many ranges."""
+    return ranges_.adjacent(steps.select(col(run), col(step), col(tool)), [run], [col(step).asc()], tool, "__same").groupBy(run).agg(F.count_if("__same").alias("repeats"))
 
 
 def tool_usage(steps: DataFrame, run: str, tool: str) -> DataFrame:
@@ -344,6 +332,29 @@ def usage_profile(steps: DataFrame, run: str, tool: str) -> DataFrame:
     return own.crossJoin(total).select("tool", "calls", (F.col("calls") / F.col("__calls")).alias("call_share"), "runs", (F.col("runs") / F.col("__runs")).alias("run_share"), "p50", "p90")
 
 
+#: Shares of runs at which ``run_lengths`` reads their numbers of calls.
+LENGTHS = (0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def run_lengths(steps: DataFrame, run: str) -> DataFrame:
+    """(runs, calls, mean, min, max, p50, p75, p90, p95, p99) of the runs' numbers of calls; a percentile is the value at that share of the places, rounded down."""
+    each = steps.groupBy(col(run).alias("run")).agg(F.count("*").alias("n"))
+    few = each.groupBy("n").agg(F.count("*").alias("m"))  # a row a number of calls
+    over = Window.orderBy("n")
+    upto = few.withColumn("upto", F.sum("m").over(over)).withColumn("runs", F.sum("m").over(Window.partitionBy()))
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("runs") - 1)), F.col("n"))).alias(f"p{round(100 * q)}")
+    sums = [F.sum("m").alias("runs"), F.sum(F.col("n") * F.col("m")).alias("calls"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("m")).alias("mean"), F.min("n").alias("min"), F.max("n").alias("max")]
+    return upto.agg(*sums, *map(at, LENGTHS))
+
+
+def usage_features(steps: DataFrame, run: str, tags: dict[str, Column]) -> DataFrame:
+    """(feature, runs, run_share): in how many runs some step has each tag; a tag no step has gets 0."""
+    each = steps.groupBy(col(run).alias("run")).agg(*(F.max(F.coalesce(holds, F.lit(False))).alias(f"t{i}") for i, holds in enumerate(tags.values())))
+    total = each.agg(F.count("*").alias("n"), *(F.count_if(f"t{i}").alias(f"t{i}") for i in range(len(tags))))
+    rows = F.explode(F.array(*(F.struct(F.lit(name).alias("feature"), F.col(f"t{i}").alias("runs")) for i, name in enumerate(tags))))
+    return total.select("n", rows.alias("x")).select("x.feature", "x.runs", F.try_divide("x.runs", "n").alias("run_share"))
+
+
 def run_summary(records: DataFrame, by: list[str], elapsed: str, failure: str) -> DataFrame:
     """As ``arm_metrics`` with mean_elapsed and failures, the number of runs with a failure."""
     more = records.groupBy(*by).agg(F.avg(col(elapsed).cast("double")).alias("mean_elapsed"), F.count(col(failure)).alias("failures"))
@@ -355,25 +366,61 @@ def run_summary(records: DataFrame, by: list[str], elapsed: str, failure: str) -
     return base.join(keys, same).drop(*(f"__{i}" for i in range(len(by))))
 
 
-def edit_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """``pairs`` with edit_distance and common_prefix of two arrays of strings."""
+def _distance(a: list, b: list) -> int:
+    """The edit distance of two sequences; a row of the table at a time, whose running minimum is one of numbers less their places."""
+    code: dict = {}
+    x, y = (np.array([code.setdefault(t, len(code)) for t in s], np.int64) for s in (a, b))
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for i, token in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != token))
+        row = np.minimum.accumulate(np.append(i, best) - at) + at
+    return int(row[-1])
 
-    def of(a: list, b: list) -> tuple[int, int]:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        return row[-1], same
+
+def edit_distances(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with edit_distance and common_prefix of two arrays of strings; null where either array is, and null tokens are alike."""
+    near = F.transform(F.arrays_zip(col(left).alias("a"), col(right).alias("b")), lambda x: x["a"].eqNullSafe(x["b"]))
+    short = F.least(F.size(col(left)), F.size(col(right)))
+    differs = F.array_position(F.slice(near, 1, short), False).cast("int")
+    prefix = F.when(col(left).isNotNull() & col(right).isNotNull(), F.when(differs > 0, differs - 1).otherwise(short))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [of(list(a), list(b)) for a, b in zip(pdf[left], pdf[right], strict=True)]
-            yield pdf.assign(edit_distance=[g[0] for g in got], common_prefix=[g[1] for g in got])
+            got = [None if a is None or b is None else _distance(list(a), list(b)) for a, b in zip(pdf["__a"], pdf["__b"], strict=True)]
+            yield pd.DataFrame({"__n": pdf["__n"], "edit_distance": pd.array(got, "Int32")})
+
+    numbered = written(pairs.select("*", prefix.alias("common_prefix")).withColumn("__n", F.monotonically_increasing_id()), "sequence-pairs")
+    found = numbered.select("__n", col(left).alias("__a"), col(right).alias("__b")).mapInPandas(run, "__n long, edit_distance int")
+    return numbered.join(found, "__n").select(*map(col, pairs.columns), "edit_distance", "common_prefix")
+
+
+def arm_pairs(baseline: DataFrame, candidate: DataFrame, key: str, actions: str, correct: str, steps: str) -> DataFrame:
+    """For each key of both arms: what each got right, steps and their difference, distances of the actions, also by the longer one's length, and whether the first action changed."""
+    sides = [df.select(col(key).alias(f"{n}_key"), col(actions).alias(f"{n}_actions"), col(correct).alias(f"{n}_correct"), col(steps).alias(f"{n}_steps")) for n, df in (("baseline", baseline), ("candidate", candidate))]
+    both = sides[0].join(sides[1], F.col("baseline_key") == F.col("candidate_key"))
+    far = edit_distances(both, "baseline_actions", "candidate_actions")
+    longest = F.greatest(F.size("baseline_actions"), F.size("candidate_actions"), F.lit(1))
+    first = [F.try_element_at(F.col(f"{n}_actions"), F.lit(1)) for n in ("baseline", "candidate")]
+    return far.select(
+        F.col("baseline_key").alias(key), "baseline_correct", "candidate_correct", "baseline_steps", "candidate_steps", (F.col("candidate_steps") - F.col("baseline_steps")).alias("step_delta"),
+        "edit_distance", (F.col("edit_distance") / longest).alias("normalized_distance"), "common_prefix", (~first[0].eqNullSafe(first[1])).alias("first_changed"), (F.col("edit_distance") > 0).alias("changed"),
+    )
+
+
+def arm_distances(pairs: DataFrame) -> DataFrame:
+    """(pairs, gains, regressions, mean_distance, mean_normalized, mean_step_delta, first_changed, changed) of ``arm_pairs``."""
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    return pairs.agg(
+        F.count("*").alias("pairs"), F.count_if(F.col("candidate_correct") & ~F.col("baseline_correct")).alias("gains"), F.count_if(F.col("baseline_correct") & ~F.col("candidate_correct")).alias("regressions"),
+        F.avg("edit_distance").alias("mean_distance"), F.avg("normalized_distance").alias("mean_normalized"), F.avg("step_delta").alias("mean_step_delta"), share("first_changed"), share("changed"),
+    )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(run, f"{fields}, edit_distance int, common_prefix int")
+
+def arm_tools(arms: dict[str, DataFrame], tool: str) -> DataFrame:
+    """(tool, one column of calls for each arm); 0 where an arm doesn't use the tool."""
+    every = reduce(DataFrame.unionByName, (df.select(col(tool).alias("tool"), F.lit(name).alias("__arm")) for name, df in arms.items()))
+    return every.groupBy("tool").agg(*(F.count_if(F.col("__arm") == name).alias(name) for name in arms))
 
 
 def failure_buckets(records: DataFrame, rules: list[tuple[str, Column]], other: str = "other") -> DataFrame:
@@ -437,7 +484,7 @@ def stratified_quota(df: DataFrame, cell: str, key: str, total: int, seed: str =
     left = total - (plan.agg(F.sum("low")).first()[0] or 0)
     more = plan.orderBy(F.desc("rest"), F.desc(F.coalesce(F.col("__cell").cast("string"), F.lit("None")))).limit(left).select(F.col("__cell").alias("__more"), F.lit(1).alias("__one"))
     plan = plan.join(more, F.col("__cell").eqNullSafe(F.col("__more")), "left").select("__cell", (F.col("low") + F.coalesce("__one", F.lit(0))).alias("__quota"))
-    ordered = places(df.withColumn("__hash", F.sha2(F.concat(F.lit(f"{seed}\0{space}\0"), col(key).cast("string")), 256)), [F.col("__hash").asc()], cell)
+    ordered = _places(df.withColumn("__hash", F.sha2(F.concat(F.lit(f"{seed}\0{space}\0"), col(key).cast("string")), 256)), [F.col("__hash").asc()], cell)
     return ordered.join(plan, col(cell).eqNullSafe(F.col("__cell"))).filter("__i <= __quota").select(*map(col, df.columns))
 
 
@@ -449,11 +496,94 @@ def quantile_bins(df: DataFrame, column: str, bins: int = 5, as_: str = "bin") -
     return df.crossJoin(cuts).withColumn(as_, F.when(col(column).isNotNull(), F.concat(F.lit("q"), number.cast("string")))).drop("__cuts")
 
 
-def weighted_interleave(df: DataFrame, group: str, order: str) -> DataFrame:
-    """``df`` with place, a number by which its ordered groups merge in proportion to their sizes."""
-    sizes = df.groupBy(col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    own = places(df, [col(order).asc()], group)
-    return own.join(sizes, col(group).eqNullSafe(F.col("__g"))).withColumn("place", (F.col("__i") - 0.5) / F.col("__n")).select(*map(col, df.columns), "place")
+#: Turns that one task works out.
+TURNS = 200_000
+
+
+def _turns(sizes: list[int], first: int, count: int, used: list[int]) -> Iterator[int]:
+    """Whose turn it is in each of ``count`` steps from ``first`` on; ``used`` holds the turns had and is carried on.
+
+    The group that is furthest behind its share of the steps so far comes next, of equal ones the first; one whose rows are used up is left out.
+    """
+    total, groups = sum(sizes), range(len(sizes))
+    for step in range(first + 1, first + 1 + count):
+        behind = [n * step / total - u if u < n else -math.inf for n, u in zip(sizes, used, strict=True)]
+        turn = max(groups, key=behind.__getitem__)
+        used[turn] += 1
+        yield turn
+
+
+def _shares(sizes: list[int], steps: int) -> list[int]:
+    """About how many turns each group has had after so many steps: its share, with the largest remainders rounded up."""
+    total = sum(sizes)
+    out = [n * steps // total for n in sizes]
+    for i in sorted(range(len(sizes)), key=lambda i: (-(sizes[i] * steps % total), i))[: steps - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def turns(spark: SparkSession, sizes: list[int], span: int = TURNS) -> DataFrame:
+    """(grp, number, place): at which place, from 1, each group's rows come, by their numbers in it, from 1.
+
+    Each turn depends on all before, so spans of steps start from a guess of what has been used. A span whose guess differs from
+    where the one before ended is worked out again, until all agree; only their ends, a few numbers a span, reach the driver.
+    """
+    total = sum(sizes)
+    starts = [_shares(sizes, at) for at in range(0, total, span)]
+    schema = "span long, used array<long>"
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, used in zip(pdf["span"], pdf["used"], strict=True):
+                own = [int(u) for u in used]
+                for _ in _turns(sizes, i * span, min(span, total - i * span), own):
+                    pass
+                out.append(own)
+            yield pdf.assign(used=out)
+
+    def spread(rows: list[tuple[int, list[int]]]) -> DataFrame:
+        return spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), "span")
+
+    again = list(range(len(starts) - 1))  # the last one's end is known
+    known: dict[int, list[int]] = {}
+    while again:
+        for r in spread([(i, starts[i]) for i in again]).mapInPandas(ends, schema).collect():
+            known[r.span] = list(r.used)
+        again = []
+        for i in range(len(starts) - 1):
+            if known[i] != starts[i + 1]:
+                starts[i + 1] = known[i]
+                if i + 1 < len(starts) - 1:
+                    again.append(i + 1)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, used in zip(pdf["span"], pdf["used"], strict=True):
+                own = [int(u) for u in used]
+                first = i * span
+                found = [(t, own[t], first + j) for j, t in enumerate(_turns(sizes, first, min(span, total - first), own), 1)]
+                yield pd.DataFrame(found, columns=["grp", "number", "place"])
+
+    return spread(list(enumerate(starts))).mapInPandas(rows, "grp int, number long, place long")
+
+
+def weighted_interleave(df: DataFrame, group: str, order: str, groups: list | None = None, span: int = TURNS) -> DataFrame:
+    """``df`` with place, from 1, at which its rows come if the group furthest behind its share always comes next.
+
+    ``groups`` is the order of groups that breaks ties (by default by value, null last); rows of a group come by ``order``, rows of other groups are left out.
+    """
+    sizes = {r[0]: r[1] for r in df.groupBy(col(group)).agg(F.count("*")).collect()}  # a row a group
+    names = groups if groups is not None else sorted(sizes, key=lambda k: (k is None, k if k is not None else 0))
+    names = [n for n in names if n in sizes]
+    spark = df.sparkSession
+    kind = df.schema[group].dataType.simpleString()
+    if not names:
+        return df.limit(0).withColumn("place", F.lit(0).cast("long"))
+    few = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"__g {kind}, __grp int"))
+    own = _places(df, [col(order).asc()], group).join(few, col(group).eqNullSafe(F.col("__g")))
+    placed = turns(spark, [sizes[n] for n in names], span)
+    return own.join(placed, (F.col("__grp") == F.col("grp")) & (F.col("__i") == F.col("number"))).select(*map(col, df.columns), "place")
 
 
 def leak_partition(key: Column, parts: int = 5) -> Column:
@@ -461,9 +591,27 @@ def leak_partition(key: Column, parts: int = 5) -> Column:
     return (F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % parts).cast("int")
 
 
+def question_key(columns: list[Column]) -> Column:
+    """SHA-256 of several texts without regard to case, outer blanks and runs of blanks; null and empty texts are alike."""
+    plain = [F.trim(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", " ")) for c in columns]
+    return F.sha2(F.concat_ws("\0", *plain), 256)
+
+
+def partition_labels(df: DataFrame, keys: list[str], reviewed: DataFrame, parts: int = 5, as_: str = "partition") -> DataFrame:
+    """``df`` with reviewed_development where ``reviewed`` has the same keys, else reserved_unread for one of ``parts`` by the key's hash, else discovery.
+
+    Rows of one key share a label, so that no question is on both sides.
+    """
+    own = df.withColumn("__key", question_key([col(k) for k in keys]))
+    known = reviewed.select(question_key([col(k) for k in keys]).alias("__known")).distinct().withColumn("__seen", F.lit(True))
+    reserved = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") % parts == 0
+    label = F.when(F.col("__seen"), "reviewed_development").when(reserved, "reserved_unread").otherwise("discovery")
+    return own.join(known, F.col("__key") == F.col("__known"), "left").withColumn(as_, label).select(*map(col, df.columns), as_)
+
+
 def round_robin_shard(df: DataFrame, order: str, shards: int, as_: str = "shard") -> DataFrame:
     """``df`` with its place in the order modulo ``shards``; places are counted by range, without one task for all."""
-    return places(df, [col(order).asc()]).withColumn(as_, ((F.col("__i") - 1) % shards).cast("int")).select(*map(col, df.columns), col(as_))
+    return _places(df, [col(order).asc()]).withColumn(as_, ((F.col("__i") - 1) % shards).cast("int")).select(*map(col, df.columns), col(as_))
 
 
 def merge_disjoint(parts: list[DataFrame], key: str) -> DataFrame:
@@ -481,6 +629,23 @@ def merge_attempts(df: DataFrame, key: str, complete: str) -> DataFrame:
     return merge_disjoint([df.filter(col(complete))], key)
 
 
+def attempts_merged(df: DataFrame, key: str, complete: str, expected: DataFrame) -> DataFrame:
+    """(key, attempts, status, attempt): for each key of ``expected`` how often it was tried, whether a complete attempt was made, and that attempt's row.
+
+    The status is complete, incomplete (tried, but never to the end) or missing. Two complete attempts at one key, a key that isn't expected and
+    one that is expected twice are errors when it runs.
+    """
+    row = F.struct(*map(col, df.columns))
+    done = F.coalesce(col(complete), F.lit(False))
+    tried = df.groupBy(col(key).alias("__k")).agg(F.count("*").alias("attempts"), F.count_if(done).alias("__done"), F.any_value(F.when(done, row), ignoreNulls=True).alias("attempt"))
+    wanted = expected.groupBy(col(key).alias("__e")).agg(F.count("*").alias("__times"))
+    both = wanted.join(tried, F.col("__e").eqNullSafe(F.col("__k")), "full")
+    fault = F.when(F.col("__times").isNull(), F.concat(F.lit("not expected: "), F.col("__k").cast("string"))).when(F.col("__times") > 1, F.concat(F.lit("expected twice: "), F.col("__e").cast("string")))
+    fault = fault.when(F.col("__done") > 1, F.concat(F.lit("two complete attempts: "), F.col("__e").cast("string")))
+    status = F.when(fault.isNotNull(), F.raise_error(fault)).when(F.col("__done") == 1, "complete").when(F.col("attempts") > 0, "incomplete").otherwise("missing")
+    return both.select(F.col("__e").alias(key), F.coalesce("attempts", F.lit(0)).alias("attempts"), status.alias("status"), "attempt")
+
+
 def nonempty_gate(df: DataFrame) -> bool:
     """Whether there is a row; one is looked for, no more."""
     return bool(df.limit(1).count())

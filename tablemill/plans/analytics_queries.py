@@ -117,9 +117,62 @@ add("stratified_quota", lambda t: records.stratified_quota(t.documents.select("d
     q AS (SELECT lang, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, lang DESC) <= 40 - sum(low) OVER () THEN 1 ELSE 0 END AS quota FROM n)
     SELECT doc_id, lang FROM documents JOIN q USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256(chr(0) || chr(0) || CAST(doc_id AS VARCHAR))) <= max(quota) OVER (PARTITION BY lang)""")
 add("quantile_bins", lambda t: records.quantile_bins(t.documents.select("doc_id", "n_chars"), "n_chars"), "WITH c AS (SELECT quantile_disc(n_chars, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM documents) SELECT doc_id, n_chars, 'q' || (len(list_filter(cuts, lambda x: x < n_chars)) + 1) AS bin FROM documents, c")
-add("weighted_interleave", lambda t: records.weighted_interleave(t.documents.select("doc_id", "lang"), "lang", "doc_id"), "SELECT doc_id, lang, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 0.5) / count(*) OVER (PARTITION BY lang) AS DOUBLE) AS place FROM documents")
+add("weighted_interleave", lambda t: records.weighted_interleave(t.documents.select("doc_id", "lang"), "lang", "doc_id"), """
+    WITH RECURSIVE n AS (SELECT lang, count(*) AS k FROM documents GROUP BY lang),
+    z AS (SELECT list(k ORDER BY lang) AS sizes, list(lang ORDER BY lang) AS names, CAST(sum(k) AS BIGINT) AS total FROM n),
+    s AS (
+      SELECT CAST(0 AS BIGINT) AS step, list_transform(sizes, lambda x: CAST(0 AS BIGINT)) AS used, CAST(0 AS BIGINT) AS won FROM z
+      UNION ALL
+      SELECT step + 1, list_transform(used, lambda u, i: u + CASE WHEN i = w THEN 1 ELSE 0 END), w FROM (
+        SELECT step, used, CAST(list_position(behind, list_max(behind)) AS BIGINT) AS w FROM (
+          SELECT step, used, list_transform(sizes, lambda x, i: CASE WHEN used[i] < x THEN CAST(x * (step + 1) AS DOUBLE) / total - used[i] ELSE -1e300 END) AS behind FROM s, z WHERE step < total)))
+    SELECT doc_id, d.lang, step AS place FROM (SELECT step, names[won] AS lang, used[won] AS number FROM s, z WHERE won > 0) t
+    JOIN (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS number FROM documents) d ON d.lang = t.lang AND d.number = t.number""")
 add("round_robin_shard", lambda t: records.round_robin_shard(t.documents.select("doc_id"), "doc_id", 7), "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 7 AS INTEGER) AS shard FROM documents")
 add("merge_disjoint", lambda t: records.merge_disjoint([t.labels.filter("doc_id % 2 = 0"), t.labels.filter("doc_id % 2 = 1")], "doc_id"), "SELECT * FROM labels")
 add("merge_attempts", lambda t: records.merge_attempts(t.labels.withColumn("complete", F.lit(True)), "doc_id", "complete").select("doc_id"), "SELECT doc_id FROM labels")
 add("nonempty_gate", lambda t: t.spark.range(1).select(F.lit(records.nonempty_gate(t.labels.filter("quality = 0"))).alias("some"), F.lit(records.nonempty_gate(t.labels.filter("quality = 7"))).alias("none")), "SELECT true AS some, false AS none")
 add("leak_partition", lambda t: t.customer.select("c_custkey", records.leak_partition(F.col("c_custkey")).alias("part")), "SELECT c_custkey, CAST(('0x' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS part FROM customer")
+
+
+# -- arms, runs and attempts in more depth ---------------------------------------------------------
+def _half(t: Tables, odd: int) -> DataFrame:
+    """One arm's run for each user: every other of the user's events."""
+    own = t.events.filter(F.col("event_id") % 2 == odd)
+    return own.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.substring("event_type", 1, 1).alias("tool")))), lambda x: x["tool"]).alias("actions"), (F.max("value") > 150).alias("correct"), F.count("*").alias("steps"))
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return records.arm_pairs(_half(t, 0), _half(t, 1), "user_id", "actions", "correct", "steps")
+
+
+HALF = "(SELECT user_id, string_agg(event_type[1], '' ORDER BY event_id) AS actions, max(value) > 150 AS correct, count(*) AS steps FROM events WHERE event_id % 2 = {} GROUP BY user_id)"
+PAIRS = f"""(SELECT b.user_id, b.correct AS baseline_correct, c.correct AS candidate_correct, b.steps AS baseline_steps, c.steps AS candidate_steps, c.steps - b.steps AS step_delta,
+    CAST(levenshtein(b.actions, c.actions) AS INTEGER) AS edit_distance, levenshtein(b.actions, c.actions) / greatest(length(b.actions), length(c.actions)) AS normalized_distance,
+    CAST(coalesce(list_position(list_transform(range(1, least(length(b.actions), length(c.actions)) + 1), lambda i: b.actions[i] <> c.actions[i]), true) - 1, least(length(b.actions), length(c.actions))) AS INTEGER) AS common_prefix,
+    b.actions[1] <> c.actions[1] AS first_changed, b.actions <> c.actions AS changed FROM {HALF.format(0)} b JOIN {HALF.format(1)} c USING (user_id))"""
+add("arm_pairs", _pairs, f"SELECT * FROM {PAIRS}")
+add("arm_distances", lambda t: records.arm_distances(_pairs(t)).select("pairs", "gains", "regressions", *(F.round(c, 9).alias(c) for c in ("mean_distance", "mean_normalized", "mean_step_delta", "first_changed", "changed"))),
+    f"SELECT count(*) AS pairs, count(*) FILTER (WHERE candidate_correct AND NOT baseline_correct) AS gains, count(*) FILTER (WHERE baseline_correct AND NOT candidate_correct) AS regressions, round(avg(edit_distance), 9) AS mean_distance, round(avg(normalized_distance), 9) AS mean_normalized, round(avg(step_delta), 9) AS mean_step_delta, round(avg(CAST(first_changed AS INTEGER)), 9) AS first_changed, round(avg(CAST(changed AS INTEGER)), 9) AS changed FROM {PAIRS}")
+add("arm_tools", lambda t: records.arm_tools({"baseline": t.events.filter("event_id % 2 = 0"), "candidate": t.events.filter("event_id % 2 = 1")}, "event_type"), "SELECT event_type AS tool, count(*) FILTER (WHERE event_id % 2 = 0) AS baseline, count(*) FILTER (WHERE event_id % 2 = 1) AS candidate FROM events GROUP BY event_type")
+add("run_lengths", lambda t: records.run_lengths(t.events, "user_id"), "SELECT count(*) AS runs, CAST(sum(n) AS BIGINT) AS calls, avg(n) AS mean, min(n) AS min, max(n) AS max, " + ", ".join(f"list_sort(list(n))[CAST(floor({q}::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p{round(100 * q)}" for q in records.LENGTHS) + " FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+TAGS = {"high_value": "value > 150", "low_value": "value < 0.01", "error_at_cost": "event_type = 'error' AND value > 20", "never": "value < 0"}
+add("usage_features", lambda t: records.usage_features(t.events, "user_id", {n: F.expr(c) for n, c in TAGS.items()}), " UNION ALL ".join(f"SELECT '{n}' AS feature, count(DISTINCT user_id) FILTER (WHERE {c}) AS runs, count(DISTINCT user_id) FILTER (WHERE {c}) / count(DISTINCT user_id) AS run_share FROM events" for n, c in TAGS.items()))
+add("partition_labels", lambda t: records.partition_labels(t.part.select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"], t.part.filter("p_size > 45")), r"""
+    WITH k AS (SELECT *, sha256(trim(regexp_replace(lower(p_brand), '\s+', ' ', 'g')) || chr(0) || trim(regexp_replace(lower(p_type), '\s+', ' ', 'g'))) AS key FROM part)
+    SELECT p_partkey, p_brand, p_type, CASE WHEN key IN (SELECT key FROM k WHERE p_size > 45) THEN 'reviewed_development' WHEN ('0x' || substr(key, 1, 8))::BIGINT % 5 = 0 THEN 'reserved_unread' ELSE 'discovery' END AS partition FROM k""".replace("\\\\", "\\"))
+
+
+def _attempts(t: Tables) -> DataFrame:
+    """An order's lines are attempts at it; the one that was shipped last, if it was returned, is the complete one."""
+    last = t.lineitem.groupBy("l_orderkey").agg(F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")).alias("k"))
+    own = t.lineitem.join(last, "l_orderkey").withColumn("complete", (F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice") == F.col("k")) & (F.col("l_returnflag") == "R"))
+    tries = own.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "complete")
+    out = records.attempts_merged(tries, "o_orderkey", "complete", t.orders.select("o_orderkey"))
+    return out.select("o_orderkey", "attempts", "status", F.col("attempt.l_partkey").alias("l_partkey"))
+
+
+add("attempts_merged", _attempts, """
+    WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1 AND l_returnflag = 'R' AS complete FROM lineitem)
+    SELECT o_orderkey, count(l_orderkey) AS attempts, CASE WHEN bool_or(complete) THEN 'complete' WHEN count(l_orderkey) > 0 THEN 'incomplete' ELSE 'missing' END AS status, max(l_partkey) FILTER (WHERE complete) AS l_partkey
+    FROM orders LEFT JOIN a ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
