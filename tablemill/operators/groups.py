@@ -19,6 +19,7 @@ PLAIN: dict[str, Callable[[Column], Column]] = {
     "count_distinct": F.count_distinct, "total": lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)),
 }
 PLAIN["mean"] = PLAIN["avg"]
+PLAIN |= {"median": F.median, "stddev": F.stddev_samp, "stddev_pop": F.stddev_pop, "variance": F.var_samp, "variance_pop": F.var_pop, "approx_distinct": F.approx_count_distinct}
 DISTINCT: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum_distinct, "count": F.count_distinct, "min": F.min, "max": F.max,
     "avg": lambda c: F.sum_distinct(c) / F.count_distinct(c),

@@ -46,11 +46,11 @@ def _marked(df: DataFrame) -> DataFrame:
 
 
 def join_pair(left: DataFrame, right: DataFrame, edges: list[Mapping], how: str = "inner", role: str | None = None, ops: bool = False) -> DataFrame:
-    """One join. ``how``: inner, left, cross, semi or anti; ``ops`` allows edges to compare otherwise than by ``=``.
+    """One join. ``how``: inner, left, right, full, cross, semi or anti; ``ops`` allows edges to compare otherwise than by ``=``.
 
-    Null keys match nothing: a left row with one is kept by left and anti joins.
+    Null keys match nothing: a left row with one is kept by left, full and anti joins, a right one by right and full joins.
     """
-    if how not in ("inner", "left", "cross", "semi", "anti"):
+    if how not in ("inner", "left", "right", "full", "cross", "semi", "anti"):
         raise OpError("unsupported_join", f"no join {how!r}")
     if (how == "cross") == bool(edges):
         raise OpError("invalid_edge", "a cross join has no edges and every other join has some")

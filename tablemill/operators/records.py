@@ -244,6 +244,31 @@ def wilson_ci(df: DataFrame, correct: str, z: float = 1.96) -> DataFrame:
     return own.select("n", "rate", F.when(n > 0, middle - spread).alias("low"), F.when(n > 0, middle + spread).alias("high"))
 
 
+#: Chances of 0, 1, … draws or fewer, by a Poisson law of mean one.
+CHANCES = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+#: Odd constants of the steps between rounds and of the mixing of hashes (fixed values of splitmix64 and MurmurHash3).
+STEP, MIX = 0x9E3779B97F4A7C15, (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+
+
+def _unit_key(df: DataFrame, unit: str | None, seed: int) -> Column:
+    """The first 16 hexadecimal digits of a unit's MD5; without a ``unit`` equal rows are one, drawn together."""
+    text = F.coalesce(col(unit).cast("string"), F.lit("")) if unit else F.to_json(F.struct(*map(col, df.columns)), {"ignoreNullFields": "false"})
+    return F.substring(F.md5(F.concat(text, F.lit(f"#{seed}"))), 1, 16)
+
+
+def draws(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each unit, by its 64-bit key, is drawn in each round: by a Poisson law of mean one, and the same wherever it is worked out."""
+    steps = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(STEP)
+    x = keys[:, None] ^ steps[None, :]
+    for factor in MIX:
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return np.searchsorted(CHANCES, ((x ^ (x >> np.uint64(33))) >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def _ends(drawn: DataFrame, value: str, share: float) -> list[Column]:
+    return [F.percentile(value, F.lit((1 - share) / 2)).alias("low"), F.percentile(value, F.lit((1 + share) / 2)).alias("high")]
+
+
 def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, share: float = 0.95, cluster: str | None = None, key: str | None = None) -> DataFrame:
     """(mean, low, high): seeded percentile interval of the mean, resampling rows or whole clusters.
 
@@ -251,28 +276,104 @@ def bootstrap_ci(df: DataFrame, value: str, rounds: int = 1000, seed: int = 0, s
     cluster (or by the row itself, so that equal rows are drawn together), so that tasks add up draws on their own, no
     list of values is gathered, and the interval doesn't depend on how the table is split.
     """
-    own = [col(cluster or key)] if cluster or key else [col(c) for c in df.columns]
-    keyed = df.filter(col(value).isNotNull()).select(col(value).cast("double").alias("v"), F.xxhash64(*own, F.lit(seed)).alias("h"))
+    keyed = df.filter(col(value).isNotNull()).select(col(value).cast("double").alias("v"), _unit_key(df, cluster or key, seed).alias("h"))
     sums = keyed.groupBy("h").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
-        steps = np.random.SeedSequence(seed).generate_state(rounds, np.uint64)
         total, weight = np.zeros(rounds), np.zeros(rounds)
         for pdf in batches:
-            h, s, n = pdf.h.to_numpy(np.int64).view(np.uint64), pdf.s.to_numpy(), pdf.n.to_numpy()
+            h, s, n = np.array([int(x, 16) for x in pdf.h], np.uint64), pdf.s.to_numpy(), pdf.n.to_numpy()
             for at in range(0, len(h), 512):  # a block's rows times rounds at once
-                x = h[at : at + 512, None] ^ steps[None, :]
-                x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-                times = np.searchsorted(chances, ((x ^ (x >> np.uint64(33))) >> np.uint64(11)) * 2.0**-53, side="right")
+                times = draws(h[at : at + 512], rounds)
                 total += s[at : at + 512] @ times
                 weight += n[at : at + 512] @ times
         yield pd.DataFrame({"round": range(rounds), "s": total, "n": weight})
 
     drawn = sums.mapInPandas(draw, "round int, s double, n double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
-    ends = drawn.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("low"), F.percentile("m", F.lit((1 + share) / 2)).alias("high"))  # ``rounds`` rows
-    return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).crossJoin(ends)
+    return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).crossJoin(drawn.agg(*_ends(drawn, "m", share)))  # ``rounds`` rows
+
+
+#: What ``bootstrap_two`` estimates, from counts, sums, sums of squares and pairs in order of the drawn rows of both sides.
+STATISTICS = {
+    "auc": "pairs / (n1 * n0)",
+    "mean_difference": "s1 / n1 - s0 / n0",
+    "cohens_d": "(s1 / n1 - s0 / n0) / sqrt(((q1 - s1 * s1 / n1) + (q0 - s0 * s0 / n0)) / (n1 + n0 - 2))",
+}
+
+
+def bootstrap_two(df: DataFrame, value: str, positive: str, rounds: int = 1000, seed: int = 0, share: float = 0.95, cluster: str | None = None, key: str | None = None) -> DataFrame:
+    """(statistic, estimate, low, high): seeded percentile intervals of AUC, difference of means and Cohen's d between rows with ``positive`` true and false.
+
+    Rows, or whole clusters, are drawn as in ``bootstrap_ci``. All rounds are worked out at once over rows dealt to ranges of the value: a range counts for
+    each round how many drawn negative rows come before its positive ones, and what earlier ranges add is carried over. Equal values count half: the pairs are
+    counted in two orders, in one of which negative rows come first among equals and in the other last, so that even a value that most rows share lies in many ranges.
+    Round 0 draws each row once and gives the estimate. Rows without value or side are left out; rounds in which a side is empty too.
+    """
+    rows = df.filter(col(value).isNotNull() & col(positive).isNotNull()).select(col(value).cast("double").alias("v"), col(positive).cast("boolean").alias("p"), _unit_key(df, cluster or key, seed).alias("h"))
+    names = ["n1", "n0", "s1", "s0", "q1", "q0", "pairs"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, place = np.zeros((len(names), rounds + 1)), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(3)[0].as_py()
+            v, p = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            h = np.array([int(x, 16) for x in batch.column(2).to_pylist()], np.uint64)
+            for at in range(0, len(v), 512):
+                x, yes = v[at : at + 512], p[at : at + 512].astype(float)
+                times = np.concatenate((np.ones((len(x), 1)), draws(h[at : at + 512], rounds)), axis=1)
+                one, none = times * yes[:, None], times * (1 - yes)[:, None]
+                before = sums[1] + np.cumsum(none, axis=0)
+                sums[6] += (one * before).sum(0)
+                for i, power in ((0, x**0), (2, x), (4, x * x)):
+                    sums[i], sums[i + 1] = sums[i] + power @ one, sums[i + 1] + power @ none
+        if place is not None:
+            columns = [pa.array(np.full(rounds + 1, place, np.int32)), pa.array(np.arange(rounds + 1, dtype=np.int32)), *(pa.array(s) for s in sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "round", *names])
+
+    def counted(first: Column, name: str) -> DataFrame:
+        ranges = ranges_.dealt(rows, [], [F.col("v").asc(), first, F.col("h").asc()], name)
+        ordered = ranges.repartition("__range").sortWithinPartitions("__range", F.col("v").asc(), first, "__place")
+        # A partition may hold several ranges, each folded on its own.
+        parts = ordered.select("v", "p", "h", "__range").mapInArrow(_by_last(fold), "place int, round int, " + ", ".join(f"{n} double" for n in names))
+        parts = written(parts, "bootstrap-ranges")
+        before = Window.partitionBy("round").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        carried = parts.withColumn("pairs", F.col("pairs") + F.col("n1") * F.coalesce(F.sum("n0").over(before), F.lit(0.0)))
+        return carried.groupBy("round").agg(*(F.sum(n).alias(n) for n in names))
+
+    up = counted(F.col("p").asc(), "values-up")
+    down = counted(F.col("p").desc(), "values-down").select(F.col("round").alias("r"), F.col("pairs").alias("fewer"))
+    each = written(up.join(down, F.col("round") == F.col("r")).withColumn("pairs", (F.col("pairs") + F.col("fewer")) / 2), "bootstrap-rounds").filter("n1 > 0 AND n0 > 0")
+    out = None
+    for name, formula in STATISTICS.items():
+        own = each.selectExpr("round", f"{formula} AS x" if name != "cohens_d" else "CASE WHEN n1 + n0 > 2 AND (q1 - s1 * s1 / n1) + (q0 - s0 * s0 / n0) > 0 THEN " + formula + " END AS x")
+        drawn = own.filter("round > 0")
+        row = own.filter("round = 0").select(F.lit(name).alias("statistic"), F.col("x").alias("estimate")).crossJoin(drawn.agg(*_ends(drawn, "x", share)))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _by_last(fold):
+    """``fold`` for each run of rows that share their last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            own = batch.column(batch.num_columns - 1).to_numpy()
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
+                if b > a:
+                    if held and own[a] != last:
+                        yield from fold(iter(held))
+                        held = []
+                    last = own[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from fold(iter(held))
+
+    return run
 
 
 def cohens_d(df: DataFrame, group: str, value: str, a, b) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tablemill.plans import analytics_queries, ordered_queries, relational_queries, tool_queries
+from tablemill.plans import analytics_queries, discovery_queries, ordered_queries, relational_queries, tool_queries
 from tablemill.plans.base import Query
 from tablemill.plans.relational_queries import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
-PARTS = (relational_queries.BOOK, tool_queries.BOOK, analytics_queries.BOOK, ordered_queries.BOOK)
+PARTS = (relational_queries.BOOK, tool_queries.BOOK, analytics_queries.BOOK, ordered_queries.BOOK, discovery_queries.BOOK)
 
 
 def queries() -> dict[str, Query]:
