@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ from tablemill.functions.names import col
 from tablemill.llm.common import filtered, positional, written
 
 WINDOW = 10
-#: Words of benchmark items that one broadcast set holds, about 64 bytes each (more only if a single item has more).
-MAX_WORDS = 4_000_000
+#: Words of benchmark items that one broadcast set holds (more only if a single item has more). A word takes 16 bytes in the arrays, and a
+#: distinct one about 170 more in the table of words: 190 MB in each worker if all words differ, and at most 330 MB on the driver while it's made.
+MAX_WORDS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes to what they count as: digits, a-z and bytes beyond ASCII stand, A-Z are lower-cased, the rest part words.
 BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -50,31 +52,35 @@ def mix(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a bounded set of items: words by number, and for each width the sorted hashes."""
+    """The windows of a bounded set of items: words by number in one array, and for each width the windows' sorted hashes and places in it."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.words: dict[bytes, int] = {}
-        found: dict[bytes, set] = {}
+        numbers, ends, self.names = array("I"), array("Q", [0]), []
         for item, text in items:
-            words = words_of(text)
-            if not words:
+            if not (words := words_of(text)):
                 continue
-            ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.uint64)
-            width = min(window, len(ids))
-            for i in range(len(ids) - width + 1):
-                found.setdefault(ids[i : i + width].tobytes(), set()).update([] if item is None else [str(item)])
-        self.widths: dict[int, tuple[np.ndarray, np.ndarray, list[tuple]]] = {}
-        for width in sorted({len(k) // 8 for k in found}):
-            keys = np.frombuffer(b"".join(k for k in found if len(k) == 8 * width), np.uint64).reshape(-1, width)
-            hashes = np.array([mix(k, width)[0] for k in keys], np.uint64)
+            for w in words:
+                numbers.append(self.words.setdefault(w, len(self.words) + 1))
+            ends.append(len(numbers))
+            self.names.append(None if item is None else str(item))
+        self.ids, self.ends = np.frombuffer(numbers, np.uint32), np.frombuffer(ends, np.uint64).astype(np.int64)
+        sizes = np.diff(self.ends)
+        self.widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in sorted({min(window, n) for n in sizes.tolist()}):
+            own = np.flatnonzero(np.minimum(sizes, window) == width)
+            at = np.concatenate([np.arange(self.ends[i], self.ends[i + 1] - width + 1, dtype=np.uint32) for i in own.tolist()])
+            hashes = np.zeros(len(at), np.uint64)
+            for k in range(width):
+                hashes = hashes * PRIME + self.ids[at + np.uint32(k)]
             order = np.argsort(hashes, kind="stable")
-            self.widths[width] = (hashes[order], keys[order], [tuple(found[keys[i].tobytes()]) for i in order])
+            self.widths[width] = hashes[order], at[order]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are in an occurrence of a window, and the items of those windows."""
         hit, items, n = np.zeros(len(words), bool), set(), len(words)
         ids = np.fromiter(map(self.words.get, words, [0] * n), np.uint64, n)
-        for width, (hashes, keys, names) in self.widths.items():
+        for width, (hashes, places) in self.widths.items():
             if n < width:
                 continue
             full = np.convolve(ids > 0, np.ones(width, np.int64), "valid") == width  # all words are known
@@ -82,13 +88,14 @@ class Windows:
             if not len(at):
                 continue
             own = mix(ids, width)[at]
-            lo = np.searchsorted(hashes, own)
-            for p, i, h in zip(at, lo, own, strict=True):
-                while i < len(hashes) and hashes[i] == h:  # hashes may collide
-                    if (keys[i] == ids[p : p + width]).all():
-                        hit[p : p + width] = True
-                        items.update(names[i])
-                    i += 1
+            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+            for p, i, j in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                found = places[i:j].astype(np.int64)  # of one hash: windows that may differ, as hashes collide, or be in several items
+                found = found[(self.ids[found[:, None] + np.arange(width)] == ids[p : p + width]).all(1)]
+                if len(found):
+                    hit[p : p + width] = True
+                    items.update(self.names[x] for x in np.unique(np.searchsorted(self.ends, found, "right") - 1).tolist())
+        items.discard(None)
         return hit, items
 
 

@@ -53,3 +53,24 @@ def test_empty_tables(spark, tables):
     assert decontam.op5(d.limit(0), b).count() == 0
     assert decontam.op5(d, b.limit(0)).filter("contaminated").count() == 0
     assert decontam.remove_documents(d, b).columns == ["doc_id", "text"]
+
+
+def test_a_set_takes_what_is_said_of_it():
+    """A tenth of the words that a set may hold, all of them distinct: bytes a word when it is made, and when it is kept."""
+    import tracemalloc
+
+    n = decontam.MAX_WORDS // 10
+    items = [(i, " ".join(f"word{j:07d}" for j in range(100 * i, 100 * i + 100))) for i in range(n // 100)]
+    tracemalloc.start()
+    windows = decontam.Windows(items)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(windows.words) == n and kept <= 190 * n and most <= 330 * n
+    assert len(windows.widths[10][0]) == n // 100 * 91
+
+
+def test_a_window_of_many_items_names_them_all(spark):
+    same = " ".join(f"w{i}" for i in range(10))
+    bench = spark.createDataFrame([(i, f"{same} own{i}") for i in range(300)], "item_id long, text string")
+    row = decontam.op5(spark.createDataFrame([(1, f"before {same} after")], "doc_id long, text string"), bench).first()
+    assert (row.n_words, row.n_hit, row.n_items) == (12, 10, 300)
