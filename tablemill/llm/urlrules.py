@@ -37,11 +37,21 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, "^([^/?#]*)", 1)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def _suffixes(labels: Column) -> Column:
+    """A hash of each suffix of a host, the last label's first: labels are hashed with their places from the right and XORed up.
+
+    Doubling steps make the running XOR, so that a host of n labels takes about n log n steps and no suffix is written out.
+    """
+    each = F.transform(F.reverse(labels), lambda x, i: F.xxhash64(x, i))
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(labels), F.lit(2)).cast("double"))).cast("int") - 1)
+    return F.aggregate(doublings, each, lambda acc, k: F.transform(acc, lambda x, i: x.bitwiseXOR(F.coalesce(F.get(acc, i - F.pow(F.lit(2.0), k).cast("int")), F.lit(0).cast("long")))))
+
+
 def tokens(url: Column) -> Column:
-    """The distinct tokens of a url, each marked by the part it comes from; empty for null."""
+    """The distinct tokens of a url, each marked by the part it comes from (suffixes of the host by their hashes); empty for null."""
     host, path = host_and_path(url)
     labels = F.filter(F.split(host, "\\."), lambda x: x != "")
-    tail = F.transform(labels, lambda x, i: F.concat(F.lit("suffix:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
+    tail = F.transform(_suffixes(labels), lambda x: F.concat(F.lit("suffix:"), F.hex(x)))
     steps = F.filter(F.split(ascii_lower(path), "/"), lambda x: x != "")
     query = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit("[?&]([^=&#]+)"), F.lit(1))
     parts = [
@@ -63,13 +73,13 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
     return name, verdict
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """(rule, antecedent, support, confidence, lift): pruned rules that point to ``block``.
+def mine_items(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> tuple[DataFrame, DataFrame]:
+    """Pruned rules that point to ``block`` over items, (rule, antecedent, support, confidence, lift), and which tokens an item stands for, (item, token).
 
     ``labelled`` has url and blocked (boolean). FP-growth enumerates combinations, so what would only
     multiply them is taken out before, which changes no rule: tokens that are rules by themselves (a rule with such
     a token and others is pruned anyway), tokens too rare among blocked urls, and all but one of tokens that occur in
-    the same urls (each rule is then written out once for each of them).
+    the same urls (an item stands for all of them, and a rule is held once).
     """
     rows = labelled.filter("url IS NOT NULL AND blocked IS NOT NULL").select(tokens(F.col("url")).alias("tokens"), "blocked").filter("blocked OR size(tokens) > 0")
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "url-transactions")
@@ -91,33 +101,54 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(written(baskets, "url-baskets"))
     found = model.associationRules.filter(F.expr(f"consequent = array('{BLOCK}')") & (F.col("lift") >= lift))
     found = written(found.select(F.sort_array("antecedent").alias("antecedent"), "support", "confidence", "lift"), "url-rules")
-    # A rule with all the tokens of a smaller one fits nothing that the smaller doesn't: each looks its proper subsets up.
-    subsets = F.expr("transform(sequence(1L, shiftleft(1L, size(antecedent)) - 2), m -> xxhash64(filter(antecedent, (x, i) -> (shiftright(m, i) & 1) = 1)))")
-    parts = found.filter("size(antecedent) > 1").select(F.xxhash64("antecedent").alias("rule"), F.explode(subsets).alias("part"))
-    covered = parts.join(found.select(F.xxhash64("antecedent").alias("part")), "part", "left_semi").select("rule").distinct()
-    kept = found.withColumn("rule", F.xxhash64("antecedent")).join(covered, "rule", "left_anti")
-    each = kept.select("rule", "support", "confidence", "lift", F.posexplode("antecedent").alias("i", "item")).join(merged, "item")
+    # A rule with all the items of a smaller one fits nothing that the smaller doesn't. Smaller ones are fetched by their rarest item.
+    found = found.withColumn("rule", F.xxhash64("antecedent"))
+    parts = written(found.select("rule", F.size("antecedent").alias("size"), F.explode("antecedent").alias("item")), "url-rule-items")
+    rare = parts.join(parts.groupBy("item").agg(F.count("*").alias("n")), "item").groupBy("rule", "size").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    pairs = parts.select("rule", "item", "size").join(rare.select(F.col("rule").alias("small"), F.col("size").alias("less"), "item"), "item").filter("less < size").select("rule", "small", "less")
+    common = pairs.join(parts.select(F.col("rule").alias("small"), "item"), "small").join(parts.select("rule", "item"), ["rule", "item"])
+    covered = common.groupBy("rule", "small", "less").agg(F.count("*").alias("n")).filter("n = less").select("rule").distinct()
+    kept = found.join(covered, "rule", "left_anti").select("rule", "antecedent", "support", "confidence", "lift")
+    alone_ = singles.withColumn("rule", F.xxhash64("antecedent")).select("rule", "antecedent", "support", "confidence", "lift")
+    rules = written(alone_.unionByName(kept), "url-pruned-rules")
+    names = merged.select("item", F.explode("members").alias("token")).unionByName(singles.select(F.col("antecedent")[0].alias("item"), F.col("antecedent")[0].alias("token")))
+    return rules, written(names, "url-item-tokens")
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+    """(rule, antecedent, support, confidence, lift): the rules of ``mine_items`` written out over tokens, for reading; a rule of several items that stand for several tokens each has a row for every choice."""
+    rules, names = mine_items(labelled, support, confidence, lift)
+    members = names.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    each = rules.select("rule", "support", "confidence", "lift", F.posexplode("antecedent").alias("i", "item")).join(members, "item")
     lists = each.groupBy("rule", "support", "confidence", "lift").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "members"))), lambda x: x["members"]).alias("lists"))
     ways = F.aggregate("lists", F.array(F.array().cast("array<string>")), lambda acc, own: F.flatten(F.transform(acc, lambda a: F.transform(own, lambda m: F.concat(a, F.array(m))))))
-    wide = lists.select(F.explode(ways).alias("antecedent"), "support", "confidence", "lift")
-    out = singles.unionByName(wide).withColumn("antecedent", F.sort_array("antecedent"))
-    return written(out.withColumn("rule", F.xxhash64("antecedent")), "url-pruned-rules")
+    wide = lists.select(F.explode(ways).alias("antecedent"), "support", "confidence", "lift").withColumn("antecedent", F.sort_array("antecedent"))
+    return written(wide.withColumn("rule", F.xxhash64("antecedent")), "url-written-rules")
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct urls of ``urls`` (url) that some rule fits."""
-    own = urls.filter("url IS NOT NULL").distinct().withColumn("tokens", tokens(F.col("url")))
-    posts = rules.select("rule", "antecedent", F.explode("antecedent").alias("token"))
-    seen = own.select(F.explode("tokens").alias("token")).join(posts.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = posts.join(seen, "token").groupBy("rule").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("antecedent").alias("antecedent"))
-    index = written(rarest.select("token", "antecedent"), "url-index")
-    fetched = own.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return fetched.filter(F.size(F.array_except("antecedent", "tokens")) == 0).select("url").distinct()
+def matched(urls: DataFrame, rules: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The distinct urls of ``urls`` (url) that some rule fits; with ``names`` (item, token) rules are over items, any of whose tokens will do.
 
-
-def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    A url's tokens are rows of its number, so that a long url is never written out beside each of them. Rules are fetched by their
+    rarest item, and those of several items are verified by counting the items that the url has.
+    """
+    own = written(urls.filter("url IS NOT NULL").distinct().withColumn("id", F.monotonically_increasing_id()), "distinct-urls")
+    posts = own.select("id", F.explode(tokens(F.col("url"))).alias("token"))
+    posts = posts.withColumnRenamed("token", "item") if names is None else posts.join(names, "token").select("id", "item").distinct()
+    parts = rules.select("rule", F.size("antecedent").alias("size"), F.explode("antecedent").alias("item"))
+    posts = written(posts.join(parts.select("item").distinct(), "item", "left_semi"), "url-posts")
+    seen = posts.groupBy("item").agg(F.count("*").alias("n"))
+    index = written(parts.join(seen, "item").groupBy("rule", "size").agg(F.min_by("item", F.struct("n", "item")).alias("item")), "url-index")
+    fetched = written(posts.join(index, "item").select("id", "rule", "size"), "fetched-rules")
+    several = fetched.filter("size > 1")
+    held = several.join(parts.select("rule", "item"), "rule").join(posts, ["id", "item"]).groupBy("id", "rule", "size").agg(F.count("*").alias("n")).filter("n = size")
+    hits = fetched.filter("size = 1").select("id").unionByName(held.select("id")).distinct()
+    return own.join(hits, "id", "left_semi").select("url")
+
+
+def judge(pages: DataFrame, rules: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and whether mined rules fit (``mined``), for every row of ``pages``."""
-    blocked = written(matched(pages.select("url"), rules).withColumn("hit", F.lit(True)), "url-blocked")
+    blocked = written(matched(pages.select("url"), rules, names).withColumn("hit", F.lit(True)), "url-blocked")
     host, path = host_and_path(F.col("url"))
     out = pages.select("page_id", "url").join(blocked, "url", "left").withColumn("host", host).withColumn("path", path)
     name, verdict = listed_rule(F.col("host"), F.col("path"))
@@ -134,4 +165,4 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op9(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, mined."""
-    return judge(pages, mine(labelled_urls(pages, labels)))
+    return judge(pages, *mine_items(labelled_urls(pages, labels)))

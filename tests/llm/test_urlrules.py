@@ -60,3 +60,44 @@ def test_empty_tables(spark):
     pages, labels = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.verdict for r in urlrules.op9(pages, labels).collect()] == ["allow"]
     assert urlrules.op9(pages.limit(0), labels).count() == 0
+
+
+def test_suffixes_are_told_apart(spark):
+    hosts = ["a.b.c", "x.a.b.c", "b.c", "c.b", "b.b.c", "a.a", "a", "a.a.a", ""]
+    got = {h: spark.createDataFrame([(f"http://{h}/",)], "url string").select(urlrules.tokens(F.col("url")).alias("t")).first().t for h in hosts}
+    by_suffix = {}
+    for h, t in got.items():
+        labels, own = h.split(".") if h else [], [x for x in t if x.startswith("suffix:")]
+        assert len(own) == len(labels)
+        for n, token in enumerate(own, 1):
+            by_suffix.setdefault(".".join(labels[-n:]), set()).add(token)
+    assert all(len(x) == 1 for x in by_suffix.values()) and len(set.union(*by_suffix.values())) == len(by_suffix)
+
+
+def test_a_url_of_a_megabyte(spark):
+    """Half a million labels, and a path and a query as long: in seconds, as nothing grows with the square."""
+    import time
+
+    urls = [("http://" + "a." * 500_000 + "spam.net/x", True), ("http://spam.net/" + "b/" * 250_000 + "?" + "c=1&" * 100_000, True), ("http://good.org/", False)] + [(f"http://s{i}.spam.net/{i}", True) for i in range(20)] + [(f"http://g{i}.good.org/{i}", False) for i in range(20)]
+    df = spark.createDataFrame(urls, "url string, blocked boolean")
+    start = time.monotonic()
+    rules, names = urlrules.mine_items(df)
+    hit = {u.url for u in urlrules.matched(df.select("url"), rules, names).collect()}
+    assert hit == {u for u, b in urls if b} and time.monotonic() - start < 100
+
+
+def test_rules_of_items_fit_what_written_out_rules_fit(spark, labelled):
+    rules, names = urlrules.mine_items(labelled, 0.05, 0.6, 1.2)
+    whole = urlrules.mine(labelled, 0.05, 0.6, 1.2)
+    urls = labelled.select("url")
+    assert {r.url for r in urlrules.matched(urls, rules, names).collect()} == {r.url for r in urlrules.matched(urls, whole).collect()}
+
+
+def test_tokens_of_the_same_urls_multiply_nothing(spark):
+    """24 segments that always come together, in rules with others: their 2 ** 24 combinations are one item."""
+    long = "/".join(f"seg{chr(97 + i)}" for i in range(24))
+    urls = [(f"http://h{i % 5}.com/{long}/{'win' if i % 2 else 'news'}/", bool(i % 2)) for i in range(200)] + [(f"http://h{i % 5}.com/{'win' if i % 2 else 'news'}/", False) for i in range(200)]
+    rules, names = urlrules.mine_items(spark.createDataFrame(urls, "url string, blocked boolean"))
+    assert 1 <= rules.count() < 50 and names.groupBy("item").count().agg(F.max("count")).first()[0] >= 24
+    hit = {r.url for r in urlrules.matched(spark.createDataFrame(urls, "url string, blocked boolean").select("url"), rules, names).collect()}
+    assert hit == {u for u, b in urls if b}
