@@ -38,13 +38,19 @@ PAIRS = 2_000_000
 CACHE, LONGEST = 150_000, 200
 #: Characters of texts that are aligned at once (more only for one longer text).
 AT_ONCE = 1 << 19
+#: Words that are encoded in one row when they are new.
+ROW = 1000
 #: A piece's spaces stand at its start alone, so that no merge crosses from another character to a space.
 SEGMENT = re.compile(" +[^ ]*")
 SPACE = "▁"
 
 
 class Pieces:
-    """Ids of whole texts by a vocabulary of pieces, which adds a space before a text."""
+    """Ids of whole texts by a vocabulary of pieces, which adds a space before a text.
+
+    Texts are cut into segments, spaces and what follows up to the next one, whose ids are kept by the segment without its first
+    space; ``unsound`` are those whose ids' bytes aren't theirs.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -54,23 +60,56 @@ class Pieces:
         pieces = [self.processor.id_to_piece(i) for i in range(size)]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in pieces) and SPACE in pieces
-        self.known: dict[str, bytes] = {" ": np.array([self.processor.piece_to_id(SPACE)], "<i4").tobytes()}
+        self.starts = np.array([p.startswith(SPACE) for p in pieces])
+        self.sizes = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.known: dict[str, bytes] = {"": np.array([self.processor.piece_to_id(SPACE)], "<i4").tobytes()}
+        self.unsound: set[str] = set()
+
+    def joined(self, coded: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(coded, "<i4").tolist()))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x, "<i4").tobytes() for x in self.processor.encode(texts, num_threads=1)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids as bytes of int32."""
+    def _segments(self, segments: list[str]) -> tuple[dict[str, bytes], set[str]]:
+        """Ids of distinct segments, and the unsound ones. Words are encoded in rows and told apart by the pieces that start with a space."""
+        words = [s for s in segments if s and " " not in s and SPACE not in s and len(s) <= LONGEST]
+        rows = [words[i : i + ROW] for i in range(0, len(words), ROW)]
+        out: dict[str, bytes] = {}
+        for row, got in zip(rows, self.processor.encode([" ".join(r) for r in rows], num_threads=1), strict=True):
+            ids = np.array(got, "<i4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(row):
+                continue
+            whole = [(" " + w).encode("utf-8", "surrogatepass") for w in row]
+            # A row is sound if its bytes are, and each word's ids have as many as the word.
+            if (np.add.reduceat(self.sizes[ids], at) == np.fromiter(map(len, whole), np.int64, len(row))).all() and b"".join(map(self.bytes.__getitem__, got)) == b"".join(whole):
+                data, ends = ids.tobytes(), np.append(at[1:], len(ids)) * 4
+                out.update(zip(row, [data[a:b] for a, b in zip((at * 4).tolist(), ends.tolist(), strict=True)], strict=True))
+        rest = [s for s in segments if s not in out]
+        alone = dict(zip(rest, self._whole(rest), strict=True))
+        return out | alone, {s for s, x in alone.items() if self.joined(x) != (" " + s).encode("utf-8", "surrogatepass")}
+
+    def __call__(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids as bytes of int32, and for each text whether its ids' bytes are a space and the text."""
         if not self.by_segment:
-            return self._whole(texts)
-        cut = [SEGMENT.findall(" " + t) for t in texts]
-        fresh = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(fresh, self._whole([s[1:] for s in fresh]), strict=True))
+            out = self._whole(texts)
+            return out, [self.joined(x) == (" " + t).encode("utf-8", "surrogatepass") for x, t in zip(out, texts, strict=True)]
+        cut = []
+        for text in texts:
+            words = text.split(" ")
+            cut.append([s[1:] for s in SEGMENT.findall(" " + text)] if "" in words[:-1] else words)
+        fresh, unsound = self._segments(list(set().union(*cut).difference(self.known)))
+        self.known.update(fresh)
+        self.unsound |= unsound
         out = [b"".join(map(self.known.__getitem__, own)) for own in cut]
+        # Segments that are their own bytes make up the text; if one isn't, the whole is compared.
+        sound = [not self.unsound or self.unsound.isdisjoint(own) or self.joined(x) == (" " + t).encode("utf-8", "surrogatepass") for own, x, t in zip(cut, out, texts, strict=True)]
         for segment in fresh:
             if len(segment) > LONGEST or len(self.known) > CACHE:
                 del self.known[segment]
-        return out
+                self.unsound.discard(segment)
+        return out, sound
 
 
 class Bytes:
@@ -86,9 +125,12 @@ class Bytes:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+        #: With every byte in its vocabulary, and texts neither normalised nor changed, its tokens make up the text always.
+        self.lossless = self.encoder.by_piece and all(c in vocabulary for c in of)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.encoder.kind).astype(np.int32) for x in self.encoder(texts)]
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        ids = [np.frombuffer(x, self.encoder.kind).astype(np.int32) for x in self.encoder(texts)]
+        return ids, [self.lossless or b"".join(map(self.bytes.__getitem__, x.tolist())) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
 
 
 def union_find(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -113,8 +155,11 @@ class Alignment:
     def __init__(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.a, self.b = a, b
         self.a_ends, self.b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-        ends = np.unique(np.concatenate((self.a_ends, self.b_ends)))
-        self.link_a, self.link_b = np.searchsorted(self.a_ends, ends), np.searchsorted(self.b_ends, ends)
+        # Bytes after which a token ends; of both kinds as many have ended before a stretch as are left of its tokens.
+        ended = np.zeros((2, int(self.a_ends[-1]) + 1 if len(a) else 1), np.int32)
+        ended[0, self.a_ends] = ended[1, self.b_ends] = 1
+        ends = np.flatnonzero(ended[0] | ended[1])
+        self.link_a, self.link_b = (np.cumsum(e)[ends - 1].astype(np.int64) for e in ended)
         root = union_find(len(a) + len(b), self.link_a, len(a) + self.link_b)
         first = root == np.arange(len(root))
         number = np.cumsum(first) - 1
@@ -148,12 +193,8 @@ class Aligner:
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Both tokenizers' ids of each text; none if it has no tokens."""
         none = np.zeros(0, np.int32)
-        out = []
-        for text, a, coded in zip(texts, self.first([" " + t for t in texts]), self.second(texts), strict=True):
-            b, whole = np.frombuffer(coded, "<i4"), (" " + text).encode("utf-8", "surrogatepass")
-            same = text and all(b"".join(map(x.bytes.__getitem__, ids.tolist())) == whole for x, ids in ((self.first, a), (self.second, b)))
-            out.append((a, b) if same else (none, none))
-        return out
+        (first, fits), (second, matches) = self.first([" " + t for t in texts]), self.second(texts)
+        return [(a, np.frombuffer(b, "<i4")) if t and x and y else (none, none) for t, a, b, x, y in zip(texts, first, second, fits, matches, strict=True)]
 
     def rows(self, texts: list[str], spans: bool) -> list[pa.Array]:
         """Columns of ``ALIGNED`` (and ``SPANS``) for each text."""
