@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablemill.llm import chat, common, decontam, media, mixing, similar, simhash, tokens, toxicity, unigram, urlrules, warc
+from tablemill.llm import align, chat, common, decontam, media, mixing, ranked, similar, simhash, tokens, topk, toxicity, unigram, urlrules, warc
 
 #: Names with dots, and names that operators use for themselves.
 ODD = ["a.b", "__of", "__time", "__f", "__n", "__d", "row", "toxic", "severity", "n_hit", "repeats", "hash", "fp", "d", "h", "n", "rank", "size"]
@@ -155,3 +155,21 @@ def test_a_worker_holds_one_thing():
         common.worker_held(kind, key, lambda: made.append(1) or len(made))
     common.worker_released()
     assert len(made) == 3
+
+
+def test_pair_operators_ignore_odd_columns(spark):
+    docs = odd(spark.createDataFrame([(1, "alpha beta beta", "s"), (2, None, None), (None, "alpha", "s"), (1, "alpha beta beta", "s")], "doc_id long, text string, source string"))
+    bench = spark.createDataFrame([(1, "beta alpha", 3)], "item_id long, text string, `a.b` int")
+    found = ranked.op13(docs, bench).collect()
+    assert [(r.rank, r.doc_id) for r in sorted(found)] == [(1, 1), (2, 1), (3, None)]
+    rows = align.op12(docs)
+    assert rows.count() == 4 and rows.filter("n_a = 0 AND groups_sha256 = ''").count() == 1
+    vectors = odd(spark.createDataFrame([(i, i, [1.0, float(i % 3)]) for i in range(0, 120, 10)], "doc_id long, vec_id long, embedding array<double>"))
+    assert topk.op11(vectors).count() == 3 * 5
+
+
+def test_pair_operators_over_nulls_alone(spark):
+    none = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
+    assert ranked.op13(none, none.toDF("item_id", "text")).count() == 0
+    assert [tuple(r)[1:] for r in align.op12(none).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
+    assert topk.op11(spark.createDataFrame([(None, None), (50, None), (0, [])], "vec_id long, embedding array<float>")).count() == 0
