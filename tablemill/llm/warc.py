@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ def record_of(page_id, url: str | None, payload: bytes, digest: str) -> bytes:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha1:{_base32(digest)}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quote(str(page_id), safe='')}")
     head.append(f"Content-Length: {len(http) + len(payload)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + END + http + payload + END
 
@@ -73,7 +74,7 @@ def revisit_of(record: bytes, refers_to) -> bytes:
     fields = fields_of(head)
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     lines = [line for line in head.split(b"\r\n") if not line.lower().startswith((b"warc-type:", b"content-length:"))]
-    more = ["WARC-Type: revisit", f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}", f"Content-Length: {len(http)}"]
+    more = ["WARC-Type: revisit", f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {quote(str(refers_to), safe='')}", f"Content-Length: {len(http)}"]
     return b"\r\n".join([*lines, *(x.encode() for x in more)]) + END + http + END
 
 
@@ -222,7 +223,8 @@ def parsed(record: bytes) -> tuple:
             raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
     else:
         size = int(fields_of(http)["content-length"])
-    return fields.get("x-page-id"), size, digest, fields["warc-type"], fields.get("x-refers-to-page-id"), fields.get("warc-target-uri"), fields["warc-record-id"]
+    page_id, refers_to = (None if x is None else unquote(x) for x in (fields.get("x-page-id"), fields.get("x-refers-to-page-id")))
+    return page_id, size, digest, fields["warc-type"], refers_to, fields.get("warc-target-uri"), fields["warc-record-id"]
 
 
 def read_records(index: DataFrame) -> DataFrame:

@@ -55,3 +55,11 @@ def test_stream_of_many_members_reads_alike(tmp_path):
 
 def test_empty_table(spark):
     assert warc.op3(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_text_ids_of_any_characters(spark):
+    ids = [" outer ", "line\r\nX-Other: 1", "", "ü%41", "a:b", None, "last"]
+    rows = [(i, "u", BIG) for i in ids]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op3(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    top = max(i for i in ids if i is not None)
+    assert got == {i: ("response", None) if i == top else ("revisit", top) for i in ids}
