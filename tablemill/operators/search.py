@@ -89,24 +89,24 @@ def _scored(values: DataFrame, query: str) -> DataFrame:
     for i, (fits, what) in reversed(list(enumerate(ways))):
         tier, score = F.when(fits, i).otherwise(tier), F.when(fits, what).otherwise(score)
     rows = values.filter("folded != ''").withColumn("tier", tier).withColumn("score", score)
-    sure = rows.filter(F.col("tier") < ALIKE).select(*keep, "tier", "score")
+    sure = F.col("tier") < ALIKE
     if len(q) < SHORTEST:
-        return sure
+        return rows.filter(sure).select(*keep, "tier", "score")
     least = LEAST if len(q) >= LONG_QUERY else LEAST_SHORT
     mine = _triples(F.lit(q))
     shared = F.size(F.array_intersect(mine, _triples(v))) / F.size(F.array_union(mine, _triples(v)))
     # The ratio is at most twice the characters in common, however placed, over both lengths.
     common = reduce(add, (F.least(F.lit(k), n - F.length(F.replace(v, F.lit(c), F.lit("")))) for c, k in Counter(q).items()))
-    maybe = rows.filter((F.col("tier") == ALIKE) & (n <= LONGEST)).withColumn("shared", shared).withColumn("most", 2.0 * common / (n + len(q)))
-    maybe = maybe.filter((F.col("shared") >= least) | (F.col("most") >= least)).select(*keep, "tier", "folded", "shared")
+    maybe = rows.withColumn("shared", F.when(~sure & (n <= LONGEST), shared)).withColumn("most", 2.0 * common / (n + len(q)))
+    maybe = maybe.filter(sure | (F.col("shared") >= least) | (F.col("shared").isNotNull() & (F.col("most") >= least))).select(*keep, "tier", "score", "folded", "shared")
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ratio = [SequenceMatcher(None, q, text, autojunk=False).ratio() for text in pdf.folded]
-            yield pdf.assign(score=pdf.shared.combine(pd.Series(ratio, pdf.index, dtype=float), max)).drop(columns=["folded", "shared"])
+            score = [s if t < ALIKE else max(x, SequenceMatcher(None, q, text, autojunk=False).ratio()) for t, s, x, text in zip(pdf.tier, pdf.score, pdf.shared, pdf.folded, strict=True)]
+            yield pdf.assign(score=pd.Series(score, pdf.index, dtype=float)).drop(columns=["folded", "shared"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sure.schema)
-    return sure.unionByName(maybe.mapInPandas(ratios, schema).filter(F.col("score") >= least))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in maybe.drop("folded", "shared").schema)
+    return maybe.mapInPandas(ratios, schema).filter(sure | (F.col("score") >= least))
 
 
 def _ranked(hits: DataFrame, limit: int, offset: int, more: tuple[str, ...] = ()) -> DataFrame:
