@@ -22,13 +22,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from difflib import SequenceMatcher
-from functools import reduce
-from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.errors import OpError
@@ -43,6 +41,8 @@ LIST = 1 << 16
 #: Longest folded value that is compared for likeness, and the least score by whether the query has so many characters.
 LONGEST, LONG_QUERY, LEAST, LEAST_SHORT = 256, 5, 0.72, 0.80
 ALIKE = 5
+#: Columns that a search reads of a value.
+VALUES = ("table", "column", "value", "frequency", "folded")
 ORDER = ("tier", "-score", "-frequency", "column", "value")
 
 
@@ -65,60 +65,67 @@ def _with_folded(values: DataFrame) -> DataFrame:
     return own.unionByName(values.filter(~plain).mapInPandas(run, schema))
 
 
-def _triples(text: Column) -> Column:
-    solid = F.replace(text, F.lit(" "), F.lit(""))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(solid) - 2, F.lit(1))), lambda i: F.substring(solid, i, F.lit(3))))
+def _text(value: str) -> str:
+    """A text as a literal of Spark SQL, whatever its characters and however the session escapes them."""
+    return f"CAST(X'{value.encode('utf-8', 'replace').hex()}' AS STRING)"
+
+
+def _texts(values: Iterable[str]) -> str:
+    return f"array({', '.join(map(_text, values))})"
+
+
+def _triples(text: str) -> str:
+    solid = f"replace({text}, ' ', '')"
+    return f"array_distinct(transform(sequence(1, greatest(length({solid}) - 2, 1)), i -> substring({solid}, i, 3)))"
 
 
 def _scored(values: DataFrame, query: str) -> DataFrame:
-    """The rows of ``values`` (column, value, frequency, folded, …) that match, with tier and score."""
-    q, keep = folded(query), [c for c in values.columns if c not in ("folded", "length", "id", "block")]
+    """The rows of ``values`` (column, value, frequency, folded, …) that match, with tier and score.
+
+    Expressions are SQL text: a query's plan is made of few calls to the JVM, which else take longer than its jobs.
+    """
+    q, keep = folded(query), [c for c in values.columns if c not in ("slot", "folded", "length", "id", "block")]
     if not q:
         return values.limit(0).select(*keep, F.lit(0).alias("tier"), F.lit(0.0).alias("score"))
-    words, v = q.split(), F.col("folded")
-    n, own = F.length(v), F.split("folded", " ")
-    covered = F.lit(float(len(q))) / n
+    words, names = q.split(), [f"`{c}`" for c in keep]
     ways = [
-        (F.col("value") == query, F.lit(1.0)),
-        (v == q, F.lit(1.0)),
-        (F.startswith(v, F.lit(q)), covered),
-        (F.size(F.array_except(F.array(*map(F.lit, words)), own)) == 0, F.lit(float(len(words))) / F.size(own)),
-        (F.contains(v, F.lit(q)), covered),
+        f"value = {_text(query)}",
+        f"folded = {_text(q)}",
+        f"startswith(folded, {_text(q)})",
+        f"size(array_except({_texts(words)}, split(folded, ' '))) = 0",
+        f"contains(folded, {_text(q)})",
     ]
-    tier, score = F.lit(ALIKE), F.lit(None).cast("double")
-    for i, (fits, what) in reversed(list(enumerate(ways))):
-        tier, score = F.when(fits, i).otherwise(tier), F.when(fits, what).otherwise(score)
-    rows = values.filter("folded != ''").withColumn("tier", tier).withColumn("score", score)
-    sure = F.col("tier") < ALIKE
+    tier = f"CASE {' '.join(f'WHEN {fits} THEN {i}' for i, fits in enumerate(ways))} ELSE {ALIKE} END AS tier"
+    score = f"CASE WHEN tier < 2 THEN 1D WHEN tier = 3 THEN {len(words)}D / size(split(folded, ' ')) WHEN tier < {ALIKE} THEN {len(q)}D / length(folded) END AS score"
+    rows = values.filter("folded != ''").selectExpr(*names, "folded", tier)
     if len(q) < SHORTEST:
-        return rows.filter(sure).select(*keep, "tier", "score")
+        return rows.filter(f"tier < {ALIKE}").selectExpr(*names, "tier", score)
     least = LEAST if len(q) >= LONG_QUERY else LEAST_SHORT
-    mine = _triples(F.lit(q))
-    shared = F.size(F.array_intersect(mine, _triples(v))) / F.size(F.array_union(mine, _triples(v)))
+    mine, own = _texts(x[1:] for x in pieces(query)[0]), _triples("folded")
+    shared = f"CASE WHEN tier = {ALIKE} AND length(folded) <= {LONGEST} THEN size(array_intersect({mine}, {own})) / size(array_union({mine}, {own})) END AS shared"
     # The ratio is at most twice the characters in common, however placed, over both lengths.
-    common = reduce(add, (F.least(F.lit(k), n - F.length(F.replace(v, F.lit(c), F.lit("")))) for c, k in Counter(q).items()))
-    maybe = rows.withColumn("shared", F.when(~sure & (n <= LONGEST), shared)).withColumn("most", 2.0 * common / (n + len(q)))
-    maybe = maybe.filter(sure | (F.col("shared") >= least) | (F.col("shared").isNotNull() & (F.col("most") >= least))).select(*keep, "tier", "score", "folded", "shared")
+    common = " + ".join(f"least({k}, length(folded) - length(replace(folded, {_text(c)}, '')))" for c, k in Counter(q).items())
+    maybe = rows.selectExpr(*names, "tier", score, "folded", shared)
+    maybe = maybe.filter(f"tier < {ALIKE} OR shared >= {least}D OR (shared IS NOT NULL AND 2D * ({common}) / (length(folded) + {len(q)}) >= {least}D)")
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = [s if t < ALIKE else max(x, SequenceMatcher(None, q, text, autojunk=False).ratio()) for t, s, x, text in zip(pdf.tier, pdf.score, pdf.shared, pdf.folded, strict=True)]
             yield pdf.assign(score=pd.Series(score, pdf.index, dtype=float)).drop(columns=["folded", "shared"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in maybe.drop("folded", "shared").schema)
-    return maybe.mapInPandas(ratios, schema).filter(sure | (F.col("score") >= least))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in maybe.schema if f.name not in ("folded", "shared"))
+    return maybe.mapInPandas(ratios, schema).filter(f"tier < {ALIKE} OR score >= {least}D")
 
 
 def _ranked(hits: DataFrame, limit: int, offset: int, more: tuple[str, ...] = ()) -> DataFrame:
-    keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in (*ORDER, *more)]
-    out = hits.orderBy(*keys).limit(offset + limit)
+    keys = (*ORDER, *more)
+    out = hits.orderBy([k.lstrip("-") for k in keys], ascending=[k[0] != "-" for k in keys]).limit(offset + limit)
     return out.offset(offset) if offset else out
 
 
-def _pieces(text: Column) -> Column:
+def _pieces(text: str) -> str:
     """A folded text's triples and words, told apart by their first character."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return F.array_distinct(F.concat(F.transform(_triples(text), lambda x: F.concat(F.lit("3"), x)), F.transform(words, lambda x: F.concat(F.lit("w"), x))))
+    return f"array_distinct(concat(transform({_triples(text)}, x -> concat('3', x)), transform(filter(split({text}, ' '), w -> w != ''), x -> concat('w', x))))"
 
 
 def pieces(query: str) -> tuple[list[str], list[str]]:
@@ -128,9 +135,9 @@ def pieces(query: str) -> tuple[list[str], list[str]]:
     return sorted({"3" + solid[i : i + 3] for i in range(max(1, len(solid) - 2))}), sorted({"w" + w for w in q.split()})
 
 
-def _same(value: Column) -> Column:
+def _same(value: str) -> str:
     """What a text is posted under to be found regardless of case."""
-    return F.concat(F.lit("="), F.hex(F.xxhash64(F.lower(value))))
+    return f"concat('=', hex(xxhash64(lower({value}))))"
 
 
 def _lengths(n: int) -> tuple[int, int]:
@@ -169,21 +176,21 @@ class ValueIndex:
         with shuffles_removed(spark):
             numbered.write.partitionBy("block").parquet(f"{path}/values")
             values = spark.read.schema(numbered.schema).parquet(f"{path}/values")
-            keys = F.explode(F.concat(_pieces(F.col("folded")), F.array(_same(F.col("value")))))
-            lists = values.select("slot", "id", F.expr(f"id div {LIST}").alias("part"), keys.alias("piece")).groupBy("piece", "slot", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+            keys = f"explode(concat({_pieces('folded')}, array({_same('value')}))) AS piece"
+            lists = values.selectExpr("slot", "id", f"id div {LIST} AS part", keys).groupBy("piece", "slot", "part").agg(F.sort_array(F.collect_list("id")).alias("ids"))
             lists.drop("part").repartitionByRange("piece").sortWithinPartitions("piece").write.option("parquet.block.size", str(4 << 20)).parquet(f"{path}/postings")
         return cls(values, spark.read.parquet(f"{path}/postings"), slots)
 
     def _hits(self, query: str) -> DataFrame:
         """(slot, id, triples, words, same) of the values with some piece of the query: how many triples and words they share, and whether they are the same without case."""
         triples, words = pieces(query)
-        own = self.postings.filter(F.col("piece").isin(*triples, *words) | (F.col("piece") == _same(F.lit(query)))).select("slot", "piece", F.explode("ids").alias("id"))
-        count = lambda kind: F.count_if(F.startswith("piece", F.lit(kind)))
-        return own.groupBy("slot", "id").agg(count("3").alias("triples"), count("w").alias("words"), (count("=") > 0).alias("same"))
+        own = self.postings.filter(f"piece IN ({', '.join(map(_text, (*triples, *words)))}) OR piece = {_same(_text(query))}").selectExpr("slot", "piece", "explode(ids) AS id")
+        counts = F.expr("count_if(startswith(piece, '3')) AS triples"), F.expr("count_if(startswith(piece, 'w')) AS words"), F.expr("count_if(startswith(piece, '=')) > 0 AS same")
+        return own.groupBy("slot", "id").agg(*counts)
 
-    def _named(self, ids: DataFrame) -> DataFrame:
-        """The values with these numbers; only the blocks they are in are read."""
-        return self.values.join(ids.withColumn("block", F.shiftright("id", 33).cast("int")).drop("slot"), ["block", "id"])
+    def _named(self, ids: DataFrame, *more: str) -> DataFrame:
+        """The values with these numbers, with the columns ``more`` of ``ids``; only the blocks they are in are read."""
+        return self.values.join(ids.selectExpr("id", "CAST(shiftright(id, 33) AS INT) AS block", *more), ["block", "id"])
 
     def search(self, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
         """The best matches among all values: (table, column, value, frequency, tier, score)."""
@@ -191,33 +198,32 @@ class ValueIndex:
         rows = self.values
         if self.postings is not None and len(q.replace(" ", "")) >= SHORTEST:
             triples, words = pieces(query)
-            low, high = _lengths(len(q))
-            most = F.col("triples") >= (LEAST if len(q) >= LONG_QUERY else LEAST_SHORT) * len(triples)
-            near = F.col("length").between(low, high)
-            hits = self._hits(query).filter((F.col("words") == len(words)) | most | F.col("same")).select("slot", "id")
-            rows = self.values.filter(near).unionByName(self._named(hits).filter(~near).select(*self.values.columns))
-        return _ranked(_scored(rows, query).drop("slot"), limit, offset, ("table",))
+            near = "length BETWEEN {} AND {}".format(*_lengths(len(q)))
+            most = (LEAST if len(q) >= LONG_QUERY else LEAST_SHORT) * len(triples)
+            hits = self._hits(query).filter(f"words = {len(words)} OR triples >= {most}D OR same")
+            rows = rows.filter(near).unionByName(self._named(hits).filter(f"NOT ({near})"))
+        return _ranked(_scored(rows, query), limit, offset, ("table",))
 
     def search_bounded(self, query: str, limit: int = 20, offset: int = 0, candidates: int = CANDIDATES) -> DataFrame:
         """As ``search`` over the values of each column that share the most with the query, with capped; a text that is the same but for case keeps alike ones out."""
         q = folded(query)
-        shared = F.col("triples") + F.col("words")
         indexed = self.postings is not None and len(q.replace(" ", "")) >= SHORTEST
         if indexed:
-            found, last = self._hits(query), [F.asc("id")]
+            found, last = self._hits(query), "id"
         else:
-            triples, words = (F.array(*map(F.lit, x)).cast("array<string>") for x in pieces(query))
-            own, short = _pieces(F.col("folded")), F.contains("folded", F.lit(q)) if q else F.lit(False)
-            found = self.values.withColumn("same", F.lower("value") == F.lower(F.lit(query))).withColumn("triples", F.size(F.array_intersect(own, triples))).withColumn("words", F.size(F.array_intersect(own, words)))
-            found, last = found.filter(F.col("same") | (shared > 0) | (short if len(q) < SHORTEST else F.lit(False))), [F.asc("length"), F.asc("value")]
+            own, (triples, words) = _pieces("folded"), pieces(query)
+            counts = [f"size(array_intersect({own}, CAST({_texts(x)} AS ARRAY<STRING>))) AS {name}" for name, x in (("triples", triples), ("words", words))]
+            found, last = self.values.selectExpr("*", f"lower(value) = lower({_text(query)}) AS same", *counts), "length, value"
+            short = f" OR contains(folded, {_text(q)})" if q and len(q) < SHORTEST else ""
+            found = found.filter(f"same OR triples + words > 0{short}")
         # Spark keeps the first rows of each column's window before the shuffle, so no task sorts all values.
-        place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("same"), shared.desc(), *last))
-        found = found.withColumn("place", place).filter(F.col("place") <= candidates + 1).drop("triples", "words")
+        found = found.selectExpr("*", f"row_number() OVER (PARTITION BY slot ORDER BY same DESC, triples + words DESC, {last}) AS place").filter(f"place <= {candidates + 1}")
         if indexed:
-            found = self._named(found)
-        every = Window.partitionBy()  # over the recalled candidates, whose number is bounded
-        found = found.withColumn("any", F.max("same").over(every)).withColumn("capped", (F.max("place").over(every) > candidates) & ~F.col("any"))
-        kept = _scored(found.filter(F.col("place") <= candidates).drop("same", "place"), query).filter(~F.col("any") | (F.col("tier") < ALIKE))
+            found = self._named(found, "same", "place")
+        # The windows are over the recalled candidates, whose number is bounded.
+        capped = f"max(place) OVER () > {candidates} AND NOT max(same) OVER () AS capped"
+        found = found.selectExpr(*(f"`{c}`" for c in VALUES), "place", "max(same) OVER () AS found_same", capped)
+        kept = _scored(found.filter(f"place <= {candidates}").drop("place"), query).filter(f"NOT found_same OR tier < {ALIKE}")
         return _ranked(kept, limit, offset, ("table",)).select("table", "column", "value", "frequency", "tier", "score", "capped")
 
 
