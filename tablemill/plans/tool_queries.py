@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.errors import OpError
 from tablemill.functions.typed import columns_of
-from tablemill.operators import compare, joins, perception, search
+from tablemill.operators import compare, joins, perception, search, suite
 from tablemill.plans import sql as sql_
 from tablemill.plans.base import Book, Tables
 from tablemill.plans.workspace import Workspace, equivalent
@@ -174,3 +176,44 @@ add("lineage_columns", lambda t: _words(t, *columns_of({"op": "case_when", "bran
 add("provenance_edges", lambda t: _after(t).provenance().filter("handle = 'filter_001' OR handle = 'project_006'"), "SELECT * FROM (VALUES ('filter_001', 'orders', 'o_orderdate'), ('project_006', 'group_005', 'c.c_mktsegment'), ('project_006', 'group_005', 'n')) AS v(handle, input, \"column\")")
 OTHER = [*STEPS[:4], {"id": "counts", "tool": "execute_sql", "args": {"sql": "SELECT * FROM customer"}}, STEPS[5] | {"args": {"table": {"step": "kept"}, "expressions": ["o_orderstatus AS segment", "o_orderkey AS n"]}}]
 add("counterfactual_suite", lambda t: equivalent(t.spark, STEPS, OTHER, "out", {"as it is": {"orders": t.orders, "customer": t.customer}, "empty": {"orders": t.orders.limit(0), "customer": t.customer}}).select("database", "equal", "has_rows"), "SELECT * FROM (VALUES ('as it is', false, true), ('empty', true, false)) AS v(database, equal, has_rows)")
+
+
+# Two ways to an answer over databases made from the given one. BY_ORDERS agrees with SEGMENTS everywhere, BY_CUSTOMERS until customers repeat.
+SEGMENTS = "SELECT c_mktsegment AS segment, count(DISTINCT c_custkey) AS buyers, count(o_totalprice) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+BY_ORDERS = """SELECT segment, count(*) AS buyers, CAST(sum(n) AS BIGINT) AS n FROM (SELECT c_mktsegment AS segment, c_custkey, sum(n) AS n FROM customer
+    JOIN (SELECT o_custkey, count(o_totalprice) AS n FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey) AS x GROUP BY segment"""
+BY_CUSTOMERS = """SELECT c_mktsegment AS segment, count(*) AS buyers, CAST(sum(n) AS BIGINT) AS n FROM customer
+    JOIN (SELECT o_custkey, count(o_totalprice) AS n FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey GROUP BY c_mktsegment"""
+DRAWN = "substr(md5(coalesce(CAST({} AS VARCHAR), '') || 's'), 1, 8) < '80000000'"
+CHANGES = {
+    "fewer orders": ("orders", f"(SELECT * FROM orders WHERE {DRAWN.format('o_orderkey')})"),
+    "repeated orders": ("orders", "(SELECT * FROM orders UNION ALL SELECT * FROM orders)"),
+    "empty orders": ("orders", "(SELECT * FROM orders WHERE false)"),
+    "blank orders.o_totalprice": ("orders", f"(SELECT * REPLACE (CASE WHEN NOT {DRAWN.format('o_orderkey')} THEN o_totalprice END AS o_totalprice) FROM orders)"),
+    "fewer customer": ("customer", f"(SELECT * FROM customer WHERE {DRAWN.format('c_custkey')})"),
+    "repeated customer": ("customer", "(SELECT * FROM customer UNION ALL SELECT * FROM customer)"),
+    "empty customer": ("customer", "(SELECT * FROM customer WHERE false)"),
+}
+
+
+def _outcomes(t: Tables, candidate: str) -> DataFrame:
+    tables = {"orders": t.orders, "customer": t.customer}
+    way = lambda text: lambda own: sql_.execute_sql(t.spark, text, own)
+    return suite.outcomes(t.spark, way(candidate), way(SEGMENTS), tables, suite.variants(tables, {"orders": "o_orderkey", "customer": "c_custkey"}, {"orders": ["o_totalprice"]}, "s"))
+
+
+def _outcomes_sql(candidate: str) -> str:
+    """Both ways on each changed database, and the right one on the given database, compared as sets."""
+    parts = []
+    for name, (table, own) in CHANGES.items():
+        c, g = (f"({re.sub(rf'(FROM|JOIN) {table}\b', rf'\1 {own} AS {table}', text)})" for text in (candidate, SEGMENTS))
+        differ = lambda a, b: f"(EXISTS (SELECT * FROM {a} EXCEPT SELECT * FROM {b}) OR EXISTS (SELECT * FROM {b} EXCEPT SELECT * FROM {a}))"
+        parts.append(f"SELECT '{name}' AS database, NOT {differ(c, g)} AS equal, {differ(g, f'({SEGMENTS})')} OR {differ(c, g)} AS informative, CAST(NULL AS VARCHAR) AS error")
+    return " UNION ALL ".join(parts)
+
+
+VERDICT_SQL = """SELECT failures = 0 AND informative >= 3 AS passed, CASE WHEN failures > 0 THEN 'counterexample_found' WHEN informative < 3 THEN 'insufficient_informative_databases' ELSE 'passed' END AS reason, * FROM (
+    SELECT count(*) AS databases, count(*) FILTER (WHERE informative) AS informative, count(*) FILTER (WHERE NOT equal) AS failures, count(error) AS errors FROM ({}))"""
+add("counterfactual_outcomes", lambda t: _outcomes(t, BY_CUSTOMERS), _outcomes_sql(BY_CUSTOMERS))
+add("counterfactual_passed", lambda t: suite.verdict(_outcomes(t, BY_ORDERS), 3), VERDICT_SQL.format(_outcomes_sql(BY_ORDERS)))
+add("counterfactual_failed", lambda t: suite.verdict(_outcomes(t, BY_CUSTOMERS), 3), VERDICT_SQL.format(_outcomes_sql(BY_CUSTOMERS)))
