@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.names import col, find
 
+#: How texts start that Spark casts to numbers; it skips blanks and control characters before them.
+NUMERIC = "^[\\x00-\\x20\\x7f]*[-+]?([0-9.]|[iI][nN][fF]|[nN][aA][nN])"
+
 
 def positional(df: DataFrame) -> DataFrame:
     """Columns named c0, c1, …, so that results compare by position."""
@@ -24,19 +27,27 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
     return odd.agg((F.count("*") == 0).alias("equal"))
 
 
+def _shown(own: Column, kind: str) -> Column:
+    """A cell as text; columns whose type tells what their cells are take the short way to the same text."""
+    if kind in ("boolean", "byte", "short", "integer"):
+        return (own.cast("int") if kind == "boolean" else own).cast("string")
+    text = F.trim(own.cast("string"))
+    if kind == "date":
+        return text
+    # A text that doesn't start like a number is told by that, as a cast that fails costs an exception.
+    number = own if kind == "double" else F.when(text.rlike(NUMERIC), text.try_cast("double"))
+    size = F.abs(number)
+    whole = F.abs(number - F.rint(number)) < 1e-6
+    far = F.when(size < 1e37, F.when(size < 1e37, number).cast("decimal(38,0)").cast("string")).otherwise(F.lower(number.cast("string")))
+    # Four decimals by way of a decimal, which has no negative zero. Cases aren't worked out where another one holds.
+    near = F.when(size < 9e15, number)
+    places = F.concat(F.when((number < 0) & (size < 0.00005), "-").otherwise(""), near.cast("decimal(38,4)").cast("string"))
+    return F.when(number.isNull(), text).when(F.isnan(number), "nan").when(size >= 9e15, far).when(whole, F.rint(near).cast("long").cast("string")).otherwise(places)
+
+
 def normalized(df: DataFrame) -> DataFrame:
     """Cells as text: null is empty; numbers, also those in text, are whole or have four decimals; truth values are 1 and 0."""
-    out = []
-    for i, f in enumerate(df.schema.fields):
-        own: Column = col(f.name)
-        text = F.trim((own.cast("int") if f.dataType.typeName() == "boolean" else own).cast("string"))
-        number = text.try_cast("double")
-        whole = F.abs(number - F.round(number)) < 1e-6
-        size = F.abs(number)
-        far = F.when(size < 1e37, F.when(size < 1e37, number).cast("decimal(38,0)").cast("string")).otherwise(F.lower(number.cast("string")))
-        shown = F.when(number.isNull(), text).when(F.isnan(number), "nan").when(size >= 9e15, far).when(whole, F.round(number).cast("long").cast("string")).otherwise(F.format_string("%.4f", number))
-        out.append(F.coalesce(shown, F.lit("")).alias(f"c{i}"))
-    return df.select(*out)
+    return df.select(*(F.coalesce(_shown(col(f.name), f.dataType.typeName()), F.lit("")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)))
 
 
 def multiset(left: DataFrame, right: DataFrame) -> DataFrame:

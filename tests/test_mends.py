@@ -139,3 +139,21 @@ def test_results_are_bounded_in_bytes_and_cells(spark):
     for kw, code in (({"most": 1}, "too_many_rows"), ({"most_bytes": 50}, "too_many_bytes"), ({"most_cell": 50}, "cell_too_large")):
         with pytest.raises(OpError, match=code):
             sql_.bounded(df, **kw)
+
+
+def test_cells_compare_as_the_same_text_whatever_their_type(spark):
+    def plain(text):
+        try:
+            x = float(text)
+        except ValueError:
+            return text.strip(" ")
+        return "nan" if x != x else text.lower() if abs(x) == float("inf") else str(round(x)) if abs(x - round(x)) < 1e-6 else f"{x:.4f}"
+
+    numbers = [0.0, -0.0, 2.5, -2.5, 0.00004, -0.00004, 1.23456, -7.0000001, 123456.789, 0.5, float("nan"), float("inf"), float("-inf")]
+    shown = [r.c0 for r in compare.normalized(spark.createDataFrame([(x,) for x in numbers], "x double")).collect()]
+    want = ["infinity" if x == float("inf") else "-infinity" if x == float("-inf") else plain(str(x)) for x in numbers]
+    assert shown == want
+    texts = [" 5", "\t5.25", "+3", "R", "NATION_7", "info", "", "x1", "1e3", ".5", "-", "2020-01-01"]
+    assert [r.c0 for r in compare.normalized(spark.createDataFrame([(x,) for x in texts], "x string")).collect()] == [plain(x) for x in texts]
+    row = compare.normalized(spark.sql("SELECT true AS a, 7S AS b, DATE'2020-01-01' AS c, CAST(NULL AS DATE) AS d, 2.50BD AS e, CAST(9007199254740993 AS BIGINT) AS f")).first()
+    assert tuple(row) == ("1", "7", "2020-01-01", "", "2.5000", "9007199254740992")
