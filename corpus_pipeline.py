@@ -15,7 +15,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are alike by 0.8 or more, the one with the smallest doc_id."""
+    """One document of each group of texts whose five-word shingles are alike by 0.8 or more, the one with the smallest doc_id.
+
+    SimHash and multi-index hashing link close copies, verified on whole sets; prefix filtering finds the links they miss.
+    """
     return similar.representatives(docs)
 
 

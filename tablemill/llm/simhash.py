@@ -38,6 +38,14 @@ SEGMENT_BITS = 32
 BLOCK = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # so that very long texts take bounded memory
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The SimHash of one text as an unsigned number."""
     from xxhash import xxh64_intdigest
@@ -54,10 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         np.uint64,
         n,
     )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # so that very long texts take bounded memory
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets, found exactly by prefix filtering.
+"""Near-duplicates by the Jaccard similarity of five-word shingle sets: SimHash and multi-index hashing first, the rest exactly by prefix filtering.
+
+Each set gets a SimHash over its shingles, and sets at three or fewer differing bits are found by multi-index hashing
+(``simhash.links``), verified on whole sets. That reaches close copies and can't promise pairs at 0.8, so prefix filtering
+looks for links between the groups it leaves.
 
 If two sets have a similarity of 0.8 or more, they share an element among the first
 n - ceil(0.8 n) + 1 of each, in any order of elements that all sets use. So each set is posted
@@ -32,7 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import discard, shuffles_removed, spread, whole_rows, written
-from tablemill.llm.simhash import SEED, components
+from tablemill.llm.simhash import SEED, components, majority
+from tablemill.llm.simhash import links as near_fingerprints
 
 SHINGLE = 5
 #: Two sets are alike if 9 * common >= 4 * (n + m), which is a similarity of 0.8: they differ in (n + m) / 9 elements at most.
@@ -135,7 +140,7 @@ def prefix(own: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 def sketches(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text_hash, fp, size, bits, fine, keys) of every row; the last three only where a task meets a set first."""
+    """(doc_id, text_hash, fp, size, sim, bits, fine, keys) of every row; the last four only where a task meets a set first."""
     from xxhash import xxh64_intdigest
 
     n = docs.count()
@@ -152,16 +157,16 @@ def sketches(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 own = shingles(text.as_py())
                 fp = xxh64_intdigest(own.tobytes(), SEED)
                 if len(own) < LEAST or fp in seen:
-                    rows.append((fp, len(own), None, None, None))
+                    rows.append((fp, len(own), None, None, None, None))
                     continue
                 if len(seen) < SEEN:
                     seen.add(fp)
-                rows.append((fp, len(own), bitmap(own), bitmap(own, FINER), prefix(own, tokens, counts).view(np.int64)))
-            fps, sizes, bits, fine, keys = list(zip(*rows, strict=True)) or [[]] * 5
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text_hash", "fp", "size", "bits", "fine", "keys"])
+                rows.append((fp, len(own), np.uint64(majority(own)).astype(np.int64), bitmap(own), bitmap(own, FINER), prefix(own, tokens, counts).view(np.int64)))
+            fps, sizes, sims, bits, fine, keys = list(zip(*rows, strict=True)) or [[]] * 6
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sims, pa.int64()), pa.array(bits, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "text_hash", "fp", "size", "sim", "bits", "fine", "keys"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, size int, bits binary, fine binary, keys array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, size int, sim long, bits binary, fine binary, keys array<long>")
     return written(rows, "set-sketches")
 
 
@@ -343,15 +348,28 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: of ``sets`` (fp, sim) those with equal SimHashes, each with one of them, and these ones where their SimHashes differ in three bits or fewer."""
+    firsts = written(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("first")), "set-fingerprints")
+    equal = sets.join(firsts.withColumnRenamed("fp", "sim"), "sim").filter("fp != first").selectExpr("first AS a", "fp AS b")
+    ends = [firsts.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_first")) for x in ("a", "b")]
+    between = near_fingerprints(firsts).join(ends[0], "a").join(ends[1], "b")
+    out = written(equal.unionByName(between.selectExpr("least(a_first, b_first) AS a", "greatest(a_first, b_first) AS b")).distinct(), "near-fingerprints")
+    discard(firsts)
+    return out
+
+
 def groups(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, root) for every set of ``rows`` (``sketches`` of ``docs``) that is like another one."""
     least = F.min(F.struct("text_hash", "doc_id")).alias("at")
-    own = rows.filter("bits IS NOT NULL").groupBy("fp", "size").agg(F.first("bits").alias("bits"), F.first("fine").alias("fine"), F.first("keys").alias("keys"), least)
+    own = rows.filter("bits IS NOT NULL").groupBy("fp", "size").agg(F.first("sim").alias("sim"), F.first("bits").alias("bits"), F.first("fine").alias("fine"), F.first("keys").alias("keys"), least)
     sets = written(own, "distinct-sets")
     lists = shared_lists(sets, block)
     sets = sets.drop("keys")
-    star = lists.filter((F.col("fp") != F.col("hub")) & _may_be_alike(F.col("shape"), F.col("hub_shape"))).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    candidates = written(alike_by_bits(star, sets), "first-candidates")
+    star = lists.filter((F.col("fp") != F.col("hub")) & _may_be_alike(F.col("shape"), F.col("hub_shape"))).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    near = by_fingerprint(sets)
+    candidates = written(alike_by_bits(near.unionByName(star).distinct(), sets), "first-candidates")
+    discard(near)
     links = verified(docs, sets, candidates)
     roots = written(components(links), "first-groups")
     rooted = lists.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "shape", F.coalesce("root", "fp").alias("root"))

@@ -104,3 +104,33 @@ def test_a_list_goes_on_from_where_it_stopped():
         seen += [(r["a"], r["b"]) for r in out if r["a"] is not None]
         step, times = {r["key"]: r["step"] for r in out if r["key"] is not None}, 2 * times
     assert sorted(seen) == sorted((a, b) for a in fp for b in fp if a < b and a // 100 == b // 100)
+
+
+def test_multi_index_hashing_links_close_copies(spark):
+    """Sets whose SimHashes differ in three bits or fewer are tried, however they share elements; prefix filtering has no part in it."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(30):
+        own = [rng.choice(words) for _ in range(600)]
+        rows.append((10 * i, " ".join(own)))
+        own[300] = "other"
+        rows.append((10 * i + 1, " ".join(own)))
+    sketched = similar.sketches(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    sims = {r.fp: r.sim & (1 << 64) - 1 for r in sketched}
+    doc = {r.fp: r.doc_id for r in sketched}
+    expected = {tuple(sorted((a, b))) for a in sims for b in sims if a < b and (sims[a] ^ sims[b]).bit_count() <= 3}
+    sets = spark.createDataFrame([(r.fp, r.sim) for r in sketched] + [(7, sketched[0].sim)], "fp long, sim long")
+    got = {(r.a, r.b) for r in similar.by_fingerprint(sets).collect()}
+    assert len(expected) > 15 and all(doc[a] // 10 == doc[b] // 10 for a, b in expected)
+    assert {p for p in got if 7 not in p} <= expected and any(7 in p for p in got)
+    root = {x: x for x in [*sims, 7]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in expected) and find(7) == find(sketched[0].fp)
