@@ -23,11 +23,20 @@ from tablemill.errors import OpError
 from tablemill.functions.names import col
 from tablemill.shared import written
 
+#: Rows of a range on average at most, so that a task's memory doesn't grow with the table; Spark's own number of ranges does below that.
+ROWS = 500_000
 
-def dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row-ranges") -> DataFrame:
-    """``df`` dealt to ranges of (by, order) with ``__range`` and ``__place``, a row's own number; rows of one group, even equal ones, lie in many ranges."""
+
+def ranges_of(df: DataFrame) -> int | None:
+    """How many ranges ``df`` needs, or None if Spark's number of partitions is enough."""
+    n = -(-df.count() // ROWS)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row-ranges", n: int | None = None) -> DataFrame:
+    """``df`` dealt to ranges of (by, order), ``n`` of them if given, with ``__range`` and ``__place``, a row's own number; rows of one group, even equal ones, lie in many ranges."""
     keys = [*map(col, by), *order, F.col("__place").asc()]
-    rows = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    rows = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*([n] if n else []), *keys)
     return written(rows.withColumn("__range", F.spark_partition_id()), name)
 
 
@@ -36,7 +45,10 @@ class Ranges:
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row-ranges"):
         self.columns, self.by, self.order = df.columns, list(by), list(order)
-        self.rows = dealt(df, by, order, name)
+        n = ranges_of(df)
+        self.stored = dealt(df, by, order, name, n)
+        # Rows for windows: where Spark's number of partitions isn't enough, each range is a task of its own.
+        self.rows = self.stored.repartitionById(n, F.col("__range")) if n else self.stored
         self.own = Window.partitionBy(*map(col, by), "__range").orderBy(*order, "__place")
         self.whole = Window.partitionBy(*map(col, by), "__range")
         self.keys = [f"__b{i}" for i in range(len(self.by))]
@@ -44,9 +56,9 @@ class Ranges:
         self.before, self.after, self.all = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(*self.keys)
         self.next = over
 
-    def carries(self, figures: Sequence[Column], of: Mapping[str, Column]) -> DataFrame:
-        """``figures`` of each group in each range it shares with others, and from them ``of``; two rows a range at most."""
-        cells = self.rows.groupBy(*(col(b).alias(k) for b, k in zip(self.by, self.keys, strict=True)), F.col("__range").alias("__r")).agg(*figures)
+    def carries(self, figures: Sequence[Column], of: Mapping[str, Column], rows: DataFrame | None = None) -> DataFrame:
+        """``figures`` of each group in each range it shares with others, and from them ``of``; two rows a range at most. ``rows`` may have columns more."""
+        cells = (self.stored if rows is None else rows).groupBy(*(col(b).alias(k) for b, k in zip(self.by, self.keys, strict=True)), F.col("__range").alias("__r")).agg(*figures)
         shared = written(cells.withColumn("__n", F.count("*").over(self.all)).filter("__n > 1"), "range-carries")
         return shared.select(*self.keys, "__r", *(c.alias(n) for n, c in of.items()))
 
@@ -100,7 +112,7 @@ def rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], fn: str, val
     ranges.rows = ranges.rows.withColumn("__own", F.row_number().over(ranges.own)).withColumn("__rank", F.rank().over(local)).withColumn("__dense", F.dense_rank().over(local)).withColumn("__same", F.count("*").over(tied))
     first, last = F.min_by(F.struct("__v", "__same"), place), F.max_by(F.struct("__v", "__same", "__rank"), place)
     figures = [F.count("*").alias("__c"), F.max("__dense").alias("__d"), first.alias("__first"), last.alias("__last")]
-    cells = ranges.carries(figures, {c: F.col(c) for c in ("__c", "__d", "__first", "__last")})
+    cells = ranges.carries(figures, {c: F.col(c) for c in ("__c", "__d", "__first", "__last")}, ranges.rows)
     on = ranges.next
     goes_on = F.coalesce(F.col("__first.__v") == F.lag("__last.__v").over(on), F.lit(False))
     cells = cells.withColumn("__on", goes_on).withColumn("__base", F.coalesce(F.sum("__c").over(ranges.before), F.lit(0))).withColumn("__total", F.sum("__c").over(ranges.all))
@@ -237,7 +249,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
     upto = ranges.own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.max_by("__match", F.struct("__n")).alias("__last")
     ranges.rows = ranges.rows.withColumn("__n", F.when(F.col("__match").isNotNull(), F.row_number().over(ranges.own)))
-    carries = ranges.carries([last], {"__carry": F.last("__last", ignorenulls=True).over(ranges.before)})
+    carries = ranges.carries([last], {"__carry": F.last("__last", ignorenulls=True).over(ranges.before)}, ranges.rows)
     rows = ranges.with_carries(ranges.rows.withColumn("__found", F.last("__match", ignorenulls=True).over(upto)), carries)
     found = F.when(F.col("__t").isNotNull(), F.coalesce("__found", "__carry"))
     out = rows.filter("__row IS NOT NULL").select("__row.*", found.alias("__found"))

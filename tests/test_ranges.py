@@ -121,3 +121,15 @@ def test_no_window_holds_a_whole_group(spark, rows):
     assert carries.count() <= 2 * dealt.rows.select("__range").distinct().count()
     biggest = dealt.rows.groupBy("user", "__range").count().agg(F.max("count")).first()[0]
     assert biggest < hot.count() / 4
+
+
+def test_ranges_grow_in_number_and_not_in_size(rows, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 20)
+    dealt = ranges.Ranges(rows, ["user"], unique())
+    sizes = [r["count"] for r in dealt.rows.groupBy(F.spark_partition_id().alias("task"), "__range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 60 and sum(sizes) == 600 and dealt.rows.rdd.getNumPartitions() == 30
+    ties = over(order=[F.col("t").asc()])
+    for fn in ("rank", "dense_rank", "percent_rank", "cume_dist"):
+        same(ranges.rank(rows, ["user"], [F.col("t").asc()], fn, [F.col("t")]), rows.withColumn("rank", getattr(F, fn)().over(ties).cast("double" if fn in ("percent_rank", "cume_dist") else "long")))
+    same(ranges.shifted(rows, ["user"], unique(), "v", 2), rows.withColumn("before", F.lag("v", 2).over(over())))
+    same(ranges.running(rows, ["user"], unique(), {"s": ("sum", "v")}), rows.withColumn("s", F.sum("v").over(over())))
