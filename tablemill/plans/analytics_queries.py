@@ -49,7 +49,7 @@ p AS (SELECT x.task AS task, x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS same FR
 r AS (SELECT p.task AS task, a, b, CAST(same / (s1.size + s2.size - same) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.task = p.task AND s1.c = a JOIN s s2 ON s2.task = p.task AND s2.c = b) """
 MEDOIDS = "SELECT task, a AS candidate FROM r GROUP BY task, a QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(sum(similarity), 12) DESC, a) = 1"
 add("soft_similarity", lambda t: records.soft_similarity(cells(t), "candidate", "place", "value", "task"), PAIRS + "SELECT * FROM r")
-add("majority_medoid", lambda t: records.majority_medoid(records.soft_similarity(cells(t), "candidate", "place", "value", "task"), "task"), PAIRS + MEDOIDS)
+add("majority_medoid", lambda t: records.medoids(cells(t), "candidate", "place", "value", "task"), PAIRS + MEDOIDS)
 
 
 def task_cells(t: Tables) -> DataFrame:
@@ -62,7 +62,7 @@ s AS (SELECT task, c, sum(n) AS size FROM k GROUP BY ALL),
 p AS (SELECT x.task AS task, x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS same FROM k x JOIN k y ON x.task = y.task AND x.v = y.v GROUP BY ALL),
 r AS (SELECT p.task AS task, a, b, CAST(same / (s1.size + s2.size - same) AS DOUBLE) AS similarity FROM p JOIN s s1 ON s1.task = p.task AND s1.c = a JOIN s s2 ON s2.task = p.task AND s2.c = b) """
 add("soft_similarity_by_task", lambda t: records.soft_similarity(task_cells(t), "candidate", "place", "value", "task"), TASK_PAIRS + "SELECT * FROM r")
-add("majority_medoid_by_task", lambda t: records.majority_medoid(records.soft_similarity(task_cells(t), "candidate", "place", "value", "task"), "task"), TASK_PAIRS + "SELECT task, a AS candidate FROM r GROUP BY task, a QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(sum(similarity), 12) DESC, a) = 1")
+add("majority_medoid_by_task", lambda t: records.medoids(task_cells(t), "candidate", "place", "value", "task"), TASK_PAIRS + "SELECT task, a AS candidate FROM r GROUP BY task, a QUALIFY row_number() OVER (PARTITION BY task ORDER BY round(sum(similarity), 12) DESC, a) = 1")
 add("pass_at_k", lambda t: records.pass_at_k(samples(t), 3), f"SELECT CAST(sum(ok) AS BIGINT) AS passed, count(*) AS tasks, avg(ok) AS rate FROM (SELECT task, max(CASE WHEN sample < 3 AND correct THEN 1 ELSE 0 END) AS ok FROM {SAMPLES} GROUP BY task)")
 add("group_advantage", lambda t: records.group_advantage(samples(t).select("event_id", "task", "value"), "task", "value").withColumn("advantage", F.round("advantage", 6)), f"SELECT event_id, task, value, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0.0 ELSE (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6) END, 6) AS advantage FROM {SAMPLES} WINDOW w AS (PARTITION BY task)")
 add("return_to_go", lambda t: records.return_to_go(t.conversations.select("conv_id", "turn", F.length("text").alias("reward")), "conv_id", "turn", "reward", 0.5).withColumn("return_to_go", F.round("return_to_go", 6)), "SELECT a.conv_id, a.turn, CAST(length(a.text) AS INTEGER) AS reward, round(sum(length(b.text) * pow(0.5, b.turn - a.turn)), 6) AS return_to_go FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn >= a.turn GROUP BY a.conv_id, a.turn, a.text")
