@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import operator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators import cover, groups, joins, json_columns, levels, records, user_functions, vectors
 from tablemill.plans.base import Book, Tables
-from tablemill.shared import shared_dir
+from tablemill.shared import shared_dir, written
 from tablemill.sources import keys
 from tablemill.streaming import windows
 
@@ -68,13 +69,38 @@ add("agg_grouping_sets", lambda t: levels.grouping_sets(t.lineitem, FLAGS, [FLAG
 
 
 def _sketched(t: Tables) -> DataFrame:
-    """For each level whether estimates from merged sketches are within their errors of the exact figures."""
+    """For each level whether estimates from merged sketches are within their errors of the exact figures.
+
+    Distinct values are counted once they are distinct in the finest level. A median lies between two percentiles if the rows up to it and from
+    it on say so, which takes counts and the values beside it instead of all values of a group in one task.
+    """
     by, sets = ["l_returnflag", "l_linestatus"], levels.cube(["l_returnflag", "l_linestatus"])
-    near = levels.grouping_sets(t.lineitem, by, sets, {"parts": {"op": "distinct", "column": "l_partkey"}, "middle": {"op": "quantile", "column": "l_extendedprice", "at": 0.5}})
-    true = t.lineitem.cube(*by).agg(F.grouping_id().cast("int").alias("g"), F.count_distinct("l_partkey").alias("exact"), F.percentile("l_extendedprice", F.lit([0.47, 0.53])).alias("around"))
-    same = [near[c].eqNullSafe(true[c]) for c in by] + [near["grouping_id"] == true["g"]]
-    both = near.join(true, same)
-    return both.select(*(near[c] for c in by), "grouping_id", (F.abs(F.col("parts") - F.col("exact")) <= 0.06 * F.col("exact")).alias("distinct_near"), F.col("middle").between(F.col("around")[0], F.col("around")[1]).alias("median_near"))
+    near = written(levels.grouping_sets(t.lineitem, by, sets, {"parts": {"op": "distinct", "column": "l_partkey"}, "middle": {"op": "quantile", "column": "l_extendedprice", "at": 0.5}}), "sketched")
+    parts = t.lineitem.select(*by, "l_partkey").distinct().cube(*by).agg(F.grouping_id().cast("int").alias("g"), F.count_distinct("l_partkey").alias("exact"))
+    rows = t.lineitem.select(*by, F.col("l_extendedprice").alias("x")).filter("x IS NOT NULL")
+    every = None
+    for own in sets:
+        level = sum(1 << (len(by) - 1 - i) for i, k in enumerate(by) if k not in own)
+        cuts = near.filter(F.col("grouping_id") == level).select(*(F.col(k).alias(f"__{k}") for k in by), F.col("grouping_id").alias("__g"), F.col("middle").alias("m"))
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in own]
+        beside = (rows.join(F.broadcast(cuts), same) if same else rows.crossJoin(F.broadcast(cuts))).groupBy("__g", *(f"__{k}" for k in by)).agg(
+            F.max("m").alias("m"), F.count("*").alias("n"), F.count_if(F.col("x") <= F.col("m")).alias("upto"), F.count_if(F.col("x") < F.col("m")).alias("below"),
+            F.max(F.when(F.col("x") <= F.col("m"), F.col("x"))).alias("last"), F.min(F.when(F.col("x") > F.col("m"), F.col("x"))).alias("next"),
+            F.max(F.when(F.col("x") < F.col("m"), F.col("x"))).alias("before"), F.min(F.when(F.col("x") >= F.col("m"), F.col("x"))).alias("first"))
+        every = beside if every is None else every.unionByName(beside)
+    both = near.join(parts, [near[c].eqNullSafe(parts[c]) for c in by] + [near["grouping_id"] == parts["g"]]).select(*(near[c] for c in by), "grouping_id", "parts", "exact")
+    both = both.join(every, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("grouping_id") == F.col("__g")], "left")
+    between = _percentile_bound(0.47, "upto", "last", "next", operator.le) & _percentile_bound(0.53, "below", "before", "first", operator.ge)
+    return both.select(*by, "grouping_id", (F.abs(F.col("parts") - F.col("exact")) <= 0.06 * F.col("exact")).alias("distinct_near"), between.alias("median_near"))
+
+
+def _percentile_bound(share: float, count: str, last: str, next_: str, holds) -> Column:
+    """Whether the percentile of ``n`` values is ``holds`` (at most, at least) ``m``, from how many values come before a cut at ``m`` and the two beside it."""
+    at = share * (F.col("n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    between = F.col(last) + (at - low) * (F.col(next_) - F.col(last))
+    before, after = F.lit(holds is operator.le), F.lit(holds is operator.ge)
+    return F.when(high < F.col(count), before).when(low >= F.col(count), after).otherwise(holds(between, F.col("m")))
 
 
 add("agg_cube_sketches", _sketched, "SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag, l_linestatus) AS INTEGER) AS grouping_id, true AS distinct_near, true AS median_near FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

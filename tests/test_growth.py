@@ -1,11 +1,14 @@
 """What keeps the work of some queries in proportion to their input, or spread over tasks."""
 
+import operator
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tablemill.operators import joins, records
+from tablemill.plans import discovery_queries
 
 
 def tasks(df):
@@ -66,3 +69,18 @@ def test_edit_distances_without_python(spark, capsys):
         return row[-1]
 
     assert {r.i: r.edit_distance for r in df.collect()} == {i: plain(a, b) for i, a, b in rows}
+
+
+def test_percentiles_compared_by_counts(spark):
+    """What counts and the values beside a cut say of a percentile equals Spark's percentile itself."""
+    rng = random.Random(8)
+    for n in (1, 2, 7, 40, 101):
+        df = spark.createDataFrame([(float(rng.randrange(30)),) for _ in range(n)], "x double")
+        low, high = df.agg(F.percentile("x", F.lit([0.47, 0.53])).alias("p")).first().p
+        cuts = spark.createDataFrame([(m / 2,) for m in range(-2, 62)], "m double")
+        le, lt = F.col("x") <= F.col("m"), F.col("x") < F.col("m")
+        sides = {"last": F.max(F.when(le, F.col("x"))), "next": F.min(F.when(~le, F.col("x"))), "before": F.max(F.when(lt, F.col("x"))), "first": F.min(F.when(~lt, F.col("x")))}
+        each = df.crossJoin(cuts).groupBy("m").agg(F.count("*").alias("n"), F.count_if(le).alias("upto"), F.count_if(lt).alias("below"), *(c.alias(k) for k, c in sides.items()))
+        bound = discovery_queries._percentile_bound
+        got = each.select("m", bound(0.47, "upto", "last", "next", operator.le).alias("a"), bound(0.53, "below", "before", "first", operator.ge).alias("b")).collect()
+        assert len(got) == 64 and all(r.a == (low <= r.m) and r.b == (high >= r.m) for r in got)
