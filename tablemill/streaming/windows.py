@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,19 +45,21 @@ def state_changes(stream: DataFrame, time: str, key: str, value: str, late: str)
         times, values, last, known = state.get if state.exists else ([], [], None, False)
         waiting = list(zip(times, values, strict=True))
         for pdf in batches:
-            waiting += [(int(t.value // 1000), v) for t, v in zip(pdf["time"], pdf["value"], strict=True)]
+            waiting += zip(pdf["time"].to_numpy("datetime64[us]").astype("int64").tolist(), pdf["value"].tolist(), strict=True)
         sure = state.getCurrentWatermarkMs() * 1000  # microseconds
         ready = sorted((w for w in waiting if w[0] <= sure), key=lambda w: (w[0], w[1] is not None, w[1] or ""))
         waiting = [w for w in waiting if w[0] > sure]
         found = []
         for t, v in ready:
             if not known or v != last:
-                found.append((keys[0], pd.Timestamp(t, unit="us"), v, last))
+                found.append((t, v, last))
             last, known = v, True
         state.update(([w[0] for w in waiting], [w[1] for w in waiting], last, known))
         if waiting:
             state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["key", "since", "value", "before"])
+        if found:  # most calls have no rows to give, and a table of none takes as long as one of many
+            times, values, befores = zip(*found, strict=True)
+            yield pd.DataFrame({"key": [keys[0]] * len(found), "since": np.array(times, "datetime64[us]"), "value": values, "before": befores})
 
     out = rows.groupBy("key").applyInPandasWithState(update, f"key {kind}, since timestamp, value string, before string", "times array<long>, vals array<string>, last string, known boolean", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("key", key)
