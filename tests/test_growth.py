@@ -84,3 +84,44 @@ def test_percentiles_compared_by_counts(spark):
         bound = discovery_queries._percentile_bound
         got = each.select("m", bound(0.47, "upto", "last", "next", operator.le).alias("a"), bound(0.53, "below", "before", "first", operator.ge).alias("b")).collect()
         assert len(got) == 64 and all(r.a == (low <= r.m) and r.b == (high >= r.m) for r in got)
+
+
+def shuffled(spark):
+    """Bytes that all queries so far have shuffled."""
+    executors = spark._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def different(n):
+    """Candidates of a task that nearly all differ in how often they have each of five values, with some that are alike, a rare value and nulls."""
+    rng = random.Random(4)
+    return [("q", c, v) for c in range(n) for v in (rng.choices("abcde", [5, 4, 3, 2, 1], k=12) if c % 50 else list("aab")) + ["rare"] * (c % 97 == 0)] + [("q", 3, None), ("q", 5, None), (None, 1, "a"), (None, 2, "a")]
+
+
+def plain_similarities(rows):
+    """(task, a, b): similarity, from cells whose place is null for candidate 7's value a."""
+    have, out = {}, {}
+    for t, c, v in rows:
+        cells = have.setdefault((t, c), {})
+        cells[v] = cells.get(v, 0) + 1
+    for (t, a), x in have.items():
+        for (u, b), y in have.items():
+            met = sum(min(n, y.get(v, 0)) for v, n in x.items() if not (7 in (a, b) and v == "a")) if t == u else 0
+            if met:
+                out[t, a, b] = met / (sum(x.values()) + sum(y.values()) - met)
+    return out
+
+
+def placed(spark, rows):
+    return spark.createDataFrame(rows, "task string, candidate int, value string").selectExpr("*", "if(candidate = 7 AND value = 'a', NULL, 'p') AS place")
+
+
+def test_medoids_of_different_candidates_without_shuffled_pairs(spark, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK", 150)
+    rows, totals = different(450), {}
+    for (t, a, _), s in sorted(plain_similarities(rows).items(), key=str):
+        totals[t, a] = totals.get((t, a), 0) + s
+    best = {(t, min((-round(s, 9), a) for (u, a), s in totals.items() if u == t)[1]) for t in ("q", None)}
+    before = shuffled(spark)
+    assert {tuple(r) for r in records.medoids(placed(spark, rows), "candidate", "place", "value", "task").collect()} == best
+    assert shuffled(spark) - before < 5e5
