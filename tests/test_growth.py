@@ -125,3 +125,12 @@ def test_medoids_of_different_candidates_without_shuffled_pairs(spark, monkeypat
     before = shuffled(spark)
     assert {tuple(r) for r in records.medoids(placed(spark, rows), "candidate", "place", "value", "task").collect()} == best
     assert shuffled(spark) - before < 5e5
+
+
+def test_different_candidates_are_compared_without_shuffled_pairs(spark, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK", 150)
+    rows, before = different(450), shuffled(spark)
+    every = records.soft_similarity(placed(spark, rows), "candidate", "place", "value", "task")
+    assert tasks(every) >= 4 * joins.TASKS
+    assert {(r.task, r.a, r.b): r.similarity for r in every.collect()} == plain_similarities(rows)
+    assert shuffled(spark) - before < 5e5
