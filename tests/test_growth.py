@@ -134,3 +134,32 @@ def test_different_candidates_are_compared_without_shuffled_pairs(spark, monkeyp
     assert tasks(every) >= 4 * joins.TASKS
     assert {(r.task, r.a, r.b): r.similarity for r in every.collect()} == plain_similarities(rows)
     assert shuffled(spark) - before < 5e5
+
+
+def test_joins_in_blocks_give_every_pair(spark, monkeypatch):
+    """Keys of one row and of many, null keys and values, rows that are alike, columns that have no hash, and comparisons alone."""
+    monkeypatch.setattr(joins, "BLOCK", 7)
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    rng = random.Random(5)
+    a = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(9)])) for _ in range(90)] + [(1, 4)] * 20 + [(7, 1)]
+    b = [(rng.choice([1, 1, 2, None, 4]), rng.choice([None, *range(9)])) for _ in range(60)] + [(1, 5)] * 30 + [(7, 2)]
+    left = spark.createDataFrame(a, "k int, x int").selectExpr("k", "x", "map('x', x) AS m")
+    right = spark.createDataFrame(b, "j bigint, y int").selectExpr("j", "y", "map('y', y) AS w")
+    bag = lambda df: sorted((r.k, r.x, r.m["x"], r.j, r.y, r.w["y"]) for r in df.collect())
+    plain = lambda on: sorted((k, x, x, j, y, y) for k, x in a for j, y in b if None not in (x, y) and on(k, x, j, y))
+    less = {"left": "x", "right": "y", "op": "<"}
+    assert bag(joins.join_pair(left.filter("k IS NOT NULL"), right.filter("j IS NOT NULL"), [less], ops=True)) == plain(lambda k, x, j, y: k and j and x < y)
+    assert bag(joins.join_pair(left, right, [less, {"left": "k", "right": "j"}], ops=True)) == plain(lambda k, x, j, y: k is not None and k == j and x < y)
+    assert joins.join_pair(left.filter("k = 3"), right, [less, {"left": "k", "right": "j"}], ops=True).count() == 0
+
+
+def bytes_a_row(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / df.sparkSession.read.parquet(str(path)).count()
+
+
+def test_many_pairs_are_written_small(spark, tmp_path):
+    value = "CAST(pmod(xxhash64(id, '{}'), 1000000) AS double) AS {}"
+    left, right = spark.range(2000).selectExpr("id AS a", "id % 2 AS k", value.format("l", "x")), spark.range(1200).selectExpr("id AS b", "id % 2 AS j", value.format("r", "y"))
+    got = joins.join_pair(left, right, [{"left": "k", "right": "j"}, {"left": "x", "right": "y", "op": "<"}], ops=True)
+    assert bytes_a_row(got, tmp_path / "out") < 1.2
