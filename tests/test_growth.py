@@ -163,3 +163,7 @@ def test_many_pairs_are_written_small(spark, tmp_path):
     left, right = spark.range(2000).selectExpr("id AS a", "id % 2 AS k", value.format("l", "x")), spark.range(1200).selectExpr("id AS b", "id % 2 AS j", value.format("r", "y"))
     got = joins.join_pair(left, right, [{"left": "k", "right": "j"}, {"left": "x", "right": "y", "op": "<"}], ops=True)
     assert bytes_a_row(got, tmp_path / "out") < 1.2
+
+
+def test_compared_columns_are_written_small(spark, tmp_path):
+    assert bytes_a_row(__spark_entry__.queries()["pred_compare_columns"](spark, "/root/testdata/sf0.1"), tmp_path / "out") < 1
